@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import textwrap
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .pyudfs import wrap_lines
 from .text import is_blank, strip
 
 # Fixed values of the canvas: paddings, title bar, longest text drawn, smallest image side, patch side.
@@ -37,21 +35,9 @@ def estimated_lines(text: Column, per_line: int) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.aggregate(sizes, F.lit(0), lambda a, x: a + x))
 
 
-def wrapped_lines(per_line: int):
-    """Exact word wrap as ``text -> array<string>``; the wrap rules need Python's textwrap."""
-
-    @F.pandas_udf("array<string>")
-    def wrap(texts: pd.Series) -> pd.Series:
-        def lines(text):
-            out = []
-            for paragraph in text.split("\n") if text else []:
-                out += textwrap.wrap(paragraph, width=per_line, expand_tabs=False, replace_whitespace=False,
-                                     break_long_words=True) if paragraph.strip() else [""]
-            return out
-
-        return texts.map(lines, na_action="ignore")
-
-    return wrap
+def wrapped_lines(text: Column, per_line: int) -> Column:
+    """Exact word-wrapped lines; the wrap rules need Python's textwrap."""
+    return wrap_lines(text, F.lit(per_line))
 
 
 def drawn_text(text: Column, compacted: bool = True) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .actions import FENCE, answer_tag, has_syntax
+from .pyudfs import match_ratio
 from .text import after_first, before_first, first_match, let, strip
 
 STEP_COST = -0.01
@@ -41,17 +39,12 @@ def clean_text(c: Column) -> Column:
     return F.when(quoted, F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
 
 
-@F.pandas_udf("double")
-def char_match_ratio(ref: pd.Series, pred: pd.Series) -> pd.Series:
+def char_match_ratio(ref: Column, pred: Column) -> Column:
     """Matching-block characters over the longer length.
 
     Blocks are found greedily, longest first, as difflib defines them; Spark has no such built-in.
     """
-    return pd.Series([
-        None if r is None or p is None else
-        sum(b.size for b in SequenceMatcher(None, r, p).get_matching_blocks()) / (max(len(r), len(p)) or 1)
-        for r, p in zip(ref, pred)
-    ], dtype="float64")
+    return match_ratio(ref, pred)
 
 
 def tokens(c: Column) -> Column:

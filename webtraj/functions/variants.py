@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import ast
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .pyudfs import literal_to_json
 from .text import strip
 
 
@@ -72,27 +69,13 @@ def question_of_json(extra_info: Column) -> Column:
     return F.coalesce(strip(as_string(field(F.try_parse_json(extra_info), "question"))), F.lit(""))
 
 
-@F.pandas_udf("string")
-def _literal_to_json(texts: pd.Series) -> pd.Series:
-    """Python-literal dicts as JSON; null where the text is no dict literal."""
-
-    def convert(text):
-        try:
-            value = ast.literal_eval(text)
-            return json.dumps(value, default=str) if isinstance(value, dict) else None
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
-
-    return texts.map(convert, na_action="ignore")
-
-
 def question_cast(extra_info: Column) -> Column:
     """Question of a JSON or Python-literal text, cast with str().
 
     JSON is read natively; Python is asked only for the rows that are no JSON.
     """
     parsed = F.try_parse_json(extra_info)
-    literal = F.try_parse_json(_literal_to_json(F.when(parsed.isNull(), extra_info)))
+    literal = F.try_parse_json(literal_to_json(F.when(parsed.isNull(), extra_info)))
     value = field(F.coalesce(parsed, literal), "question")
     kind = _kind(value)
     text = (
