@@ -17,23 +17,23 @@ def step_findings(steps: DataFrame, dialect: str = "checker") -> DataFrame:
     Needs ``model_response`` and ``observation``; ``action`` (the stored action) is optional.
     """
     stored = F.col("action") if "action" in steps.columns else F.lit(None).cast("string")
-    return (
-        steps.withColumn("match", A.anchored_match(F.coalesce("model_response", F.lit(""))))
-        .withColumn("extracted", A.anchored_body(F.col("match")))
-        .withColumn("valid", (F.col("match") != "") & A.has_syntax(F.col("extracted"), dialect))
-        .withColumn("verb", F.when(F.col("valid"), A.target_verb(F.col("extracted"), dialect)).otherwise(F.lit("")))
-        .withColumn("target", F.when(F.col("verb") != "", A.target_id(F.col("extracted"), dialect)))
-        .withColumn("target_type", F.when(F.col("target").isNotNull(),
-                                          element_type(F.col("observation"), F.col("target"), dialect)))
-        .withColumn("format_kind", D.format_error(F.coalesce("model_response", F.lit("")), F.col("match"),
-                                                  F.col("extracted"), F.col("valid")))
-        .withColumn("format_error", ~F.col("valid"))
-        .withColumn("hallucinated_id", F.col("target").isNotNull() & F.col("target_type").isNull())
-        .withColumn("element_mismatch", D.mismatched(F.col("verb"), F.col("target_type")))
-        .withColumn("wrong_stop", F.col("extracted").startswith("stop"))
-        .withColumn("loop_action", D.loop_action(F.col("extracted"), stored))
-        .drop("match")
-    )
+    reply, col = F.coalesce("model_response", F.lit("")), F.col
+    # Each alias may use the ones before it.
+    return steps.select(
+        "*",
+        A.anchored_match(reply).alias("match"),
+        A.anchored_body(col("match")).alias("extracted"),
+        ((col("match") != "") & A.has_syntax(col("extracted"), dialect)).alias("valid"),
+        F.when(col("valid"), A.target_verb(col("extracted"), dialect)).otherwise(F.lit("")).alias("verb"),
+        F.when(col("verb") != "", A.target_id(col("extracted"), dialect)).alias("target"),
+        F.when(col("target").isNotNull(), element_type(col("observation"), col("target"), dialect)).alias("target_type"),
+        D.format_error(reply, col("match"), col("extracted"), col("valid")).alias("format_kind"),
+        (~col("valid")).alias("format_error"),
+        (col("target").isNotNull() & col("target_type").isNull()).alias("hallucinated_id"),
+        D.mismatched(col("verb"), col("target_type")).alias("element_mismatch"),
+        col("extracted").startswith("stop").alias("wrong_stop"),
+        D.loop_action(col("extracted"), stored).alias("loop_action"),
+    ).drop("match")
 
 
 def trajectory_flags(findings: DataFrame, key: str = "traj_id") -> DataFrame:

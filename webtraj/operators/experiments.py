@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.runlogs import is_metric_line, metric_text, metric_value, step_of
 from ..functions.text import is_numeric_text
+from ..session import cut_lineage
 from .ordered import HOT_ROWS, ranked, running, sliding
 
 REWARD_KEY = "critic/rewards/mean"
@@ -14,6 +15,7 @@ KL_KEY, CLIP_KEY = "actor/ppo_kl", "actor/pg_clipfrac"
 
 # Fixed values of the early-stop rule.
 WINDOW, MIN_DELTA, PATIENCE, KL_MAX, CLIP_MAX = 8, 0.01, 5, 0.001, 0.01
+DIGITS = 10
 
 
 def metric_rows(log: DataFrame, keep: list[str], line: str = "line", key: str = REWARD_KEY) -> DataFrame:
@@ -44,7 +46,8 @@ def sliding_means(metrics: DataFrame, run: str, order: list, bucket: Column, win
     """Mean of the last ``window`` rewards, null until the window is full; ``idx`` counts from 0."""
     at = ranked(metrics, [run], order, bucket, "idx", hot_rows)
     out = sliding(at, [run], "idx", {"__avg": (F.avg, "reward")}, window, rows_per_block)
-    return out.withColumn("window_avg", F.when(F.col("idx") >= window - 1, F.col("__avg"))).drop("__avg")
+    # Rounded far below any printed metric, so that equal means compare equal.
+    return out.withColumn("window_avg", F.when(F.col("idx") >= window - 1, F.round("__avg", DIGITS))).drop("__avg")
 
 
 def staleness(means: DataFrame, run: str, min_delta: float = MIN_DELTA, hot_rows: int = HOT_ROWS,
@@ -54,7 +57,9 @@ def staleness(means: DataFrame, run: str, min_delta: float = MIN_DELTA, hot_rows
     The rule depends on its own past, yet it can only move where the mean exceeds every earlier mean. So
     a parallel running maximum picks those few candidates, a fold over them (at most one per distinct
     rising value of a run) finds the moves, and a second running maximum spreads the moves over the rows.
+    The means and the moves are written to the shared folder, since each is read several times.
     """
+    means = cut_lineage(means, "means")
     bucket = F.floor(F.col("idx") / rows_per_bucket)
     full = means.filter(F.col("window_avg").isNotNull())
     risen = running(full, [run], ["idx"], bucket, {"__top": F.col("window_avg")}, "max", hot_rows=hot_rows)
@@ -63,8 +68,9 @@ def staleness(means: DataFrame, run: str, min_delta: float = MIN_DELTA, hot_rows
     moves = rising.groupBy(run).agg(F.array_sort(F.collect_list(point)).alias("__p")).select(run, F.aggregate(
         "__p", F.array().cast("array<struct<idx:bigint,avg:double>>"),
         lambda kept, p: F.when(
-            (F.size(kept) == 0) | (p["avg"] > F.try_element_at(kept, F.lit(-1))["avg"] + min_delta),
+            (F.size(kept) == 0) | (p["avg"] > F.round(F.try_element_at(kept, F.lit(-1))["avg"] + min_delta, DIGITS)),
             F.concat(kept, F.array(p))).otherwise(kept)).alias("__m")).select(run, F.inline("__m"))
+    moves = cut_lineage(moves, "moves")
     moved = means.join(moves.select(run, "idx", F.lit(True).alias("__move")), [run, "idx"], "left")
     spread = running(moved, [run], ["idx"], bucket, {
         "best_avg": F.when(F.col("__move"), F.col("window_avg")), "__at": F.when(F.col("__move"), F.col("idx"))},

@@ -11,8 +11,6 @@ hex digits of a hash.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,80 +28,62 @@ def hash_bucket(position: Column, digits: int = 3) -> Column:
     return F.substring(position, 1, digits)
 
 
+def _names(columns) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
 def _bucketed(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int) -> DataFrame:
     if not keys:
         return df.withColumn(_B, bucket)
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot"))
-    )
+    hot = df.groupBy(*keys).agg(F.expr("count(*) AS __n")).filter(f"__n > {hot_rows}").selectExpr(*map("`{}`".format, keys), "true AS __hot")
     # At most rows / hot_rows keys can be hot, so this side is small by construction.
-    marked = df.join(F.broadcast(hot), keys, "left")
-    return marked.withColumn(_B, F.when(F.col("__hot"), bucket)).drop("__hot")
-
-
-def _carry(marked: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """One row per bucket of the keys that are cut up."""
-    return marked.filter(F.col(_B).isNotNull()).groupBy(*keys, _B).agg(*aggs)
+    return df.join(F.broadcast(hot), keys, "left").withColumn(_B, F.when(F.col("__hot"), bucket)).drop("__hot")
 
 
-def running(df: DataFrame, keys: list[str], order: list, bucket: Column, values: dict[str, Column],
+def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: dict[str, Column],
             how: str = "sum", inclusive: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add, per output name, the running ``sum`` or ``max`` of a value over the rows before this one.
 
     ``inclusive`` counts the row itself too. Sums start at 0, maxima at null.
     """
-    fold = {"sum": F.sum, "max": F.max}[how]
-    marked = reduce(lambda d, kv: d.withColumn(f"__v_{kv[0]}", kv[1]), values.items(),
-                    _bucketed(df, keys, bucket, hot_rows))
-    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    inner = Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(*frame)
-    rows = marked.select(
-        *[c for c in marked.columns], *[fold(f"__v_{n}").over(inner).alias(f"__in_{n}") for n in values])
-    totals = _carry(marked, keys, [fold(f"__v_{n}").alias(f"__t_{n}") for n in values])
-    earlier = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _B, *[fold(f"__t_{n}").over(earlier).alias(f"__off_{n}") for n in values])
-    joined = rows.join(offsets, [*keys, _B], "left")
-
-    def total(n: str) -> Column:
-        if how == "max":
-            return F.greatest(f"__in_{n}", f"__off_{n}")
-        zero = F.lit(0)
-        return F.coalesce(F.col(f"__in_{n}"), zero) + F.coalesce(F.col(f"__off_{n}"), zero)
-
-    return joined.select(*df.columns, *[total(n).alias(n) for n in values])
-
-
-def ranked(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "rank",
+    columns, parts = df.columns, [*keys, _B]
+    marked = _bucketed(df.withColumns({f"__v_{n}": c for n, c in values.items()}), keys, bucket, hot_rows)
+    frame = f"ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if inclusive else '1 PRECEDING'}"
+    rows = marked.selectExpr("*", *[
+        f"{how}(`__v_{n}`) OVER (PARTITION BY {_names(parts)} ORDER BY {_names(order)} {frame}) AS `__in_{n}`" for n in values])
+    totals = marked.filter(f"{_B} IS NOT NULL").groupBy(*parts).agg(*[F.expr(f"{how}(`__v_{n}`) AS `__t_{n}`") for n in values])
+    along = f"{'PARTITION BY ' + _names(keys) if keys else ''} ORDER BY {_B} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = totals.selectExpr(*map("`{}`".format, parts), *[f"{how}(`__t_{n}`) OVER ({along}) AS `__off_{n}`" for n in values])
+    total = {"sum": "coalesce(`__in_{0}`, 0) + coalesce(`__off_{0}`, 0) AS `{0}`", "max": "greatest(`__in_{0}`, `__off_{0}`) AS `{0}`"}[how]
+    return rows.join(offsets, parts, "left").selectExpr(*map("`{}`".format, columns), *[total.format(n) for n in values])
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "rank",
            hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the 0-based position of every row within its key."""
     return running(df, keys, order, bucket, {name: F.lit(1).cast("bigint")}, hot_rows=hot_rows)
 
 
-def runs(df: DataFrame, keys: list[str], order: list, bucket: Column, value: Column, name: str = "run_no",
+def runs(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str = "run_no",
          hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number the maximal runs of equal neighbouring ``value`` from 1 on; a null equals a null."""
-    marked = _bucketed(df, keys, bucket, hot_rows).withColumn("__x", value)
-    within = Window.partitionBy(*keys, _B).orderBy(*order)
-    first = F.row_number().over(within) == 1
-    changed = marked.withColumn(
-        "__chg", F.when(first, F.lit(0)).otherwise((~F.lag("__x").over(within).eqNullSafe(F.col("__x"))).cast("int")))
-    rows = changed.withColumn("__in", F.sum("__chg").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    columns, parts = df.columns, [*keys, _B]
+    marked = _bucketed(df.withColumn("__x", value), keys, bucket, hot_rows)
+    within = f"(PARTITION BY {_names(parts)} ORDER BY {_names(order)})"
+    changed = marked.selectExpr("*", f"""CASE WHEN row_number() OVER {within} = 1 OR lag(__x) OVER {within} <=> __x
+        THEN 0 ELSE 1 END AS __chg""")
+    rows = changed.selectExpr("*", f"sum(__chg) OVER {within} AS __in")
     # The carried row needs the changes inside a bucket and the values at both of its ends.
-    ends = F.struct(*order, F.col("__x").alias("__val"))
-    per_bucket = _carry(rows, keys, [
-        F.max("__in").alias("__inside"), F.min(ends).alias("__first"), F.max(ends).alias("__last")])
-    along = Window.partitionBy(*keys).orderBy(_B)
-    joint = per_bucket.withColumn("__prev", F.lag("__last").over(along)).withColumn(
-        "__joint", F.when(F.col("__prev").isNull(), F.lit(0)).otherwise(
-            (~F.col("__prev.__val").eqNullSafe(F.col("__first.__val"))).cast("int")))
-    offsets = joint.select(
-        *keys, _B,
-        (F.sum("__joint").over(along.rowsBetween(Window.unboundedPreceding, 0))
-         + F.coalesce(F.sum("__inside").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__off"))
-    joined = rows.join(offsets, [*keys, _B], "left")
-    number = (F.col("__in") + F.coalesce(F.col("__off"), F.lit(0)) + 1).cast("bigint")
-    return joined.select(*df.columns, number.alias(name))
+    ends = f"struct({_names(order)}, __x)"
+    per_bucket = rows.filter(f"{_B} IS NOT NULL").groupBy(*parts).agg(
+        F.expr("max(__in) AS __inside"), F.expr(f"min({ends}) AS __first"), F.expr(f"max({ends}) AS __last"))
+    along = f"{'PARTITION BY ' + _names(keys) if keys else ''} ORDER BY {_B}"
+    joints = per_bucket.selectExpr("*", f"""CASE WHEN row_number() OVER ({along}) = 1 OR lag(__last.__x) OVER ({along}) <=> __first.__x
+        THEN 0 ELSE 1 END AS __joint""")
+    offsets = joints.selectExpr(*map("`{}`".format, parts), f"""sum(__joint) OVER ({along})
+        + coalesce(sum(__inside) OVER ({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off""")
+    return rows.join(offsets, parts, "left").selectExpr(
+        *map("`{}`".format, columns), f"CAST(__in + coalesce(__off, 0) + 1 AS BIGINT) AS `{name}`")
 
 
 def sliding(df: DataFrame, keys: list[str], rank: str, aggs: dict[str, tuple], width: int,

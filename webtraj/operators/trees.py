@@ -133,6 +133,11 @@ def _around(nodes: Column, ident: Column, depth: int, children: int, siblings: i
 def keep_set(nodes: Column, keep: Column, max_depth: int = 3, max_children: int = 30, max_sibling: int = 3,
              rounds: int = 1, keep_parents: bool = False) -> Column:
     """Ids around the wanted nodes; each further round looks less far around everything found so far."""
+    return let(nodes, lambda ns: _keep_set(ns, keep, max_depth, max_children, max_sibling, rounds, keep_parents))
+
+
+def _keep_set(nodes: Column, keep: Column, max_depth: int, max_children: int, max_sibling: int, rounds: int,
+              keep_parents: bool) -> Column:
     found = F.array().cast("array<int>")
     seeds = keep
     for _ in range(max(1, rounds)):
@@ -156,10 +161,12 @@ def prune(nodes: Column, keep_ids: Column) -> Column:
 
 def _spliced(nodes: Column, kept) -> Column:
     """Drop nodes by a predicate and hang the rest under the nearest kept ancestor, order unchanged."""
-    nearest = _fold(nodes, "struct<self:int,up:int>", lambda n, up: let(F.coalesce(up["self"], F.lit(-1)), lambda u: F.struct(
-        F.when(kept(n), n["node_id"]).otherwise(u).alias("self"), u.alias("up"))))
-    return let(nearest, lambda near: F.filter(F.transform(nodes, lambda n, i: F.when(kept(n), n.withField(
-        "parent_id", F.get(near, i)["up"]))), lambda n: n.isNotNull()))
+    def nearest(ns: Column) -> Column:
+        return _fold(ns, "struct<self:int,up:int>", lambda n, up: let(F.coalesce(up["self"], F.lit(-1)), lambda u: F.struct(
+            F.when(kept(n), n["node_id"]).otherwise(u).alias("self"), u.alias("up"))))
+
+    return let(nodes, lambda ns: let(nearest(ns), lambda near: F.filter(F.transform(ns, lambda n, i: F.when(
+        kept(n), n.withField("parent_id", F.get(near, i)["up"]))), lambda n: n.isNotNull())))
 
 
 def segment(nodes: Column, ident: Column) -> Column:
@@ -220,16 +227,18 @@ def prune_viewport(nodes: Column, win_w: float, win_h: float) -> Column:
 
 def renumbered(nodes: Column) -> Column:
     """Places 0, 1, 2, … again after a prune."""
-    return let(F.transform(nodes, lambda n: n["node_id"]), lambda ids: F.transform(nodes, lambda n, i: n.withField(
-        "node_id", i).withField("parent_id", F.array_position(ids, n["parent_id"]).cast("int") - 1)))
+    return let(nodes, lambda ns: let(F.transform(ns, lambda n: n["node_id"]), lambda ids: F.transform(ns, lambda n, i: n.withField(
+        "node_id", i).withField("parent_id", F.array_position(ids, n["parent_id"]).cast("int") - 1))))
 
 
 def _indented(nodes: Column, line, shown, deepens) -> Column:
     """Shown nodes as lines; a node's children are indented one more only where it ``deepens``."""
-    below = _fold(nodes, "struct<own:int,next:int>", lambda n, up: let(F.coalesce(up["next"], F.lit(0)), lambda d: F.struct(
-        d.alias("own"), (d + F.when(deepens(n), 1).otherwise(0)).alias("next"))))
-    return let(below, lambda depth: F.filter(F.transform(nodes, lambda n, i: F.when(
-        shown(n), F.concat(F.repeat(F.lit("\t"), F.get(depth, i)["own"]), line(n)))), lambda t: t.isNotNull()))
+    def depths(ns: Column) -> Column:
+        return _fold(ns, "struct<own:int,next:int>", lambda n, up: let(F.coalesce(up["next"], F.lit(0)), lambda d: F.struct(
+            d.alias("own"), (d + F.when(deepens(n), 1).otherwise(0)).alias("next"))))
+
+    return let(nodes, lambda ns: let(depths(ns), lambda depth: F.filter(F.transform(ns, lambda n, i: F.when(
+        shown(n), F.concat(F.repeat(F.lit("\t"), F.get(depth, i)["own"]), line(n)))), lambda t: t.isNotNull())))
 
 
 def tree_text(nodes: Column) -> Column:

@@ -27,46 +27,45 @@ def minute(df: DataFrame, ts: str = "ts") -> Column:
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with k of their properties and their 0-based place n within the user."""
-    ev = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    ev = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "user_id", "event_type", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k")
     return ranked(ev, ["user_id"], ["ts", "event_id"], minute(ev), "n").drop("ts")
 
 
+_THINK = r"'<think>t</think>\n'"
+_PRESS = rf"concat({_THINK}, '```press [', k, ']```')"
+_HUNT = rf"concat({_THINK}, '```click [', 30 + (k div 12) % 9, '] [Item]```')"
+_SEARCH = rf"concat({_THINK}, '```type [21] [q ', k % 3, '] [1]```')"
+_STOP = rf"concat({_THINK}, '```stop [ans ', k, ']```')"
+_SCROLL = "```scroll [down]```"
+
+_REPLY = rf"""
+CASE WHEN mode = 0 THEN CASE k % 12
+    WHEN 0 THEN '```click [21] [Item]```'
+    WHEN 1 THEN {_THINK}
+    WHEN 2 THEN concat({_THINK}, '<action>click [30] [Item]')
+    WHEN 3 THEN concat({_THINK}, '`click [30] [Item]`')
+    WHEN 4 THEN concat({_THINK}, '<action>click [40] [text]</action>')
+    WHEN 5 THEN {_HUNT} WHEN 6 THEN {_STOP} WHEN 7 THEN concat({_THINK}, '```jump [x]```') WHEN 8 THEN {_SEARCH}
+    ELSE concat('<think>t <conclusion> c', k, ' </conclusion></think>\n{_SCROLL}') END
+  WHEN mode = 1 AND k % 3 = 0 THEN {_HUNT}
+  WHEN mode = 2 AND k % 12 = 8 THEN {_SEARCH}
+  WHEN mode = 2 THEN concat({_THINK}, '{_SCROLL}')
+  WHEN mode = 3 AND step = 5 THEN {_STOP}
+  ELSE {_PRESS} END AS model_response"""
+
+_OBSERVATION = r"""
+concat('[1] RootWebArea \'Page ', k, '\'\n\t[21] textbox \'Search\'\n\t[', 30 + k % 5, '] link \'Item ', k,
+  '\'\n\t[40] StaticText \'text ', k, '\'') AS observation"""
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step rows: ten events of a user form a trajectory, five behaviours take turns."""
-    k, j = F.col("k"), F.col("j")
-    k12 = k % 12
-    fence = lambda *parts: F.concat(F.lit("<think>t</think>\n```"), *parts, F.lit("```"))
-    press = fence(F.lit("press ["), k, F.lit("]"))
-    hunt = fence(F.lit("click ["), 30 + F.floor(k / 12) % 9, F.lit("] [Item]"))
-    search = fence(F.lit("type [21] [q "), k % 3, F.lit("] [1]"))
-    stop = fence(F.lit("stop [ans "), k, F.lit("]"))
-    mixed = (
-        F.when(k12 == 0, F.lit("```click [21] [Item]```"))
-        .when(k12 == 1, F.lit("<think>t</think>\n"))
-        .when(k12 == 2, F.lit("<think>t</think>\n<action>click [30] [Item]"))
-        .when(k12 == 3, F.lit("<think>t</think>\n`click [30] [Item]`"))
-        .when(k12 == 4, F.lit("<think>t</think>\n<action>click [40] [text]</action>"))
-        .when(k12 == 5, hunt).when(k12 == 6, stop)
-        .when(k12 == 7, fence(F.lit("jump [x]"))).when(k12 == 8, search)
-        .otherwise(F.concat(F.lit("<think>t <conclusion> c"), k, F.lit(" </conclusion></think>\n```scroll [down]```")))
-    )
-    reply = (
-        F.when(F.col("mode") == 0, mixed)
-        .when(F.col("mode") == 1, F.when(k % 3 == 0, hunt).otherwise(press))
-        .when(F.col("mode") == 2, F.when(k12 == 8, search).otherwise(fence(F.lit("scroll [down]"))))
-        .when((F.col("mode") == 3) & (F.col("step") == 5), stop)
-        .otherwise(press)
-    )
-    observation = F.concat(
-        F.lit("[1] RootWebArea 'Page "), k, F.lit("'\n\t[21] textbox 'Search'\n\t["), 30 + k % 5,
-        F.lit("] link 'Item "), k, F.lit("'\n\t[40] StaticText 'text "), k, F.lit("'"))
     return (
         numbered_events(spark, sf_dir)
-        .withColumn("j", F.floor(F.col("n") / STEPS_PER_TRAJECTORY)).withColumn("step", F.col("n") % STEPS_PER_TRAJECTORY)
-        .withColumn("mode", j % 5).withColumn("success", (F.col("user_id") + j) % 4 == 0)
-        .withColumn("traj_id", F.concat_ws("-", "user_id", "j"))
-        .withColumn("observation", observation).withColumn("model_response", reply)
+        .selectExpr("*", f"n div {STEPS_PER_TRAJECTORY} AS j", f"n % {STEPS_PER_TRAJECTORY} AS step")
+        .selectExpr("*", "j % 5 AS mode", "(user_id + j) % 4 = 0 AS success", "concat_ws('-', user_id, j) AS traj_id")
+        .selectExpr("*", _OBSERVATION, _REPLY)
     )
 
 

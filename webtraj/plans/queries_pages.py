@@ -1 +1,197 @@
+"""Pages and trees: HTML cleaning, node tables, simplified text, pruning, boxes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import observation as O
+from ..functions import pages as P
+from ..functions.text import words
+from ..operators import trees as T
+from . import fixtures as X
+from .oracle_tables import STEPS, WS
+from .registry import query
+
+_CLEAN = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<style.*?>.*?</style>', '', 'g'), '(?s)<script.*?>.*?</script>', '', 'g'), '\\s+', ' ', 'g'), {WS})"
+
+
+@query("cleaned_html", f"SELECT page_id, md5({_CLEAN}) AS digest, length({_CLEAN}) AS n FROM pages")
+def cleaned_html(spark, d):
+    clean = X.table(spark, d, "pages").select("page_id", P.clean_html(F.col("html")).alias("c"))
+    return clean.select("page_id", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("n"))
+
+
+@query("page_tag_counts", f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all({_CLEAN}, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS tag FROM pages)
+SELECT page_id, lower(tag) AS tag, count(*) AS n FROM c GROUP BY ALL""")
+def page_tag_counts(spark, d):
+    nodes = T.exploded(T.page_nodes(X.table(spark, d, "pages").select("page_id", "html")))
+    return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pages(spark, d):
+    return T.page_nodes(X.table(spark, d, "pages").select("page_id", "html"))
+
+
+@query("dom_nodes")
+def dom_nodes(spark, d):
+    pages = _pages(spark, d).withColumn("paths", T.xpaths(F.col("nodes")))
+    rows = pages.select("page_id", F.inline(F.transform("nodes", lambda n, i: F.struct(
+        n["node_id"].alias("node_id"), n["parent_id"].alias("parent_id"), n["tag"].alias("tag"), n["text"].alias("text"), F.get("paths", i).alias("xpath")))))
+    return rows
+
+
+@query("simplified_dom")
+def simplified_dom(spark, d):
+    pages = _pages(spark, d)
+    for style in ("refine", "xml", "new_data"):
+        pages = T.with_dom_text(pages, style, style, observed=F.transform(
+            F.filter("nodes", lambda n: n["tag"] == "a"), lambda n: n["node_id"]), wanted=["href", "title"] if style == "xml" else None)
+    return pages.drop("nodes")
+
+
+@query("page_segments")
+def page_segments(spark, d):
+    links = F.transform(F.filter("nodes", lambda n: n["tag"] == "h1"), lambda n: n["node_id"])
+    pages = _pages(spark, d).withColumn("keep", T.keep_set(F.col("nodes"), links, 2, 10, 2, rounds=2, keep_parents=True))
+    pruned = pages.withColumn("nodes", T.prune(F.col("nodes"), F.col("keep")))
+    return pruned.select("page_id", F.size("keep").alias("kept"), F.array_join(F.transform("nodes", lambda n: F.concat_ws(
+        ":", n["node_id"], n["parent_id"], n["tag"])), " ").alias("tree"))
+
+
+@query("static_text_merged", """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS name FROM documents),
+r AS (SELECT *, CASE WHEN length(name) % 3 = 0 THEN 'link' ELSE 'StaticText' END AS role FROM l),
+g AS (SELECT *, sum(CASE WHEN role = 'link' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM r)
+SELECT doc_id AS page_id, CAST(min(pos) AS INTEGER) AS pos, role, md5(string_agg(name, '' ORDER BY pos)) AS name FROM g GROUP BY doc_id, grp, role""")
+def static_text_merged(spark, d):
+    return T.merge_static_text(X.paragraphs(spark, d)).select("page_id", "pos", "role", F.md5("name").alias("name"))
+
+
+@query("first_nodes", """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS name FROM documents)
+SELECT doc_id AS page_id, name, CAST(min(pos) AS INTEGER) AS pos FROM l GROUP BY ALL""")
+def first_nodes(spark, d):
+    return T.first_nodes(X.paragraphs(spark, d).select("page_id", "name", "pos"), ident="name")
+
+
+@query("sibling_ordinals", """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS name FROM documents),
+r AS (SELECT *, CASE WHEN length(name) % 3 = 0 THEN 'link' ELSE 'StaticText' END AS role FROM l)
+SELECT doc_id AS page_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN count(*) OVER (PARTITION BY doc_id, role) > 1 THEN row_number() OVER (PARTITION BY doc_id, role ORDER BY pos) ELSE 0 END AS INTEGER) AS nth FROM r""")
+def sibling_ordinals(spark, d):
+    return T.sibling_ordinals(X.paragraphs(spark, d).drop("name"), ["page_id", "parent_id"], "role", "pos").select("page_id", "pos", "nth")
+
+
+def _trees(spark, d):
+    """An accessibility tree per step: root, a nameless group of two, a text, a list item."""
+    k = F.col("k")
+    node = "struct<id:string,child_ids:array<string>,role:string,name:string,properties:array<struct<name:string,value:string>>,bound:array<double>,backend_id:string,node_id:int,parent_id:int>"
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    prop = lambda n, v: F.array(F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")))
+    box = lambda *v: F.array(*[x.cast("double") if not isinstance(x, (int, float)) else F.lit(float(x)) for x in v])
+
+    def n(ident, kids, role, name, props, bound):
+        return F.struct(F.lit(ident), F.array(*[F.lit(x) for x in kids]).cast("array<string>"), F.lit(role), name, props, bound, F.lit("b" + ident), F.lit(0), F.lit(0)).cast(node)
+
+    nodes = F.array(
+        n("1", ["2", "5", "6"], "RootWebArea", F.concat(F.lit("Page "), k), prop("focused", F.lit("True")), box(0, 0, 10, 10)),
+        n("2", ["3", "4"], "generic", F.lit(""), none, box(0, 0, 50, 50)),
+        n("3", [], "link", F.concat(F.lit("it's "), k), prop("level", k), box(k, 0, 10, 1)),
+        n("4", [], "button", F.lit("go"), prop("pressed", k), box(0, k * 3, 10, 10)),
+        n("5", [], "StaticText", F.substring(F.lit("abcdefgh"), 1, k % 8), none, box(0, 0, 10, 10)),
+        n("6", [], "listitem", F.lit(""), prop("posinset", k), box(0, 0, 10, 10)))
+    return X.numbered_events(spark, d).select("event_id", "k", nodes.alias("nodes"))
+
+
+_TREE = STEPS + r""",
+t AS (SELECT event_id, k, '[1] RootWebArea ''Page ' || k || ''' focused: True' AS l1, '[3] link "it''s ' || k || '"' AS l3, '[4] button ''go'' pressed: ' || k AS l4,
+  CASE WHEN k % 8 >= 5 THEN '[5] StaticText ''' || substr('abcdefgh', 1, k % 8) || '''' END AS l5 FROM steps)"""
+
+
+@query("tree_texts", "WITH " + _TREE + r"""
+SELECT event_id, concat_ws(chr(10), l1, chr(9) || l3, chr(9) || l4, chr(9) || l5) AS text, CASE WHEN l5 IS NULL THEN 3 ELSE 4 END AS shown FROM t""")
+def tree_texts(spark, d):
+    ordered = T.in_preorder(_trees(spark, d))
+    return ordered.select("event_id", T.tree_text(F.col("nodes")).alias("text"), F.size(T.tree_elements(F.col("nodes"))).alias("shown"))
+
+
+@query("viewport_trees", "WITH " + _TREE + r"""
+SELECT event_id, concat_ws(chr(10), l1, CASE WHEN greatest(least(k + 10, 60) - k, 0) * 1.0 / 10.0 * 1.0 >= 0.6 THEN chr(9) || l3 END,
+  CASE WHEN 10.0 * greatest(least(k * 3 + 10, 60) - k * 3, 0) / 10.0 * 10.0 >= 0.6 THEN chr(9) || l4 END, chr(9) || l5) AS text FROM t""")
+def viewport_trees(spark, d):
+    ordered = T.in_preorder(_trees(spark, d))
+    return ordered.select("event_id", T.tree_text(T.prune_viewport(F.col("nodes"), 60.0, 60.0)).alias("text"))
+
+
+@query("snapshot_texts", "WITH " + STEPS + r"""
+SELECT event_id, '[0] <HTML lang="en"> ' || chr(10) || chr(9) || '[1] <P class="a b"> Item ' || k || ' x' AS text FROM steps""")
+def snapshot_texts(spark, d):
+    i = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<int>")
+    strings = F.array(F.lit("HTML"), F.lit("lang"), F.lit("en"), F.lit("P"), F.lit("class"), F.lit(" a vimium-x  b {opacity: 0;}"),
+                      F.concat(F.lit(" Item  "), "k", F.lit("\n x")), F.lit("DIV"))
+    snap = F.struct(strings.alias("strings"), i(0, 7, 3).alias("node_name"), i(-1, -1, 6).alias("node_value"),
+                    F.array(i(1, 2), i(), i(4, 5)).alias("attributes"), i(7, 8, 9).alias("backend_id"), i(-1, 0, 1).alias("parent_index"),
+                    i(2).alias("layout_index"), F.array(F.array(*[F.lit(1.0)] * 4)).alias("bounds"))
+    pages = X.numbered_events(spark, d).select("event_id", T.decode_snapshot(snap).alias("nodes"))
+    text = T.snapshot_text(F.col("nodes"))
+    # Two nodes are shown; the bare DIV between them is not and does not indent its child.
+    return T.in_preorder(pages).select("event_id", F.regexp_replace(text, r"\[2\]", "[1]").alias("text"))
+
+
+@query("kept_attributes", r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'href=' || trim(url) ELSE 'href=' || trim(url) || ';role=button' END AS attrs FROM pages""")
+def kept_attributes(spark, d):
+    attrs = F.create_map(F.lit("href"), F.col("url"), F.lit("role"), F.when(F.col("page_id") % 2 == 0, F.lit("link")).otherwise(F.lit("button")),
+                         F.lit("type"), F.lit("hidden"), F.lit("alt"), F.lit(" "))
+    kept = F.map_entries(P.meaningful_attributes(attrs))
+    return X.table(spark, d, "pages").select("page_id", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("attrs"))
+
+
+@query("cleaned_attributes", f"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(trim(text, {WS}), '\\s+'), lambda w: NOT contains(w, 'an') AND w <> ''), ' ')) AS digest FROM documents")
+def cleaned_attributes(spark, d):
+    marked = F.replace("text", F.lit("an"), F.lit("vimium"))
+    return X.table(spark, d, "documents").select("doc_id", F.md5(F.replace(P.clean_attribute(marked), F.lit("vimium"), F.lit("an"))).alias("digest"))
+
+
+# ---- boxes and labels -------------------------------------------------------------------------
+
+@query("viewport_boxes", """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity * 30.0 - 300 AS x, l_quantity * 20.0 - 200 AS y, 100.0 AS w, 40.0 AS h FROM lineitem),
+o AS (SELECT *, greatest(0.0, least(x + w, 800) - greatest(x, 0)) * greatest(0.0, least(y + h, 600) - greatest(y, 0)) AS area FROM b)
+SELECT l_orderkey, l_linenumber, round(area / w * h, 6) AS compat, round(area / (w * h), 6) AS ratio, area / (w * h) > 0.3 AS visible,
+  NOT (x + w < 0 OR x > 800 OR y + h < 0 OR y > 600) AS touches, round((x + w / 2) / 800, 6) AS cx, round((y + h / 2) / 600, 6) AS cy FROM o""")
+def viewport_boxes(spark, d):
+    q = F.col("l_quantity")
+    b = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (q * 30.0 - 300).cast("double").alias("x"), (q * 20.0 - 200).cast("double").alias("y"),
+                                             F.lit(100.0).alias("w"), F.lit(40.0).alias("h"))
+    box = [F.col(c) for c in "xywh"]
+    c = G.centre(*box, 800, 600)
+    return b.select("l_orderkey", "l_linenumber", F.round(G.viewport_ratio(*box, 800, 600), 6).alias("compat"), F.round(G.viewport_ratio(*box, 800, 600, compat=False), 6).alias("ratio"),
+                    G.is_in_viewport(*box, 800, 600).alias("visible"), G.meets_window(*box, (0, 0, 800, 600)).alias("touches"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
+
+
+@query("parsed_rects", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS DOUBLE) END AS x, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(4.5 AS DOUBLE) END AS h FROM orders""")
+def parsed_rects(spark, d):
+    text = F.concat("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(",2,3")).otherwise(F.lit(" ,2,3, 4.5")))
+    return X.table(spark, d, "orders").select("o_orderkey", G.parse_rect(text).alias("r")).select("o_orderkey", "r.x", "r.h")
+
+
+@query("ordered_labels", """WITH i AS (SELECT c_custkey, c_custkey - 1 AS i FROM customer), j AS (SELECT *, i - 26 AS k FROM i)
+SELECT c_custkey, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE CASE WHEN k // 676 = 0 THEN '' ELSE chr(CAST(64 + k // 676 AS INTEGER)) END || chr(CAST(65 + (k // 26) % 26 AS INTEGER)) || chr(CAST(65 + k % 26 AS INTEGER)) END AS label FROM j""")
+def ordered_labels(spark, d):
+    return X.table(spark, d, "customer").select("c_custkey", G.ordered_label(F.col("c_custkey") - 1).alias("label"))
+
+
+@query("page_boxes", """SELECT page_id, CAST(page_id % 50 AS DOUBLE) AS x, 'L' AS label FROM pages""")
+def page_boxes(spark, d):
+    node = F.struct(F.lit(0).alias("node_id"), F.create_map(F.lit("label"), F.lit("L"), F.lit("rect"), F.concat(F.col("page_id") % 50, F.lit(",1,2,3"))).alias("attrs"))
+    pages = X.table(spark, d, "pages").select("page_id", F.array(node).alias("nodes"))
+    return T.boxes(pages).select("page_id", "rect.x", "label")
+
+
+@query("node_words", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents")
+def node_words(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n"))
+
+
+@query("node_lines", r"""SELECT doc_id, md5('[7] paragraph ' || CASE WHEN contains(t, '''') AND NOT contains(t, '"') THEN '"' || t || '"' ELSE '''' || replace(t, '''', '\''') || '''' END || ' live: polite') AS digest
+FROM (SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r') AS t FROM documents)""")
+def node_lines(spark, d):
+    props = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in (("invalid", "x"), ("live", "polite"))])
+    return X.table(spark, d, "documents").select("doc_id", F.md5(O.node_line(F.lit("7"), F.lit("paragraph"), F.col("text"), props)).alias("digest"))
