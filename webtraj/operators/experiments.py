@@ -21,10 +21,12 @@ DIGITS = 10
 def metric_rows(log: DataFrame, keep: list[str], line: str = "line", key: str = REWARD_KEY) -> DataFrame:
     """Metric lines with a numeric reward as typed rows."""
     text = F.col(line)
-    return log.filter(is_metric_line(text, key)).select(
-        *keep, step_of(text).alias("step"), metric_value(text, key).alias("reward"),
-        metric_text(text, KL_KEY).alias("ppo_kl"), metric_text(text, CLIP_KEY).alias("pg_clipfrac"),
-    ).filter(F.col("reward").isNotNull())
+    # ``inline`` cuts every text once; a plain projection would be repeated in the filter below.
+    parts = F.inline(F.array(F.struct(
+        step_of(text).alias("step"), metric_text(text, key).alias("reward"), metric_text(text, KL_KEY).alias("ppo_kl"),
+        metric_text(text, CLIP_KEY).alias("pg_clipfrac"))))
+    rows = log.filter(is_metric_line(text, key)).select(*keep, parts).filter(is_numeric_text(F.col("reward")))
+    return rows.withColumn("reward", F.col("reward").try_cast("double"))
 
 
 def best_metric(log: DataFrame, run: str, line: str = "line", key: str = REWARD_KEY) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import ranked
+from ..sources.readers import spread
 
 STEPS_PER_TRAJECTORY = 10
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table with long texts, spread over all cores if it has only a few files."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def minute(df: DataFrame, ts: str = "ts") -> Column:
     """Minute of a timestamp, rising with it in any session time zone."""
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
@@ -126,7 +132,7 @@ def train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "step:%s - training/global_step:%s - critic/rewards/mean:%s - actor/ppo_kl:%s - actor/pg_clipfrac:%s",
         F.col("n"), F.col("n"), reward, F.when(F.col("k") % 7 == 0, F.lit("NA")).otherwise(
             F.format_string("0.000%d", F.col("k") % 20)), F.format_string("0.00%d", F.col("k") % 13)))
-    return numbered_events(spark, sf_dir).select("user_id", "n", "event_id", line.alias("line"))
+    return numbered_events(spark, sf_dir).select("user_id", "n", "event_id", F.explode(F.array(line)).alias("line"))
 
 
 def log_bucket() -> Column:

@@ -178,7 +178,11 @@ def brackets_to_angles(spark, d):
     return X.steps(spark, d).select("event_id", A.apply_transforms(F.col("model_response"), None, ["bracket_to_angle"]).alias("text"))
 
 
-@query("code_actions")
+@query("code_actions", "WITH " + STEPS + """
+, c AS (SELECT event_id, k, CASE k % 6 WHEN 0 THEN 'page.get_by_role(''link'', name=''a.b'').nth(' || k || ').click()' WHEN 4 THEN 'page.get_by_label(''q'').fill(''x y'')' END AS pw_code FROM steps)
+SELECT event_id, CASE k % 6 WHEN 0 THEN 'click' WHEN 1 THEN 'stop' WHEN 2 THEN 'goto' WHEN 3 THEN 'page_focus' WHEN 4 THEN 'fill' ELSE 'press' END AS verb, pw_code,
+  CASE WHEN k % 6 = 5 THEN 'Control+PageUp' END AS key_comb, CAST(NULL AS VARCHAR) AS direction, CASE WHEN k % 6 = 4 THEN 'x y' END AS text,
+  CASE WHEN k % 6 = 2 THEN 'http://h/' || k END AS url, CASE WHEN k % 6 = 3 THEN k END AS page_number, CASE WHEN k % 6 = 1 THEN 'a ' || k END AS answer, true AS valid FROM c""")
 def code_actions(spark, d):
     k = F.col("k")
     code = (
@@ -250,7 +254,7 @@ def static_text_deduped(spark, d):
     def line(t):
         return F.when(F.length(t) % 3 == 0, F.concat(F.lit("[1] link "), t)).otherwise(F.concat(F.lit("[1] StaticText '"), t, F.lit("'")))
 
-    docs = X.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("obs"))
+    docs = X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("obs"))
     kept = docs.withColumn("kept", O.dedup_static_text(F.col("obs")))
     return kept.select("doc_id", F.when(F.col("kept") == "", 0).otherwise(F.size(F.split("kept", "\n", -1))).cast("bigint").alias("lines"), F.md5("kept").alias("digest"))
 
@@ -333,4 +337,4 @@ def rendered_chats(spark, d):
   || '<|im_end|>\n<|im_start|>assistant\n' AS prompt FROM documents""")
 def few_shot_prompts(spark, d):
     examples = F.array(F.struct(F.lit("x1 ").alias("user"), F.lit(" y1").alias("reply")))
-    return X.table(spark, d, "documents").select("doc_id", T.few_shot_prompt(F.lit("intro"), examples, F.col("text")).alias("prompt"))
+    return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", T.few_shot_prompt(F.lit("intro"), examples, F.col("text")).alias("prompt"))

@@ -340,7 +340,7 @@ _COMPACT = f"trim(regexp_replace(regexp_replace(text[1:25000], '\\\\n|\\\\t|\\n|
 
 @query("compact_texts", f"""SELECT doc_id, md5({_COMPACT.replace('text[1:25000]', 'text')}) AS compact, md5(trim(regexp_replace(regexp_replace(regexp_replace(text || ' url: http://a/b?c d', '\\\\n|\\\\t|\\n|\\t', ' ', 'g'), 'url:\\s*https?://\\S+', '', 'g'), ' +', ' ', 'g'), {WS})) AS no_urls FROM documents""")
 def compact_texts(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", F.md5(L.compact(F.col("text"))).alias("compact"),
+    return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(L.compact(F.col("text"))).alias("compact"),
                                                  F.md5(L.compact_no_urls(F.concat("text", F.lit(" url: http://a/b?c d")))).alias("no_urls"))
 
 
@@ -349,14 +349,14 @@ SELECT doc_id, lines, CAST(least(65 + lines * 20, 2048) AS INTEGER) AS height, 6
   CAST(CASE WHEN 65 + lines * 20 > 2048 THEN least(98, lines) ELSE lines END AS INTEGER) AS lines_drawn FROM l""")
 def canvas_plans(spark, d):
     per_line = L.chars_per_line(2048, 14)
-    docs = X.table(spark, d, "documents").select("doc_id", L.drawn_text(F.col("text")).alias("t"))
+    docs = X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", L.drawn_text(F.col("text")).alias("t"))
     lines = docs.withColumn("lines", L.estimated_lines(F.col("t"), per_line))
     return lines.select("doc_id", "lines", L.canvas(F.col("lines"), 20).alias("c")).select("doc_id", "lines", "c.*")
 
 
 @query("wrapped_canvas")
 def wrapped_canvas(spark, d):
-    docs = X.table(spark, d, "documents").select("doc_id", L.drawn_text(F.col("text")).alias("t"))
+    docs = X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", L.drawn_text(F.col("text")).alias("t"))
     wrapped = docs.withColumn("w", L.wrapped_lines(F.col("t"), L.chars_per_line(2048, 14)))
     plan = wrapped.withColumn("c", L.canvas(F.size("w"), 20))
     return plan.select("doc_id", F.size("w").alias("lines"), "c.height", "c.truncated", L.chars_drawn(F.col("w"), F.col("c.lines_drawn")).alias("chars_drawn"))
@@ -367,7 +367,7 @@ c AS (SELECT *, greatest(28, CAST(floor(w * 0.5) AS INTEGER)) AS cw, greatest(28
 i AS (SELECT *, CAST(ceil(w / 14.0) * ceil(h / 14.0) AS BIGINT) AS orig, CAST(ceil(cw / 14.0) * ceil(ch / 14.0) AS BIGINT) AS fin FROM c)
 SELECT doc_id, tok AS text_tokens, orig AS original_image_tokens, fin AS final_image_tokens, round(CASE WHEN tok > 0 THEN fin / tok END, 6) AS cost_ratio, round(tok / fin, 6) AS compression FROM i""")
 def image_token_costs(spark, d):
-    docs = X.table(spark, d, "documents").select("doc_id", L.token_count(F.col("text")).cast("bigint").alias("tok"),
+    docs = X.texts(spark, d, "documents", "doc_id", "text", "n_chars").select("doc_id", L.token_count(F.col("text")).cast("bigint").alias("tok"),
                                                  (F.col("n_chars") % 1500 + 20).alias("w"), (F.col("n_chars") % 900 + 20).alias("h"))
     small = lambda c: L.compressed_side(F.col(c), 4.0)
     costs = L.token_costs(F.col("tok"), L.image_tokens(F.col("w"), F.col("h")), L.image_tokens(small("w"), small("h")))

@@ -18,19 +18,19 @@ _CLEAN = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html
 
 @query("cleaned_html", f"SELECT page_id, md5({_CLEAN}) AS digest, length({_CLEAN}) AS n FROM pages")
 def cleaned_html(spark, d):
-    clean = X.table(spark, d, "pages").select("page_id", P.clean_html(F.col("html")).alias("c"))
+    clean = X.texts(spark, d, "pages", "page_id", "html").select("page_id", P.clean_html(F.col("html")).alias("c"))
     return clean.select("page_id", F.md5("c").alias("digest"), F.length("c").cast("bigint").alias("n"))
 
 
 @query("page_tag_counts", f"""WITH c AS (SELECT page_id, unnest(regexp_extract_all({_CLEAN}, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS tag FROM pages)
 SELECT page_id, lower(tag) AS tag, count(*) AS n FROM c GROUP BY ALL""")
 def page_tag_counts(spark, d):
-    nodes = T.exploded(T.page_nodes(X.table(spark, d, "pages").select("page_id", "html")))
+    nodes = T.exploded(T.page_nodes(X.texts(spark, d, "pages", "page_id", "html")))
     return nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _pages(spark, d):
-    return T.page_nodes(X.table(spark, d, "pages").select("page_id", "html"))
+    return T.page_nodes(X.texts(spark, d, "pages", "page_id", "html"))
 
 
 @query("dom_nodes")
@@ -147,7 +147,7 @@ def kept_attributes(spark, d):
 @query("cleaned_attributes", f"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(trim(text, {WS}), '\\s+'), lambda w: NOT contains(w, 'an') AND w <> ''), ' ')) AS digest FROM documents")
 def cleaned_attributes(spark, d):
     marked = F.replace("text", F.lit("an"), F.lit("vimium"))
-    return X.table(spark, d, "documents").select("doc_id", F.md5(F.replace(P.clean_attribute(marked), F.lit("vimium"), F.lit("an"))).alias("digest"))
+    return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(F.replace(P.clean_attribute(marked), F.lit("vimium"), F.lit("an"))).alias("digest"))
 
 
 # ---- boxes and labels -------------------------------------------------------------------------
@@ -187,11 +187,11 @@ def page_boxes(spark, d):
 
 @query("node_words", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents")
 def node_words(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n"))
+    return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.size(words(F.col("text"))).alias("n"))
 
 
 @query("node_lines", r"""SELECT doc_id, md5('[7] paragraph ' || CASE WHEN contains(t, '''') AND NOT contains(t, '"') THEN '"' || t || '"' ELSE '''' || replace(t, '''', '\''') || '''' END || ' live: polite') AS digest
 FROM (SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r') AS t FROM documents)""")
 def node_lines(spark, d):
     props = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in (("invalid", "x"), ("live", "polite"))])
-    return X.table(spark, d, "documents").select("doc_id", F.md5(O.node_line(F.lit("7"), F.lit("paragraph"), F.col("text"), props)).alias("digest"))
+    return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(O.node_line(F.lit("7"), F.lit("paragraph"), F.col("text"), props)).alias("digest"))

@@ -110,6 +110,15 @@ def read_train_logs(spark: SparkSession, path) -> DataFrame:
     return lines.select(F.regexp_extract("file", r"([^/]+?)(?:\.log)?$", 1).alias("run"), "pos", F.col("value").alias("line"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, redistributed; any larger scan stays as it is.
+
+    One small file is one task, however heavy the work on its rows. Meant for plain scans.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def peek(df: DataFrame, n: int = 5):
     """First rows and a one-row profile of a dataset."""
     profile = df.agg(F.count(F.lit(1)).alias("rows")).select(
