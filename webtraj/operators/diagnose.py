@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import actions as A
@@ -63,10 +63,9 @@ def cause_counts(caused: DataFrame) -> DataFrame:
     There are five causes, so the share is taken over at most five rows.
     """
     counts = caused.groupBy("cause").agg(F.count(F.lit(1)).alias("tasks"))
-    total = caused.agg(F.count(F.lit(1)).alias("__all"))
-    return counts.join(F.broadcast(total), F.lit(True)).select(
-        "cause", D.cause_name(F.col("cause")).alias("cause_name"), "tasks",
-        percent(F.col("tasks"), F.col("__all")).alias("pct"))
+    return counts.select("cause", D.cause_name(F.col("cause")).alias("cause_name"), "tasks",
+                         F.sum("tasks").over(Window.partitionBy(F.lit(1))).alias("__all")).select(
+        "cause", "cause_name", "tasks", percent(F.col("tasks"), F.col("__all")).alias("pct"))
 
 
 def defect_prevalence(flags: DataFrame) -> DataFrame:
@@ -119,9 +118,9 @@ REPORT_ORDER = (0, 6, 1, 7, 2, 3, 5, 4)
 def report_values(flags: DataFrame, steps: DataFrame) -> DataFrame:
     """The eight report numbers as one array column ``values`` plus their text line."""
     share = flags.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(n).alias(n) for n in D.DEFECTS])
-    one = share.join(F.broadcast(steps.drop("steps", "format_error", "hallucinated_id", "element_mismatch")), F.lit(True))
-    parts = [percent(F.col(n), F.col("n")) for n in D.DEFECTS] + [
-        F.col("format_error_pct"), F.col("hallucinated_id_pct"), F.col("element_mismatch_pct")]
+    names = [f"{n}_pct" for n in ("format_error", "hallucinated_id", "element_mismatch")]
+    one = share.withColumn("steps", steps.select(F.struct(*names)).scalar())
+    parts = [percent(F.col(n), F.col("n")) for n in D.DEFECTS] + [F.col("steps")[n] for n in names]
     values = F.array(*[parts[i] for i in REPORT_ORDER])
     return one.select(values.alias("values")).select(
         "values", F.concat_ws("\t", F.transform("values", lambda v: F.format_string("%.2f", v))).alias("line"))

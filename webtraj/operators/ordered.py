@@ -23,7 +23,7 @@ def hash_order(key: Column, seed=0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
-def hash_bucket(position: Column, digits: int = 3) -> Column:
+def hash_bucket(position: Column, digits: int = 4) -> Column:
     """Order-keeping buckets of equal size for a ``hash_order`` column."""
     return F.substring(position, 1, digits)
 
@@ -116,9 +116,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def row_parts(df: DataFrame, order: list, bucket: Column, parts: int, name: str = "part") -> DataFrame:
     """Cut the ordered table into ``parts`` ranges of ceil(rows / parts) rows; may fill fewer parts."""
-    at = ranked(df, [], order, bucket, "__rn")
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    # One row, joined to every row as a constant.
-    sized = at.join(F.broadcast(total), F.lit(True))
-    size = F.greatest(F.ceil(F.col("__total") / parts), F.lit(1))
-    return sized.select(*df.columns, F.floor(F.col("__rn") / size).cast("int").alias(name))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    size = F.greatest(F.ceil(total / parts), F.lit(1))
+    return ranked(df, [], order, bucket, "__rn").withColumn(name, F.floor(F.col("__rn") / size).cast("int")).drop("__rn")

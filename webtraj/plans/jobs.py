@@ -21,7 +21,7 @@ def replayed(trajectories: DataFrame) -> DataFrame:
         return s.withField("action", A.last_command(reply)).withField("conclusion", A.last_conclusion(reply))
 
     t = trajectories.withColumn("steps", F.transform("steps", redo))
-    stops = F.filter(F.transform("steps", lambda s: s["action"]), A.is_stop)
+    stops = F.filter(F.transform("steps", lambda s: s["action"]), lambda a: A.is_stop(a))
     t = t.withColumn("final_conclusion", F.coalesce(A.final_answer(F.try_element_at(stops, F.lit(1))), F.lit("")))
     return t.withColumns({
         "success": V.answer_contains_truth(F.col("final_conclusion"), F.col("ground_truth")),

@@ -36,13 +36,12 @@ def write_json_array(df: DataFrame, column: str, order: str, path: str) -> None:
 
     Part files joined in name order are the array, so no task or driver holds the whole list.
     """
-    ends = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    # A single row next to every row.
-    marked = df.join(F.broadcast(ends), F.lit(True))
+    ends = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
+    marked = df.withColumn("__ends", ends)
     item = F.get(F.split(F.to_json(F.struct(F.col(column).alias("x"))), ":", 2), F.lit(1))
-    text = F.concat(F.when(F.col(order) == F.col("__lo"), F.lit("[")).otherwise(F.lit("")),
+    text = F.concat(F.when(F.col(order) == F.col("__ends.lo"), F.lit("[")).otherwise(F.lit("")),
                     F.substr(item, F.lit(1), F.length(item) - 1),
-                    F.when(F.col(order) == F.col("__hi"), F.lit("]")).otherwise(F.lit(",")))
+                    F.when(F.col(order) == F.col("__ends.hi"), F.lit("]")).otherwise(F.lit(",")))
     marked.orderBy(order).select(text.alias("value")).write.mode("overwrite").text(path)
 
 
