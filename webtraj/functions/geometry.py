@@ -57,11 +57,11 @@ def parse_rect(text: Column) -> Column:
 
 def ordered_label(i: Column) -> Column:
     """Label of position i: A..Z, then AA..ZZ, then AAA and on."""
-    letter = lambda n: F.char(n + 65)
-    k = (i - 26).cast("int")
-    c0, c1, c2 = F.floor(k / 676).cast("int"), F.pmod(F.floor(k / 26).cast("int"), F.lit(26)), F.pmod(k, F.lit(26))
-    pair = F.concat(letter(c1), letter(c2))
-    return F.when(i < 26, letter(i.cast("int"))).when(c0 == 0, pair).otherwise(F.concat(F.char(c0 + 64), pair))
+    letter = lambda n: F.char((n + 65).cast("int"))
+    past = i - 26
+    pair = F.concat(letter(F.floor(past / 26) % 26), letter(past % 26))
+    lead = F.floor(past / 676)
+    return F.when(i < 26, letter(i)).when(lead == 0, pair).otherwise(F.concat(letter(lead - 1), pair))
 
 
 def hashed_label(key: Column, letters: int = 3) -> Column:

@@ -7,7 +7,7 @@ in what it has built so far. ``exploded`` turns the arrays into a node table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -15,7 +15,7 @@ from ..functions import observation as O
 from ..functions import pages as P
 from ..functions.pyudfs import dom_texts, html_nodes, preorder
 from ..functions.text import let
-from .ordered import first_per_key
+from .ordered import first_per_key, ranked, running
 
 def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     """Pages with their ``nodes`` array instead of the raw HTML."""
@@ -51,9 +51,11 @@ def xpaths(nodes: Column) -> Column:
 
 def sibling_ordinals(nodes: DataFrame, parent: list[str], tag: str, order: str) -> DataFrame:
     """Place of each node among its siblings with the same tag, 0 if it is the only one."""
-    w = Window.partitionBy(*parent, tag)
-    count = F.count(F.lit(1)).over(w)
-    return nodes.withColumn("nth", F.when(count > 1, F.row_number().over(w.orderBy(order))).otherwise(F.lit(0)))
+    keys = [*parent, tag]
+    placed = ranked(nodes, keys, [order], F.floor(F.col(order) / 10_000), "__rn")
+    same = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__same"))
+    nth = F.when(F.col("__same") > 1, F.col("__rn") + 1).otherwise(F.lit(0)).cast("int")
+    return placed.join(same, keys).withColumn("nth", nth).drop("__rn", "__same")
 
 
 # ---- simplified DOM ---------------------------------------------------------------------------
@@ -194,11 +196,11 @@ def merge_static_text(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     Works on child rows (page, parent, place): a run of texts is found by counting the other siblings
     before it, and its texts are concatenated in order.
     """
-    w = Window.partitionBy(key, "parent_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     static = F.col("role") == "StaticText"
-    runs_ = nodes.withColumn("__run", F.sum(F.when(static, 0).otherwise(1)).over(w)).withColumn(
+    others = {"__run": F.when(static, 0).otherwise(1)}
+    numbered = running(nodes, [key, "parent_id"], ["pos"], F.floor(F.col("pos") / 10_000), others, inclusive=True).withColumn(
         "__self", F.when(static, F.lit(-1)).otherwise(F.col("pos")))
-    merged = runs_.groupBy(key, "parent_id", "__run", "__self").agg(
+    merged = numbered.groupBy(key, "parent_id", "__run", "__self").agg(
         F.min("pos").alias("pos"), F.min_by("node_id", "pos").alias("node_id"), F.first("role").alias("role"),
         F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("__n"))
     return merged.select(key, "parent_id", "pos", "node_id", "role", F.array_join("__n.name", "").alias("name"))

@@ -110,9 +110,9 @@ def chat_bucket() -> Column:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One result per labelled document; its question recurs every 97 documents."""
-    return table(spark, sf_dir, "labels").select(
-        "doc_id", F.concat(F.lit("q "), F.col("doc_id") % 97).alias("question"), (F.col("quality") == 1).alias("ok"))
+    """One result per labelled document; its question recurs every 97 documents, toxic ones ask what no sample has."""
+    return table(spark, sf_dir, "labels").selectExpr(
+        "doc_id", "concat(if(toxic = 1, 'toxic ', ''), 'q ', doc_id % 97) AS question", "quality = 1 AS ok")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def distinct_objectives(spark, d):
 # ---- routing by outcome -----------------------------------------------------------------------
 
 _ROUTE = """
-r AS (SELECT doc_id, 'q ' || (doc_id % 97) AS question, quality = 1 AS ok FROM labels),
+r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic ' ELSE '' END || 'q ' || (doc_id % 97) AS question, quality = 1 AS ok FROM labels),
 s AS (SELECT doc_id, 'q ' || (doc_id % 101) AS objective FROM documents)"""
 
 
@@ -112,17 +112,9 @@ def labelled_results(spark, d):
     return C.label_results(X.results(spark, d), F.col("ok")).select("doc_id", "outcome")
 
 
-# Only every third sample takes part, so both sides have partners missing.
-_SOME = _ROUTE + ", p AS (SELECT * FROM s WHERE objective NOT LIKE '%7%')"
-
-
-def _some(spark, d):
-    return C.with_objective(X.samples(spark, d)).filter(~F.col("objective").contains("7"))
-
-
-@query("unmatched_results", "WITH " + _SOME + " SELECT doc_id, question FROM r WHERE question NOT IN (SELECT objective FROM p)")
+@query("unmatched_results", "WITH " + _ROUTE + " SELECT doc_id, question FROM r WHERE question NOT IN (SELECT objective FROM s)")
 def unmatched_results(spark, d):
-    return C.unmatched_results(X.results(spark, d), _some(spark, d)).select("doc_id", "question")
+    return C.unmatched_results(X.results(spark, d), C.with_objective(X.samples(spark, d))).select("doc_id", "question")
 
 
 @query("samples_without_result", "WITH " + _ROUTE + " SELECT doc_id FROM s WHERE objective NOT IN (SELECT question FROM r)")
@@ -130,11 +122,11 @@ def samples_without_result(spark, d):
     return C.samples_without_result(C.with_objective(X.samples(spark, d)), X.results(spark, d)).select("doc_id")
 
 
-@query("split_counts", "WITH " + _SOME + """, j AS (SELECT r.ok, p.doc_id AS sid FROM r LEFT JOIN p ON p.objective = r.question)
+@query("split_counts", "WITH " + _ROUTE + """, j AS (SELECT r.ok, s.doc_id AS sid FROM r LEFT JOIN s ON s.objective = r.question)
 SELECT 'main_success' AS counter, count(*) FILTER (ok AND sid IS NOT NULL) AS n FROM j UNION ALL SELECT 'main_fail', count(*) FILTER (NOT ok AND sid IS NOT NULL) FROM j
 UNION ALL SELECT 'result_success', count(*) FILTER (ok) FROM r UNION ALL SELECT 'result_fail', count(*) FILTER (NOT ok) FROM r UNION ALL SELECT 'unmatched', count(*) FILTER (sid IS NULL) FROM j""")
 def split_counts(spark, d):
-    return C.split_counts(_some(spark, d), X.results(spark, d), F.col("ok"))
+    return C.split_counts(C.with_objective(X.samples(spark, d)), X.results(spark, d), F.col("ok"))
 
 
 @query("converted_messages", r"""SELECT doc_id, md5('prompt|Objective: q ' || (doc_id % 101) || chr(10) || 'Observation: ' || regexp_replace(text, 'click\s+(\[\d+\])\s+\[[^\n\]]*\]', 'click \1', 'g')) AS digest FROM documents""")
@@ -289,10 +281,10 @@ def budget_draw(spark, d):
     return S.budget_draw(s, F.col("doc_id"), F.col("steps"), 3, max_steps=400)
 
 
-@query("ratio_order", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id)) - 1 AS rn FROM documents WHERE lang IN ('en', 'fr', 'de'))
-SELECT doc_id, lang, rn // CASE lang WHEN 'en' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END AS round_no FROM r""")
+@query("ratio_order", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id)) - 1 AS rn FROM documents)
+SELECT doc_id, lang, rn // CASE lang WHEN 'en' THEN 6 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 ELSE 1 END AS round_no FROM r""")
 def ratio_order(spark, d):
-    return S.ratio_order(X.table(spark, d, "documents").select("doc_id", "lang"), "lang", {"en": 3, "fr": 2, "de": 1}, F.col("doc_id"))
+    return S.ratio_order(X.table(spark, d, "documents").select("doc_id", "lang"), "lang", {"en": 6, "fr": 2, "de": 2, "es": 1}, F.col("doc_id"))
 
 
 @query("difficulty_order", """WITH b AS (SELECT doc_id, 'bucket_' || (quality * 2 + toxic) AS bucket FROM labels),

@@ -266,10 +266,10 @@ def task_accuracy(spark, d):
 
 
 @query("typed_step_numbers", "WITH " + STEPS + """
-SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY n) AS step_num FROM steps WHERE k % 7 <> 0""")
+SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY n) AS step_num FROM steps WHERE event_type <> 'error'""")
 def typed_step_numbers(spark, d):
     s = X.numbered_events(spark, d)
-    return E.numbered_steps(s, ["user_id"], ["n"], X.log_bucket(), F.col("k") % 7 != 0).select("event_id", "step_num")
+    return E.numbered_steps(s, ["user_id"], ["n"], X.log_bucket(), F.col("event_type") != "error").select("event_id", "step_num")
 
 
 _STEP_REWARD = STEPS + "," + _FORMAT + r""",
