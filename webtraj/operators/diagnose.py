@@ -101,7 +101,8 @@ def defect_details(findings: DataFrame) -> DataFrame:
         F.when(F.col("element_mismatch"), row("element_mismatch", F.concat_ws(" ", "verb", F.concat(F.lit("<"), "target_type", F.lit(">"))))),
     ))
     order = [F.col("ord")] if "ord" in findings.columns else []
-    found = findings.select(*order, F.inline(details))
+    # The outer form spares a second evaluation of all details just to skip empty lists.
+    found = findings.select(*order, F.inline_outer(details)).filter(F.col("kind").isNotNull())
     aggs = [F.count(F.lit(1)).alias("times")] + ([F.min("ord").alias("first_ord")] if order else [])
     return found.groupBy("kind", "detail").agg(*aggs)
 

@@ -71,7 +71,7 @@ def staleness(means: DataFrame, run: str, min_delta: float = MIN_DELTA, hot_rows
         "__p", F.array().cast("array<struct<idx:bigint,avg:double>>"),
         lambda kept, p: F.when(
             (F.size(kept) == 0) | (p["avg"] > F.round(F.try_element_at(kept, F.lit(-1))["avg"] + min_delta, DIGITS)),
-            F.concat(kept, F.array(p))).otherwise(kept)).alias("__m")).select(run, F.inline("__m"))
+            F.concat(kept, F.array(p))).otherwise(kept)).alias("__m")).select(run, F.inline_outer("__m")).filter(F.col("idx").isNotNull())
     moves = cut_lineage(moves, "moves")
     moved = means.join(moves.select(run, "idx", F.lit(True).alias("__move")), [run, "idx"], "left")
     spread = running(moved, [run], ["idx"], bucket, {

@@ -24,8 +24,12 @@ def page_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def exploded(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Node table: one row per node."""
-    return pages.select(key, F.inline("nodes"))
+    """Node table: one row per node.
+
+    The outer form keeps the optimizer from testing the array for emptiness first, which would parse
+    every page twice.
+    """
+    return pages.select(key, F.inline_outer("nodes")).filter(F.col("node_id").isNotNull())
 
 
 def _fold(nodes: Column, item_type: str, make) -> Column:

@@ -117,7 +117,7 @@ e AS (SELECT event_id, unnest(regexp_extract_all(observation, '(?m)^[\t ]*[\[<](
   lower(unnest(regexp_extract_all(observation, '(?m)^[\t ]*[\[<](\d+)[\]>]\s+([a-zA-Z]+)', 2))) AS type FROM steps)
 SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM e GROUP BY type""")
 def observation_elements(spark, d):
-    rows = X.steps(spark, d).select(F.inline(elements(F.col("observation"))))
+    rows = X.steps(spark, d).select(F.inline_outer(elements(F.col("observation")))).filter("id IS NOT NULL")
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
 

@@ -36,7 +36,7 @@ def _pages(spark, d):
 @query("dom_nodes")
 def dom_nodes(spark, d):
     pages = _pages(spark, d).withColumn("paths", T.xpaths(F.col("nodes")))
-    rows = pages.select("page_id", F.inline(F.transform("nodes", lambda n, i: F.struct(
+    rows = pages.select("page_id", F.inline_outer(F.transform("nodes", lambda n, i: F.struct(
         n["node_id"].alias("node_id"), n["parent_id"].alias("parent_id"), n["tag"].alias("tag"), n["text"].alias("text"), F.get("paths", i).alias("xpath")))))
     return rows
 
