@@ -22,11 +22,12 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def bound_batches(spark: SparkSession, size: str = "32m") -> None:
-    """Arrow batches are bounded by bytes where the session sets no bound, so that long texts meet in no batch."""
+def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Arrow batches are bounded by bytes, so that long texts meet in no batch; a smaller bound of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "-1") in ("-1", "9223372036854775807", str((1 << 31) - 1)):
-        spark.conf.set(key, size)
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
 
 
 def vocabulary(spark: SparkSession, path: str):
