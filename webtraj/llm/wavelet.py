@@ -24,7 +24,7 @@ from .shared import TOKENIZERS, bound_batches, ship, vocabulary, worker_state
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 SHARD_TOKENS = 1 << 22
 BLOCK = 512  # bits between two rank counts
-PIECE_CACHE = 400_000
+WORD_CACHE = 600_000  # words a worker remembers; the table is emptied when it is full
 SHARD_SCHEMA = ("part int, seq int, before long, n_tokens long, doc_ids array<long>, ends array<int>, bits int, "
                 "zeros array<int>, planes binary, ranks binary")
 SHARD_ARROW = pa.schema([
@@ -122,10 +122,11 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """The library's ids of whole texts, looked up by runs between blanks.
+    """The library's ids of whole texts, looked up by word.
 
-    The vocabulary drops white space and ends every word, so runs between blanks and line breaks encode alone; runs
-    of plain letters and signs are made of two words whose ids the library gives in one call for many.
+    The vocabulary lower-cases, drops white space and ends every word. Texts of Latin-1 characters are split by the
+    file's own pattern, spelled out for that range; the library gives the ids of words not met before, many in one
+    call, and they are remembered. Any other text goes through the library as a whole.
     """
 
     def __init__(self, text: str):
@@ -135,61 +136,42 @@ class WordEncoder:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.bits = max(vocab.values()).bit_length()
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
-        ends = np.zeros(1 << self.bits, dtype=bool)
-        ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.ends = ends
-        self.simple = re.compile(r"([a-zß-öø-ÿ]*)([^\w\s']*)")
-        self.runs: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        if len(self.runs) + len(missing) > PIECE_CACHE:
-            self.runs = {"": b""}
-        if len(self.words) + len(missing) > PIECE_CACHE:
-            self.words = {"": b""}
-        split, other, new = {}, [], set()
-        for run in missing:
-            found = self.simple.fullmatch(run.lower()) if max(run) < "Ā" and len(run) < 200 and "<|" not in run else None
-            if found:
-                split[run] = found.groups()
-                new.update(w for w in split[run] if w not in self.words)
-            else:
-                other.append(run)
-        out = {}
-        if new:
-            new = list(new)
-            ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.kind)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(new):
-                raise ValueError("a word of the vocabulary has no end mark")
-            raw, size, last = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(new, (at * size).tolist()):
-                self.words[w] = raw[last:end]
-                last = end
-        for run, (core, tail) in split.items():
-            out[run] = self.words[core] + self.words[tail]
-        for run, code in zip(other, self.library.encode_batch(other, add_special_tokens=False)):
-            out[run] = np.array(code.ids, dtype=self.kind).tobytes()
-        self.runs.update((r, c) for r, c in out.items() if len(r) <= 200)
+        self.ends = np.zeros(1 << self.bits, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        letters, digits, blanks = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{blanks}{letters}{digits}]+").findall
+        self.words: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.kind)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(new):
+            raise ValueError("a word of the vocabulary has no end mark")
+        raw, last, out = ids.tobytes(), 0, {}
+        for w, end in zip(new, (at * ids.itemsize).tolist()):
+            out[w] = raw[last:end]
+            last = end
+        if len(self.words) + len(out) > WORD_CACHE:
+            self.words.clear()
+        self.words.update(out)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.replace("\n", " ").split(" ") if "<|" not in t else [t] for t in texts]
-        known = self.runs
-        missing = {r for rs in runs for r in rs if r not in known}
-        fresh = self.learn(missing) if missing else {}
-        known = self.runs
-        out = []
-        for rs in runs:
-            codes = list(map(known.get, rs))
-            if None in codes:  # the table was emptied, or the run is too long for it
-                codes = [c if c is not None else fresh.get(r) for r, c in zip(rs, codes)]
-                if None in codes:
-                    again = self.learn({r for r, c in zip(rs, codes) if c is None})
-                    known = self.runs
-                    codes = [c if c is not None else again[r] for r, c in zip(rs, codes)]
-            out.append(b"".join(codes))
-        return out
+    def latin(self, text: str) -> bytes:
+        parts = self.split(text.lower())
+        codes = list(map(self.words.get, parts))
+        if None in codes:
+            fresh = self.learn(list({p for p, c in zip(parts, codes) if c is None}))
+            codes = [fresh[p] if c is None else c for p, c in zip(parts, codes)]
+        return b"".join(codes)
+
+    def encode(self, text: str) -> bytes:
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return self.latin(text)
+            except UnicodeEncodeError:
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -204,18 +186,17 @@ def _shards(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end_id: int
         return pa.RecordBatch.from_pylist([row], schema=SHARD_ARROW)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            piece = batch.slice(at, 500)
-            for doc, code in zip(piece.column(0).to_pylist(), encoder.encode([t or "" for t in piece.column(1).to_pylist()])):
-                n = len(code) // size + 1
-                if total and total + n > shard_tokens:
-                    yield shard()
-                    seq, before = seq + 1, before + total
-                    ids, codes, ends, total = [], [], [], 0
-                total += n
-                ids.append(doc)
-                codes += (code, end)
-                ends.append(total)
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            code = encoder.encode(text.as_py() or "")
+            n = len(code) // size + 1
+            if total and total + n > shard_tokens:
+                yield shard()
+                seq, before = seq + 1, before + total
+                ids, codes, ends, total = [], [], [], 0
+            total += n
+            ids.append(doc)
+            codes += (code, end)
+            ends.append(total)
     if total:
         yield shard()
 
