@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe
+from webtraj.session import scratch_path
+
+from . import bpe, urls, wavelet
 from .shared import table
 
 QUERIES: dict = {}
@@ -29,3 +31,30 @@ def op8_bpe_codec(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_token_shards")
+def op4_token_shards(spark, sf_dir):
+    """Places and checksums of all documents' ids, read back from the wavelet files in the shared folder."""
+    folder = scratch_path(spark, "tokens")
+    wavelet.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return wavelet.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_url_rules", """
+WITH rules(action, rhost, rpath) AS (VALUES
+    ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+parts AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (
+    SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+    FROM parts),
+fits AS (
+    SELECT page_id, max({'n': length(rhost) + length(rpath), 'rule': rhost || rpath, 'action': action}) AS best
+    FROM urls JOIN rules ON (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath) GROUP BY page_id)
+SELECT u.page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM urls u LEFT JOIN fits f ON u.page_id = f.page_id
+""")
+def op10_url_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
