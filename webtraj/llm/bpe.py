@@ -9,6 +9,7 @@ on both sides of the seam; verdicts are kept in a table. Every position is enter
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 from .shared import TOKENIZERS, bound_batches, ship, vocabulary, worker_state
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
-WORD_CACHE = 500_000  # words a worker remembers; the table is emptied when it is full
-PAIR_CACHE = 1_000_000
+WORD_CACHE = 200_000  # words a worker remembers; the table is emptied when it is full
+PAIR_CACHE = 500_000
 # Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -38,8 +39,37 @@ def byte_characters() -> list[str]:
     return out
 
 
+class Decoder:
+    """The bytes of all tokens behind each other, with the offset of each id."""
+
+    def __init__(self, text: str):
+        spec = json.loads(text)
+        back = {c: b for b, c in enumerate(byte_characters())}
+        vocab = spec["model"]["vocab"]
+        marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        raw = [b""] * (max([*vocab.values(), *marks.values()]) + 1)
+        for n, i in vocab.items():
+            raw[i] = bytes(back[c] for c in n) if all(c in back for c in n) else n.encode()
+        for n, i in marks.items():
+            raw[i] = n.encode()
+        self.sizes = np.array([len(x) for x in raw], dtype=np.int32)
+        self.offsets = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        out = []
+        for at in range(0, len(ids), 1 << 16):  # long texts in pieces, so that the index stays small
+            some = ids[at:at + (1 << 16)]
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes, dtype=np.int32)
+            index = np.repeat(self.offsets[some] - (ends - sizes), sizes)
+            index += np.arange(ends[-1], dtype=np.int32)
+            out.append(self.bytes[index].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
+
+
 class Codec:
-    """Tables of one vocabulary. Ranks number the byte tokens first and then the merges in their order."""
+    """Tables of one vocabulary for encoding. Ranks number the byte tokens first and then the merges in their order."""
 
     def __init__(self, text: str):
         spec = json.loads(text)
@@ -48,7 +78,6 @@ class Codec:
         self.marks = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.mark = regex.compile("|".join(regex.escape(m) for m in sorted(self.marks, key=len, reverse=True))) if self.marks else None
         chars = byte_characters()
-        back = {c: b for b, c in enumerate(chars)}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         names = chars + ["".join(m) for m in merges]
         if len(set(names)) != len(names):
@@ -75,15 +104,6 @@ class Codec:
         self.single = {c: b for b, c in enumerate(chars)}
         self.blank = chars[32]
         self.code = [np.uint32(i).tobytes() for i in self.ids]
-        top = max([*self.ids, *self.marks.values()]) + 1
-        raw = [b""] * top
-        for n, i in vocab.items():
-            raw[i] = bytes(back[c] for c in n) if all(c in back for c in n) else n.encode()
-        for n, i in self.marks.items():
-            raw[i] = n.encode()
-        self.sizes = np.array([len(x) for x in raw], dtype=np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-        self.bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -204,31 +224,21 @@ class Codec:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
-    def decode(self, ids: np.ndarray) -> str:
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        if not len(ends):
-            return ""
-        at = np.repeat(self.offsets[ids] - (ends - sizes), sizes)
-        at += np.arange(ends[-1])
-        return self.bytes[at].tobytes().decode("utf-8", "replace")
-
 
 def encode_texts(texts: pa.Array, codec: Codec) -> pa.Array:
-    codes = [codec.encode(t or "") for t in texts.to_pylist()]
+    codes = [codec.encode(t.as_py() or "") for t in texts]
     ends = np.cumsum([0, *(len(c) // 4 for c in codes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), dtype=np.int32)))
 
 
-def decode_ids(ids: pa.Array, codec: Codec) -> pa.Array:
+def decode_ids(ids: pa.Array, decoder: Decoder) -> pa.Array:
     flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
     valid = ids.is_valid().to_pylist()
-    return pa.array([codec.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid)], pa.string())
+    return pa.array([decoder.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], valid)], pa.string())
 
 
-def _codec(vocab) -> Codec:
-    text = vocab.value
-    return worker_state(f"state:bpe:{len(text)}:{hash(text)}", lambda: Codec(text))
+def _state(vocab, kind: type):
+    return worker_state(f"state:{kind.__name__}:{zlib.crc32(vocab.value.encode())}", lambda: kind(vocab.value))
 
 
 def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY) -> DataFrame:
@@ -241,7 +251,7 @@ def bpe_encode(df: DataFrame, text: str = "text", out: str = "ids", path: str =
     vocab = vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(vocab)
+        codec = _state(vocab, Codec)
         for texts in batches:
             yield encode_texts(texts, codec)
 
@@ -254,9 +264,9 @@ def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str
     vocab = vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(vocab)
+        decoder = _state(vocab, Decoder)
         for codes in batches:
-            yield decode_ids(codes, codec)
+            yield decode_ids(codes, decoder)
 
     return df.withColumn(out, F.arrow_udf(run, T.StringType())(F.col(f"`{ids}`")))
 

@@ -22,7 +22,7 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def bound_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Arrow batches are bounded by bytes, so that long texts meet in no batch; a smaller bound of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(key)).lower().removesuffix("b")
