@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from webtraj.session import scratch_path
 
-from . import bpe, urls, wavelet
+from . import bpe, pii, secrets, urls, wavelet
 from .shared import table
+from .spans import printed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +59,22 @@ SELECT u.page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow')
 def op10_url_rules(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, urls.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark, sf_dir):
+    """Secrets of every document: base counts and digest, and all spans."""
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(printed(F.col("base")), 256).alias("base_sha256"),
+                        printed(secrets.all_spans(F.col("base"), F.col("added"))).alias("spans"))
+
+
+@query("op7_pii_spans")
+def op7_pii_spans(spark, sf_dir):
+    """Personal data of every document: base counts and digest, and all spans."""
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(printed(F.col("base")), 256).alias("base_sha256"),
+                        pii.all_spans(F.col("base"), F.col("added")).alias("spans"))
