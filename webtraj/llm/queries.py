@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from webtraj.session import scratch_path
 
-from . import bpe, pii, secrets, urls, wavelet
+from . import bpe, pii, secrets, toxicity, urls, wavelet
 from .shared import table
 from .spans import printed
 
@@ -78,3 +78,12 @@ def op7_pii_spans(spark, sf_dir):
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(printed(F.col("base")), 256).alias("base_sha256"),
                         pii.all_spans(F.col("base"), F.col("added")).alias("spans"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of every document by the lexicon learned outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return toxicity.score_toxicity(docs, lexicon).select("doc_id", held.alias("held_out"), "score", "predicted", "n_words")
