@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from webtraj.session import scratch_path
 
-from . import bpe, pii, secrets, toxicity, urls, wavelet
+from . import bpe, decontaminate, minhash, pii, secret_scan, toxicity, urls, wavelet
 from .shared import table
 from .spans import printed
 
@@ -65,10 +65,10 @@ def op10_url_rules(spark, sf_dir):
 def op6_secret_scan(spark, sf_dir):
     """Secrets of every document: base counts and digest, and all spans."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(printed(F.col("base")), 256).alias("base_sha256"),
-                        printed(secrets.all_spans(F.col("base"), F.col("added"))).alias("spans"))
+                        printed(secret_scan.all_spans(F.col("base"), F.col("added"))).alias("spans"))
 
 
 @query("op7_pii_spans")
@@ -87,3 +87,15 @@ def op1_toxicity(spark, sf_dir):
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return toxicity.score_toxicity(docs, lexicon).select("doc_id", held.alias("held_out"), "score", "predicted", "n_words")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    """Benchmark items leaked into documents."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark, sf_dir):
+    """Class and number of links of every document."""
+    return minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
