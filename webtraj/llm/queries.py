@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from webtraj.session import scratch_path
 
-from . import bpe, decontaminate, minhash, pii, secret_scan, toxicity, urls, wavelet
+from . import bpe, chat, decontaminate, minhash, pii, search, secret_scan, toxicity, urls, wavelet
 from .shared import table
 from .spans import printed
 
@@ -99,3 +99,37 @@ def op2_decontamination(spark, sf_dir):
 def op3_ngram_jaccard(spark, sf_dir):
     """Class and number of links of every document."""
     return minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_chat_format", r"""
+WITH rows_ AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+    SELECT *, length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) + CASE role
+        WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7
+        ELSE 14 + length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) END AS chars FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""")
+def op5_chat_format(spark, sf_dir):
+    """Every conversation and one full of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                   "conv_id long, turn long, role string, text string")
+    read = chat.read_chats(chat.format_chats(rows.unionByName(tricky)))
+    said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("trained", "")
+    return read.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                       F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op9_bm25_search")
+def op9_bm25_search(spark, sf_dir):
+    """The ten best documents for every document whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 20 = 0"))
