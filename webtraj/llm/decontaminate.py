@@ -11,6 +11,7 @@ passage also holds the n-grams of the question and the words of the answer.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -18,10 +19,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, ship
+from .shared import bound_batches, ship, worker_state
 
 BLOCKS = 64  # blocks of an index, of at least MIN_BLOCK items each
 MIN_BLOCK = 4
@@ -210,10 +212,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
 
     def leaks(index: ItemIndex) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            index = sent.value
+            raw = sent.value
+            index = worker_state(f"state:items:{zlib.crc32(raw)}", lambda: cloudpickle.loads(raw))
             for texts in batches:
                 found = []
                 for t in texts:
