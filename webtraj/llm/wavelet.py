@@ -8,6 +8,7 @@ written by Spark's committer into a shared folder: a task that is run again repl
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_characters
 from .shared import TOKENIZERS, bound_batches, ship, vocabulary, worker_state
 
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 SHARD_TOKENS = 1 << 22
 BLOCK = 512  # bits between two rank counts
-WORD_CACHE = 600_000  # words a worker remembers; the table is emptied when it is full
+WORD_CACHE = 1_000_000  # words a worker remembers; the table is emptied when it is full
 SHARD_SCHEMA = ("part int, seq int, before long, n_tokens long, doc_ids array<long>, ends array<int>, bits int, "
                 "zeros array<int>, planes binary, ranks binary")
 SHARD_ARROW = pa.schema([
@@ -125,8 +127,8 @@ class WordEncoder:
     """The library's ids of whole texts, looked up by word.
 
     The vocabulary lower-cases, drops white space and ends every word. Texts of Latin-1 characters are split by the
-    file's own pattern, spelled out for that range; the library gives the ids of words not met before, many in one
-    call, and they are remembered. Any other text goes through the library as a whole.
+    file's own pattern, spelled out for that range; the library's model gives the ids of words not met before, many
+    in one call, and they are remembered. Any other text goes through the library as a whole.
     """
 
     def __init__(self, text: str):
@@ -134,6 +136,9 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         vocab = self.library.get_vocab(with_added_tokens=True)
+        self.model = Tokenizer.from_str(json.dumps({  # the same merges for words that are split and byte-mapped here
+            **json.loads(text), "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.escape = dict(enumerate(byte_characters()))
         self.bits = max(vocab.values()).bit_length()
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.ends = np.zeros(1 << self.bits, dtype=bool)
@@ -143,7 +148,8 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.library.encode(" ".join(new), add_special_tokens=False).ids, dtype=self.kind)
+        mapped = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.escape) for w in new]
+        ids = np.array(self.model.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, dtype=self.kind)
         at = np.flatnonzero(self.ends[ids]) + 1
         if len(at) != len(new):
             raise ValueError("a word of the vocabulary has no end mark")
