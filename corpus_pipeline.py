@@ -14,11 +14,15 @@ from webtraj.llm.shared import table
 from webtraj.session import cut_lineage
 
 
+def _quoted(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from the labels outside the held-out third, doesn't call toxic."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     judged = toxicity.add_evidence(docs, lexicon, "text", "__evidence")
-    return judged.where(F.col("__evidence.score") < toxicity.THRESHOLD).select(*docs.columns)
+    return judged.where(F.col("__evidence.score") < toxicity.THRESHOLD).select(*_quoted(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     first = minhash.near_copies(docs).where("doc_id = class_id").select("doc_id").distinct()
     others = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
     kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__r"))
-    return kept.select("doc_id", "__r.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return kept.select("doc_id", "__r.*").select(*_quoted(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,9 @@ def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; ``n_chars`` follows."""
-    clean = pii.redact(docs, "text")
-    return (clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean).select(*docs.columns)
+    names = [c for c in ("base", "added", "proposed") if c in docs.columns]  # columns that the search for spans would replace
+    clean = pii.redact(docs.withColumnsRenamed({c: f"__{c}" for c in names}), "text").withColumnsRenamed({f"__{c}": c for c in names})
+    return (clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean).select(*_quoted(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

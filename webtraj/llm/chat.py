@@ -22,7 +22,7 @@ TURN = "struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:bo
 TURN_ARROW = pa.struct([("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("loss", pa.bool_())])
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
 _BODY = r"((?:[^\\<\[]|\\.)*)"
-_READ = re.compile("|".join([*(re.escape(a) + _BODY + re.escape(b) for a, b in MARKS.values()), f"<role:{_BODY}>{_BODY}</role>"]), re.S)
+_READ = re.compile("|".join([*(re.escape(a) + _BODY + re.escape(b) for a, b in MARKS.values()), f"<role>{_BODY}<text>{_BODY}</role>"]), re.S)
 
 
 def escape(text: str) -> str:
@@ -38,7 +38,7 @@ def template(turns: list[tuple[str, str]]) -> str:
     """The default template: turns of known roles between marks, others with their role's name."""
     out = []
     for role, text in turns:
-        a, b = MARKS.get(role) or (f"<role:{escape(role)}>", "</role>")
+        a, b = MARKS.get(role) or (f"<role>{escape(role)}<text>", "</role>")
         out.append(f"{a}{escape(text)}{b}")
     return "".join(out)
 

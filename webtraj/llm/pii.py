@@ -155,8 +155,8 @@ def fit(df: DataFrame, text: str = "text", precision: float = 0.95, least: int =
     selects nothing.
     """
     cells = (_proposed(df.select(text), text).where("size(proposed) > 0")
-             .select(F.explode(F.transform("proposed", lambda c: F.struct(c.alias("c"), _overlap(c, F.col("base")).cast("int").alias("y")))).alias("x"))
-             .select(*[F.col(f"x.c.{f}").alias(f) for f in FEATURES], "x.y", F.pmod(F.xxhash64("x.c"), F.lit(2)).alias("fold"))
+             .select(F.col(f"`{text}`").alias("__text"), F.explode(F.transform("proposed", lambda c: F.struct(c.alias("c"), _overlap(c, F.col("base")).cast("int").alias("y")))).alias("x"))
+             .select(*[F.col(f"x.c.{f}").alias(f) for f in FEATURES], "x.y", F.pmod(F.xxhash64("__text", "x.c.start"), F.lit(2)).alias("fold"))
              .groupBy(*FEATURES, "fold").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).collect())
     if not cells:
         return None
@@ -170,7 +170,7 @@ def fit(df: DataFrame, text: str = "text", precision: float = 0.95, least: int =
     for gen in range(len(GENERATORS)):
         rows = check & (x[:, 0] == gen)
         fitting = [s for s in np.unique(scores[rows]) if (p := pos[rows & (scores >= s)].sum()) >= least and p >= precision * n[rows & (scores >= s)].sum()]
-        thresholds.append(float(min(fitting)) if fitting else float("inf"))
+        thresholds.append(float(min(fitting)) - 1e-9 if fitting else float("inf"))  # sums differ in their last bits
     return model, thresholds
 
 

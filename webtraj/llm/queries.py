@@ -108,7 +108,7 @@ WITH rows_ AS (
 sized AS (
     SELECT *, length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) + CASE role
         WHEN 'user' THEN 15 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7
-        ELSE 14 + length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) END AS chars FROM rows_)
+        ELSE 19 + length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) END AS chars FROM rows_)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

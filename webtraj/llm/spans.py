@@ -23,7 +23,8 @@ def matches(text: Column, pattern: str, group: int | None = None, context: int =
 
     ``split`` gives what lies between the matches and ``regexp_extract_all`` the matches; lengths add up to places,
     in chunks, so that thousands of matches in one text stay cheap. ``value`` is the given group, ``before`` up to
-    ``context`` characters in front of the match (not beyond the match before). The pattern must not match nothing.
+    ``context`` characters in front of the match (not beyond the match before). The pattern must not match
+    the empty text; a null text has no matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webtraj.session import cut_lineage
+
 from .shared import bound_batches, ship, worker_state
 
 MAX_TRAIN = 20_000  # labelled documents that the lexicon and the curve are fitted on, chosen by a hash of doc_id
@@ -27,6 +29,7 @@ MAX_TERMS = 1_000
 MAX_PHRASES = 5_000
 COUNT_CAP = 5  # occurrences of a term in one document that count as evidence while learning
 THRESHOLD = 0.7
+SUPPORT = 25.0  # least likelihood ratio of a term
 # Letters that look like Latin ones, and digits and signs read as letters.
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝвкмнтɡαερονικυτⅼ", "aeopcyxijshdqwbkmhtgaepovikutl"))
 DIGITS = dict(zip("01345789@$", "oieastbgas"))
@@ -177,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Without labelled documents of both kinds the lexicon is empty and every score is 0.
     """
     bound_batches(docs.sparkSession)
-    rows = _train_rows(docs, labels, doc_id, text, max_train)
+    rows = cut_lineage(_train_rows(docs, labels, doc_id, text, max_train), "train")
     sizes = {bool(r["toxic"]): r["n"] for r in rows.groupBy(F.col("toxic") > 0).agg(F.count(F.lit(1)).alias("n")).toDF("toxic", "n").collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad or not good:
@@ -185,9 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counted = rows.select("text", "toxic").mapInArrow(_count_terms, "term string, c0 long, d0 long, c1 long, d1 long")
     totals = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("c0", "d0", "c1", "d1")])
     weight = F.log((F.col("c1") + 0.5) / bad) - F.log((F.col("c0") + 0.5) / good)
+    part = lambda n, whole: F.when(n > 0, n * F.log(n * (bad + good) / ((F.col("d1") + F.col("d0")) * whole))).otherwise(0.0)
     scored = totals.where(F.col("d1") >= max(4, bad // 400)).withColumn("weight", weight).withColumn(
-        "z", F.col("weight") / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5)))
-    top = scored.where("weight >= 1 and z >= 5").orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
+        "support", 2 * (part(F.col("d1"), bad) + part(F.col("d0"), good)))  # likelihood ratio of the document counts
+    top = scored.where(F.col("weight") >= 1).where(F.col("support") >= SUPPORT).orderBy(F.desc("support"), "term").limit(MAX_TERMS).collect()
     weights = {r["term"]: round(r["weight"], 6) for r in top}
     draft = Lexicon(weights)
 
