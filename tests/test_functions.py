@@ -143,7 +143,7 @@ def test_layout(values):
     for p in text.split("\n"):
         want += textwrap.wrap(p, width=10, expand_tabs=False, replace_whitespace=False, break_long_words=True) if p.strip() else [""]
     assert column(values([text], L.wrapped_lines(r, 10))) == [want]
-    assert values(["x"], L.canvas(F.lit(200), 20))[0][0] == (2048, True, 98)
+    assert values(["x"], L.canvas(F.lit(200), 20))[0][0] == (3, 2048, True, 98)
     assert values(["x"], L.compressed_side(F.lit(100), 4.0), L.compressed_side(F.lit(30), 4.0), L.compressed_side(F.lit(30), 1.0)) == [(50, 28, 30)]
     assert values(["x"], L.image_tokens(F.lit(15), F.lit(28))) == [(4,)]
     costs = values(["x"], L.token_costs(F.lit(10), F.lit(30)))[0][0]

@@ -18,7 +18,7 @@ BARE_VERBS = ("new_tab", "close_tab", "go_back", "go_forward")
 
 # Numeric codes of parsed actions.
 CODES = {
-    "none": 0, "scroll": 1, "press": 2, "click": 6, "type": 7, "hover": 8, "tab_focus": 9,
+    "none": 0, "scroll": 1, "press": 2, "mouse_click": 3, "keyboard_type": 4, "mouse_hover": 5, "click": 6, "type": 7, "hover": 8, "tab_focus": 9,
     "new_tab": 10, "go_back": 11, "go_forward": 12, "goto": 13, "close_tab": 14,
     "check": 15, "select": 16, "stop": 17,
 }
@@ -196,7 +196,10 @@ def _action_struct(h: Column) -> Column:
         "answer": on(stop=group("stop", 1)),
         "option": on(select=group("select", 2)),
     }
-    code = on(**{name: F.lit(number) for name, number in CODES.items() if name not in ("none", "check")})
+    fields["pw_code"] = on(select=F.concat(F.lit('page.get_by_test_id("'), group("select", 1), F.lit('").select_option("'), group("select", 2), F.lit('")')))
+    # What a text action never carries; the comparison of actions reads these, too.
+    fields |= {"role": F.lit(None).cast("int"), "name": F.lit(None).cast("string"), "coords": F.lit(None).cast("array<double>")}
+    code = on(**{name: F.lit(number) for name, number in CODES.items() if name not in ("none", "check", "mouse_click", "keyboard_type", "mouse_hover")})
     return let(F.coalesce(matched, verb.isin("stop", *BARE_VERBS)), lambda valid: F.struct(
         F.when(valid, F.coalesce(code, F.lit(0))).otherwise(F.lit(0)).alias("code"),
         F.when(valid, verb).alias("verb"),
@@ -280,15 +283,16 @@ def action_key(act: Column) -> Column:
     return F.concat(act["code"].cast("string"), F.lit(":"), F.coalesce(part, F.lit("")), extra)
 
 
-def equivalent(a: Column, b: Column) -> Column:
+def equivalent(a: Column, b: Column, low_level: bool = False) -> Column:
     """Whether two action structs mean the same step.
 
-    Elements compare by id, else by role and name, else by code; structs may carry the optional fields
-    ``role``, ``name`` and ``pw_code``.
+    Elements compare by id, else by role and name, else by code. Structs are those of ``parse_action``, or such
+    with ``role``, ``name`` and ``pw_code`` filled; null is unset. With ``low_level``, mouse actions compare by
+    ``coords`` and keyboard actions by ``text``.
     """
     by_element = (
         F.when((a["element_id"] != "") & (b["element_id"] != ""), a["element_id"] == b["element_id"])
-        .when((a["role"] != 0) & (b["role"] != 0), (a["role"] == b["role"]) & (a["name"] == b["name"]))
+        .when((a["role"] != 0) & (b["role"] != 0), (a["role"] == b["role"]) & (a["name"].eqNullSafe(b["name"])))
         .when((a["pw_code"] != "") & (b["pw_code"] != ""), a["pw_code"] == b["pw_code"])
         .otherwise(F.lit(False))
     )
@@ -301,8 +305,13 @@ def equivalent(a: Column, b: Column) -> Column:
         .when(code == CODES["goto"], a["url"] == b["url"])
         .when(code.isin(CODES["check"], CODES["select"]), a["pw_code"] == b["pw_code"])
         .when(code == CODES["stop"], a["answer"] == b["answer"])
-        .otherwise(F.lit(True))
     )
+    if low_level:
+        near = lambda x, y: F.abs(x - y) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(y)
+        at_place = (F.size(a["coords"]) == F.size(b["coords"])) & F.forall(F.zip_with(a["coords"], b["coords"], near), lambda ok: ok)
+        same = same.when(code.isin(CODES["mouse_click"], CODES["mouse_hover"]), at_place).when(
+            code == CODES["keyboard_type"], a["text"] == b["text"])
+    same = same.otherwise(F.lit(True))
     return (a["code"] == b["code"]) & F.coalesce(same, F.lit(False))
 
 

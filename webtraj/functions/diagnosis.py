@@ -58,9 +58,8 @@ def bad_verb(action: Column) -> Column:
 
 
 def bad_action_sample(action: Column) -> Column:
-    """``[verb] text`` with the first 80 characters of the action on one line."""
-    return F.concat(F.lit("["), bad_verb(action), F.lit("] "),
-                    F.replace(F.substring(action, 1, 80), F.lit("\n"), F.lit(" ")))
+    """``[verb] text`` with the whole action on one line."""
+    return F.concat(F.lit("["), bad_verb(action), F.lit("] "), F.replace(action, F.lit("\n"), F.lit(" ")))
 
 
 def mismatched(verb: Column, kind: Column) -> Column:

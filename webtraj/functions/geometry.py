@@ -64,6 +64,13 @@ def ordered_label(i: Column) -> Column:
     return F.when(i < 26, letter(i)).when(lead == 0, pair).otherwise(F.concat(letter(lead - 1), pair))
 
 
+def label_place(label: Column) -> Column:
+    """Place of an ordered label, null for any other text."""
+    code = lambda n: F.ascii(F.substring(label, n, 1)) - 65
+    return (F.when(label.rlike(r"\A[A-Z]\z"), code(1)).when(label.rlike(r"\A[A-Z]{2}\z"), 26 + code(1) * 26 + code(2))
+            .when(label.rlike(r"\A[A-Z]{3}\z"), 26 + (code(1) + 1) * 676 + code(2) * 26 + code(3)))
+
+
 def hashed_label(key: Column, letters: int = 3) -> Column:
     """Label that looks random yet is the same on every run: letters drawn from a hash of the key."""
     h = F.xxhash64(key)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .pyudfs import wrap_lines
 from .text import is_blank, strip
 
-# Fixed values of the canvas: paddings, title bar, longest text drawn, smallest image side, patch side.
-PAD_X, PAD_Y, TITLE_HEIGHT, MAX_CHARS, MIN_SIDE, PATCH = 20, 15, 35, 25000, 28, 14
+# Fixed values of the canvas: paddings, title bar, smallest image side, patch side.
+PAD_X, PAD_Y, TITLE_HEIGHT, MIN_SIDE, PATCH = 20, 15, 35, 28, 14
 
 
 def compact(text: Column) -> Column:
@@ -40,19 +40,20 @@ def wrapped_lines(text: Column, per_line: int) -> Column:
     return wrap_lines(text, F.lit(per_line))
 
 
-def drawn_text(text: Column, compacted: bool = True) -> Column:
-    """The part of a text that may be drawn at all."""
-    head = F.substring(text, 1, MAX_CHARS)
+def drawn_text(text: Column, compacted: bool = True, max_chars: int | None = None) -> Column:
+    """The text to draw: all of it unless the caller sets ``max_chars``."""
+    head = text if max_chars is None else F.left(text, F.lit(max_chars))
     return compact(head) if compacted else head
 
 
 def canvas(line_count: Column, line_height: int, max_height: int = 2048) -> Column:
-    """Canvas height, whether it is cut, and how many lines are drawn on it."""
+    """Canvas height, whether it is cut, how many lines are drawn on it, and how many canvases hold all lines."""
     needed = line_count * line_height + (2 * PAD_Y + TITLE_HEIGHT)
     cut = needed > max_height
     # A line is drawn while two more would still fit above the bottom.
     fitting = F.greatest(F.floor((F.lit(max_height) - (PAD_Y + TITLE_HEIGHT)) / line_height) - 1, F.lit(0))
     return F.struct(
+        F.when(cut, F.ceil(line_count / F.greatest(fitting, F.lit(1)))).otherwise(F.lit(1)).cast("int").alias("canvases"),
         F.least(needed, F.lit(max_height)).cast("int").alias("height"),
         cut.alias("truncated"),
         F.when(cut, F.least(fitting, line_count)).otherwise(line_count).cast("int").alias("lines_drawn"),

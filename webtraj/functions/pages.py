@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .text import strip, words
 
-MAX_NODE_TEXT = 500
-
 
 def clean_html(html: Column) -> Column:
     """Without comments, styles and scripts, whitespace collapsed."""
@@ -17,8 +15,10 @@ def clean_html(html: Column) -> Column:
     return strip(F.regexp_replace(html, r"(?U)\s+", " "))
 
 
-def node_text(text: Column) -> Column:
-    return F.substring(strip(F.coalesce(text, F.lit(""))), 1, MAX_NODE_TEXT)
+def node_text(text: Column, width: int | None = None) -> Column:
+    """Stripped text; a ``width`` shortens it."""
+    whole = strip(F.coalesce(text, F.lit("")))
+    return whole if width is None else F.left(whole, F.lit(width))
 
 
 def _carries_meaning(key: Column, value: Column) -> Column:
@@ -26,7 +26,8 @@ def _carries_meaning(key: Column, value: Column) -> Column:
     return ~(((key == "role") & value.isin("presentation", "none", "link")) | ((key == "type") & (value == "hidden")))
 
 
-def shown_attributes(attrs: Column, wanted: list[str] | None = None, hidden: tuple[str, ...] = ()) -> Column:
+def shown_attributes(attrs: Column, wanted: list[str] | None = None, hidden: tuple[str, ...] = (),
+                     width: int | None = None) -> Column:
     """Attributes to print, as (key, val) in order.
 
     All of them when no list is given, blanks included; else the wanted ones in list order, without blanks.
@@ -39,7 +40,7 @@ def shown_attributes(attrs: Column, wanted: list[str] | None = None, hidden: tup
         entries = F.transform(F.map_entries(attrs), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("val")))
     kept = F.filter(entries, lambda e: _carries_meaning(e["key"], e["val"]) & ~e["key"].isin(*hidden) if hidden
                     else _carries_meaning(e["key"], e["val"]))
-    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), node_text(e["val"]).alias("val")))
+    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), node_text(e["val"], width).alias("val")))
 
 
 def meaningful_attributes(attrs: Column) -> Column:

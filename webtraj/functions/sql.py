@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .text import WHITESPACE
+
 FUNCTIONS = (
+    f"web_strip(value STRING) RETURNS STRING RETURN trim(BOTH '{WHITESPACE}' FROM value)",
     r"""web_last_command(reply STRING) RETURNS STRING RETURN coalesce(
-      trim(try_element_at(regexp_extract_all(reply, r'(?Usd)<action>\s*(.*?)\s*</action>', 1), -1)),
-      trim(replace(try_element_at(regexp_extract_all(reply, r'(?Usd)```\s*(\S.*?\S)\s*```', 1), -1), '```', '')), '')""",
+      web_strip(try_element_at(regexp_extract_all(reply, r'(?Usd)<action>\s*(.*?)\s*</action>', 1), -1)),
+      web_strip(replace(try_element_at(regexp_extract_all(reply, r'(?Usd)```\s*(\S.*?\S)\s*```', 1), -1), '```', '')), '')""",
     r"""web_last_conclusion(reply STRING) RETURNS STRING RETURN coalesce(
-      trim(try_element_at(regexp_extract_all(reply, r'(?Usd)<conclusion>\s*(.*?)\s*</conclusion>', 1), -1)), '')""",
+      web_strip(try_element_at(regexp_extract_all(reply, r'(?Usd)<conclusion>\s*(.*?)\s*</conclusion>', 1), -1)), '')""",
     r"""web_elements(observation STRING) RETURNS TABLE(id STRING, type STRING) RETURN SELECT e.`0`, lower(e.`1`)
       FROM (SELECT explode(arrays_zip(regexp_extract_all(observation, r'(?Umd)^[\t ]*[\[<](\d+)[\]>]\s+([a-zA-Z]+)', 1),
         regexp_extract_all(observation, r'(?Umd)^[\t ]*[\[<](\d+)[\]>]\s+([a-zA-Z]+)', 2))) AS e)""",

@@ -69,17 +69,18 @@ def wrap_turn(text: Column, done: Column) -> Column:
 
 
 def _user_block(item: Column) -> Column:
-    none = F.lit("None")
-    return F.concat(F.lit("Objective: "), item["question"], F.lit("\n\nURL: "), item["url"],
-                    F.lit("\nObservation:\n"), item["observation"], F.lit("\nParsed Previous Action:\n"),
-                    F.coalesce(item["previous_action"], none), F.lit("\n"))
+    shown = lambda name: F.coalesce(item[name], F.lit("None"))
+    return F.concat(F.lit("Objective: "), shown("question"), F.lit("\n\nURL: "), shown("url"),
+                    F.lit("\nObservation:\n"), shown("observation"), F.lit("\nParsed Previous Action:\n"),
+                    shown("previous_action"), F.lit("\n"))
 
 
 def render_chat(history: Column, system: str, form: str = "full") -> Column:
     """Prompt text of a history array.
 
     ``full`` shows every item, ``single`` the first and the last, ``last`` only the last user item bare.
-    Items have role, question, url, observation, previous_action and pred.
+    Items have role, question, url, observation, previous_action and pred; a null field reads ``None``, a role
+    other than system, user and assistant is an error.
     """
     if form == "last":
         return _user_block(F.try_element_at(history, F.lit(-1)))
@@ -92,7 +93,8 @@ def render_chat(history: Column, system: str, form: str = "full") -> Column:
         return (
             F.when(item["role"] == "system", F.lit(f"{TURN_START}system\n{system}{TURN_END}\n"))
             .when(item["role"] == "user", F.concat(F.lit(f"{TURN_START}user\n"), _user_block(item), F.lit(f"{TURN_END}\n\n")))
-            .when(item["role"] == "assistant", F.concat(F.lit(f"{TURN_START}assistant "), item["pred"], F.lit(f"\n{TURN_END}")))
+            .when(item["role"] == "assistant", F.concat(F.lit(f"{TURN_START}assistant "), F.coalesce(item["pred"], F.lit("None")), F.lit(f"\n{TURN_END}")))
+            .otherwise(F.raise_error(F.concat(F.lit("unknown role "), F.coalesce(item["role"], F.lit("None")))))
         )
 
     return F.concat(F.array_join(F.transform(shown, text), ""), F.lit(f"{TURN_START}assistant"))

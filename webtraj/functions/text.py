@@ -75,11 +75,23 @@ def is_numeric_text(c: Column) -> Column:
     return c.rlike(r"\A[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?\z")
 
 
+UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"  # controls, formats, surrogates, private and unassigned signs, separators but the blank
+
+
+def _escaped(char: Column) -> Column:
+    """One character, as an escape if it is not printable."""
+    code = F.ascii(char)
+    digits = lambda n: F.lpad(F.lower(F.hex(code)), n, "0")
+    return F.when(~char.rlike(UNPRINTABLE), char).when(code < 256, F.concat(F.lit("\\x"), digits(2))).when(
+        code < 65536, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+
+
 def py_repr(c: Column) -> Column:
-    """Quoting as repr() does: single quotes unless the text holds ' and no "."""
+    """Quoting as repr() does: single quotes unless the text holds ' and no ", unprintable characters escaped."""
     body = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    for raw, shown in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r"), ("\xa0", "\\xa0")):
+    for raw, shown in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
         body = F.replace(body, F.lit(raw), F.lit(shown))
+    body = F.when(body.rlike(UNPRINTABLE), F.array_join(F.transform(F.split(body, ""), _escaped), "")).otherwise(body)
     double_quoted = c.contains("'") & ~c.contains('"')
     return F.when(double_quoted, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))

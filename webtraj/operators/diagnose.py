@@ -107,9 +107,13 @@ def defect_details(findings: DataFrame) -> DataFrame:
     return found.groupBy("kind", "detail").agg(*aggs)
 
 
-def top_details(details: DataFrame, kind: str, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent details of one kind; ties keep the order of first occurrence."""
-    return details.filter(F.col("kind") == kind).orderBy(F.desc("times"), "first_ord").limit(n)
+def top_details(details: DataFrame, kind: str, n: int = 10, width: int | None = None) -> DataFrame:
+    """The ``n`` most frequent details of one kind; ties keep the order of first occurrence.
+
+    Whole texts are counted; ``width`` shortens what is shown.
+    """
+    top = details.filter(F.col("kind") == kind).orderBy(F.desc("times"), "first_ord").limit(n)
+    return top if width is None else top.withColumn("detail", F.left("detail", F.lit(width)))
 
 
 # The usual column order of the one-line report: prevalence 0-4 and step shares 5-7, rearranged.

@@ -103,19 +103,17 @@ def varied_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
     return df.join(keep, group, "left_semi")
 
 
-def tracked_steps(steps: DataFrame, key: str, order: str, rows_per_list: int = 1000) -> DataFrame:
-    """Ordered lists of all, valid and effective actions (null where not) and the summed reward.
+def tracked_steps(steps: DataFrame, key: str, order: str) -> DataFrame:
+    """Ordered lists of all, valid and effective actions (null where not) and the reward summed over the episode.
 
-    Needs response, action, is_valid, is_effective and reward. Long episodes continue in further rows
-    (``chunk``), so no list grows without bound.
+    Needs response, action, is_valid, is_effective and reward. An episode is one row.
     """
     penalised = F.col("reward") + F.when(F.col("is_valid"), 0.0).otherwise(-1.0)
     item = F.struct(
         F.col(order).alias("o"), F.col("response").alias("action"),
         F.when(F.col("is_valid"), F.col("action")).alias("valid"),
         F.when(F.col("is_effective"), F.col("action")).alias("effective"))
-    chunked = steps.withColumn("chunk", F.floor(F.col(order) / rows_per_list).cast("int"))
-    grouped = chunked.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(item)).alias("__x"), F.sum(penalised).alias("reward"))
+    grouped = steps.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__x"), F.sum(penalised).alias("reward"))
     return grouped.select(
-        key, "chunk", "reward", F.col("__x.action").alias("actions"),
+        key, "reward", F.col("__x.action").alias("actions"),
         F.col("__x.valid").alias("actions_valid"), F.col("__x.effective").alias("actions_effective"))

@@ -37,7 +37,14 @@ def _bucketed(df: DataFrame, keys: list[str], bucket: Column, hot_rows: int) ->
         return df.withColumn(_B, bucket)
     hot = df.groupBy(*keys).agg(F.expr("count(*) AS __n")).filter(f"__n > {hot_rows}").selectExpr(*map("`{}`".format, keys), "true AS __hot")
     # At most rows / hot_rows keys can be hot, so this side is small by construction.
-    return df.join(F.broadcast(hot), keys, "left").withColumn(_B, F.when(F.col("__hot"), bucket)).drop("__hot")
+    return _matched(df, F.broadcast(hot), keys).withColumn(_B, F.when(F.col("__hot"), bucket)).drop("__hot")
+
+
+def _matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys where a null equals a null; the other side's keys are dropped."""
+    renamed = other.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__k_{k}`")) for k in keys]
+    return df.join(renamed, same, "left").drop(*[f"__k_{k}" for k in keys])
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: dict[str, Column],
@@ -55,7 +62,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column, va
     along = f"{'PARTITION BY ' + _names(keys) if keys else ''} ORDER BY {_B} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = totals.selectExpr(*map("`{}`".format, parts), *[f"{how}(`__t_{n}`) OVER ({along}) AS `__off_{n}`" for n in values])
     total = {"sum": "coalesce(`__in_{0}`, 0) + coalesce(`__off_{0}`, 0) AS `{0}`", "max": "greatest(`__in_{0}`, `__off_{0}`) AS `{0}`"}[how]
-    return rows.join(offsets, parts, "left").selectExpr(*map("`{}`".format, columns), *[total.format(n) for n in values])
+    return _matched(rows, offsets, parts).selectExpr(*map("`{}`".format, columns), *[total.format(n) for n in values])
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "rank",
@@ -82,7 +89,7 @@ def runs(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value
         THEN 0 ELSE 1 END AS __joint""")
     offsets = joints.selectExpr(*map("`{}`".format, parts), f"""sum(__joint) OVER ({along})
         + coalesce(sum(__inside) OVER ({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS __off""")
-    return rows.join(offsets, parts, "left").selectExpr(
+    return _matched(rows, offsets, parts).selectExpr(
         *map("`{}`".format, columns), f"CAST(__in + coalesce(__off, 0) + 1 AS BIGINT) AS `{name}`")
 
 

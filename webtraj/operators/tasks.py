@@ -77,17 +77,18 @@ def step_samples(steps: DataFrame, style: str = "opensource") -> DataFrame:
     return out.withColumn("images", F.array(image)) if style == "opensource" else out
 
 
-def task_samples(steps: DataFrame, task: list[str], order: str, position: str, steps_per_row: int = 1000) -> DataFrame:
+def task_samples(steps: DataFrame, task: list[str], order: str, position: str, steps_per_row: int | None = None) -> DataFrame:
     """Task-level samples: one system message, then the user and assistant message of every step in order.
 
-    ``position`` is the 0-based step within its task. A task longer than ``steps_per_row`` continues in
-    further rows (``chunk``), so a hot task never has to fit into one row.
+    A task is one sample however long it is. Only on request do tasks of more than ``steps_per_row`` steps
+    continue in further rows (``chunk`` 1, 2, …; ``position`` is the 0-based step within the task).
     """
     image = F.concat(F.lit("images/"), image_name(F.col("prompt.observation")))
     step = F.struct(
         F.col(order).alias("o"), T.vision_user_text(F.col("prompt")).alias("user"), F.col("assistant"),
         image.alias("image"), F.col("system"), F.col("subset"), F.col("stage"))
-    chunked = steps.withColumn("chunk", F.floor(F.col(position) / steps_per_row).cast("int"))
+    chunk = F.lit(0) if steps_per_row is None else F.floor(F.col(position) / steps_per_row).cast("int")
+    chunked = steps.withColumn("chunk", chunk)
     nested = chunked.groupBy(*task, "chunk").agg(F.array_sort(F.collect_list(step)).alias("s"))
     turns = F.flatten(F.transform("s", lambda x: F.array(T.message("user", x["user"]), T.message("assistant", x["assistant"]))))
     first = F.col("s")[0]
@@ -107,10 +108,11 @@ def sample_steps(mode: str, has_images: bool = True) -> Column:
 
 
 def dataset_profile(samples: DataFrame, mode: str) -> DataFrame:
-    """Tasks, steps and image references of a sample file."""
+    """Tasks, steps and image references of a sample file; rows that continue a task are no tasks of their own."""
+    first = F.count_if(F.col("chunk") == 0) if "chunk" in samples.columns else F.count(F.lit(1))
     has_images = "images" in samples.columns
     refs = F.coalesce(F.when(F.col("images").isNotNull(), F.size("images")), F.lit(0)) if has_images else F.lit(0)
-    return samples.agg(F.count(F.lit(1)).alias("tasks"), F.coalesce(F.sum(sample_steps(mode, has_images)), F.lit(0)).alias("steps"),
+    return samples.agg(first.alias("tasks"), F.coalesce(F.sum(sample_steps(mode, has_images)), F.lit(0)).alias("steps"),
                        F.coalesce(F.sum(refs), F.lit(0)).alias("image_refs"))
 
 

@@ -32,10 +32,48 @@ def exploded(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, F.inline_outer("nodes")).filter(F.col("node_id").isNotNull())
 
 
+CHUNK = 128
+
+
+def _built(items: Column, item_type: str, make) -> Column:
+    """Array built item by item; ``make(item, at)`` may look up what it made before with ``at(place)``.
+
+    The result grows in chunks, so an item copies at most one chunk and long pages stay cheap.
+    """
+    empty, chunks = F.array().cast(f"array<{item_type}>"), F.array().cast(f"array<array<{item_type}>>")
+
+    def step(s: Column, x: Column) -> Column:
+        full, tail = s["full"], s["tail"]
+        filled = F.size(full) * CHUNK
+        at = lambda i: F.when(i >= filled, F.get(tail, i - filled)).when(i >= 0, F.get(F.get(full, F.floor(i / CHUNK).cast("int")), i % CHUNK))
+        return let(F.concat(tail, F.array(make(x, at).cast(item_type))), lambda t: F.when(
+            F.size(t) < CHUNK, F.struct(full.alias("full"), t.alias("tail"))).otherwise(
+            F.struct(F.concat(full, F.array(t)).alias("full"), empty.alias("tail"))))
+
+    return F.aggregate(items, F.struct(chunks.alias("full"), empty.alias("tail")), step,
+                       lambda s: F.concat(F.flatten(s["full"]), s["tail"]))
+
+
 def _fold(nodes: Column, item_type: str, make) -> Column:
     """Array built node by node; ``make(node, parent_result)`` sees null for the root's parent."""
-    return F.aggregate(nodes, F.array().cast(f"array<{item_type}>"), lambda done, n: F.concat(
-        done, F.array(make(n, F.get(done, n["parent_id"])).cast(item_type))))
+    return _built(nodes, item_type, lambda n, at: make(n, at(n["parent_id"])))
+
+
+def _lower_bound(values: Column, x: Column) -> Column:
+    """Place of the first element of an ascending array that isn't below ``x`` (its size if there is none)."""
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        return F.when(s["lo"] >= s["hi"], s).when(F.get(values, mid) < x, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 2)).cast("int") + 1)
+    return F.aggregate(rounds, start, halve, lambda s: s["lo"])
+
+
+def _place(ids: Column, x: Column) -> Column:
+    """0-based place of ``x`` in ascending ``ids``, -1 where it is missing."""
+    return let(_lower_bound(ids, x), lambda i: F.when(F.get(ids, i) == x, i).otherwise(F.lit(-1)))
 
 
 def xpaths(nodes: Column) -> Column:
@@ -83,11 +121,13 @@ def with_dom_text(pages: DataFrame, name: str = "dom", style: str = "refine", pa
 
 
 def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None = None,
-              wanted: list[str] | None = None, label_attr: str = "", window: tuple | None = None) -> Column:
+              wanted: list[str] | None = None, label_attr: str = "", window: tuple | None = None,
+              width: int | None = None) -> Column:
     """Everything the DOM text needs, decided natively: labels, visibility, printed attributes.
 
-    Nodes to keep or observe get labels A, B, C, … in page order unless they carry one. With a window,
-    a node is visible when its ``rect`` attribute touches it.
+    Nodes to keep or observe get labels A, B, C, … in page order unless they carry one; labels that the
+    page already uses are passed over. With a window, a node is visible when its ``rect`` attribute
+    touches it. ``width`` shortens the printed texts and values, never the nodes.
     """
     keep = keep if keep is not None else F.array().cast("array<int>")
     observed = observed if observed is not None else F.array().cast("array<int>")
@@ -103,18 +143,30 @@ def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None
         n.alias("n"), v.alias("visible"), own(n).alias("own"), F.array_contains(keep, n["node_id"]).alias("kept"),
         (F.array_contains(keep, n["node_id"]) | (v & (F.array_contains(observed, n["node_id"]) | (own(n) != "")))).alias("labelled"))))
 
-    def number(done: Column, f: Column) -> Column:
-        fresh = f["labelled"] & (f["own"] == "")
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0))
-        return F.concat(done, F.array(last + F.when(fresh, 1).otherwise(0)))
+    def numbers(fs: Column) -> Column:
+        """Place in the order of labels for every fresh one, past those in use."""
+        taken = F.array_sort(F.array_distinct(F.filter(F.transform(fs, lambda f: G.label_place(f["own"])), lambda p: p.isNotNull())))
+
+        def next_free(last: Column, used: Column) -> Column:
+            start = last + 1
+            return F.aggregate(F.slice(used, _lower_bound(used, start) + 1, F.size(used) + 1), start,
+                               lambda at, u: at + F.when(u == at, 1).otherwise(0))
+
+        def number(item: Column, at, used: Column) -> Column:
+            last = F.coalesce(at(item["i"] - 1), F.lit(-1))
+            return F.when(item["fresh"], next_free(last, used)).otherwise(last)
+
+        items = F.transform(fs, lambda f, i: F.struct(i.alias("i"), (f["labelled"] & (f["own"] == "")).alias("fresh")))
+        return let(taken, lambda used: _built(items, "int", lambda item, at: number(item, at, used)))
 
     hidden = tuple(a for a in (label_attr,) if a)
-    return let(flagged, lambda fs: let(F.aggregate(fs, F.array().cast("array<int>"), number), lambda nums: let(
+    short = lambda t: t if width is None else F.left(t, F.lit(width))
+    return let(flagged, lambda fs: let(numbers(fs), lambda nums: let(
         F.transform(fs, lambda f: f["n"]["node_id"]), lambda ids: F.transform(fs, lambda f, i: F.struct(
-            i.alias("pos"), (F.array_position(ids, f["n"]["parent_id"]).cast("int") - 1).alias("up"),
-            f["n"]["tag"].alias("tag"), f["n"]["text"].alias("text"), f["visible"].alias("visible"), f["kept"].alias("kept"),
-            F.when(f["own"] != "", f["own"]).when(f["labelled"], G.ordered_label(F.get(nums, i) - 1)).otherwise(F.lit("")).alias("label"),
-            P.shown_attributes(f["n"]["attrs"], wanted, hidden).alias("shown"))))))
+            i.alias("pos"), _place(ids, f["n"]["parent_id"]).alias("up"),
+            f["n"]["tag"].alias("tag"), short(f["n"]["text"]).alias("text"), f["visible"].alias("visible"), f["kept"].alias("kept"),
+            F.when(f["own"] != "", f["own"]).when(f["labelled"], G.ordered_label(F.get(nums, i))).otherwise(F.lit("")).alias("label"),
+            P.shown_attributes(f["n"]["attrs"], wanted, hidden, width).alias("shown"))))))
 
 
 # ---- neighbourhoods and pruning ---------------------------------------------------------------
@@ -153,8 +205,10 @@ def _keep_set(nodes: Column, keep: Column, max_depth: int, max_children: int, ma
         seeds = found
         max_children, max_depth, max_sibling = int(max_children * 0.5), int(max_depth * 0.5), int(max_sibling * 0.7)
     if keep_parents:
-        above = F.filter(nodes, lambda m: F.exists(keep, lambda k: F.exists(nodes, lambda c: (
-            (c["node_id"] == k) & (m["node_id"] < k) & (m["last_id"] >= c["last_id"])))))
+        ends = F.filter(F.transform(nodes, lambda c: F.when(F.array_contains(keep, c["node_id"]), F.struct(
+            c["node_id"].alias("at"), c["last_id"].alias("last")))), lambda c: c.isNotNull())
+        above = let(ends, lambda es: F.filter(nodes, lambda m: F.exists(es, lambda c: (
+            (m["node_id"] < c["at"]) & (m["last_id"] >= c["last"])))))
         found = F.array_union(found, F.transform(above, lambda m: m["node_id"]))
     return F.array_sort(found)
 
@@ -234,7 +288,7 @@ def prune_viewport(nodes: Column, win_w: float, win_h: float) -> Column:
 def renumbered(nodes: Column) -> Column:
     """Places 0, 1, 2, … again after a prune."""
     return let(nodes, lambda ns: let(F.transform(ns, lambda n: n["node_id"]), lambda ids: F.transform(ns, lambda n, i: n.withField(
-        "node_id", i).withField("parent_id", F.array_position(ids, n["parent_id"]).cast("int") - 1))))
+        "node_id", i).withField("parent_id", _place(ids, n["parent_id"])))))
 
 
 def _indented(nodes: Column, line, shown, deepens) -> Column:
@@ -275,22 +329,35 @@ def decode_snapshot(snapshot: Column) -> Column:
             text(F.get(pairs, k * 2)), F.lit('="'), P.clean_attribute(text(F.get(pairs, k * 2 + 1))), F.lit('"'))), " ")
 
     parents = s["parent_index"]
-    children = lambda i: F.filter(F.transform(parents, lambda p, j: F.when(p == i, j.cast("string"))), lambda x: x.isNotNull())
-    return F.transform(s["node_name"], lambda name, i: F.struct(
-        i.cast("string").alias("id"), text(name).alias("name"),
-        F.array_join(F.filter(F.split(F.coalesce(text(F.get(s["node_value"], i)), F.lit("")), r"(?U)\s+"), lambda w: w != ""), " ").alias("value"),
-        attributes(F.get(s["attributes"], i)).alias("attributes"),
-        F.get(s["backend_id"], i).cast("string").alias("backend_id"), children(i).alias("child_ids"),
-        F.when(F.get(parents, i) < 0, F.array(*[F.lit(v) for v in (0.0, 0.0, 10.0, 10.0)])).otherwise(F.coalesce(
-            F.get(s["bounds"], F.array_position(s["layout_index"], i).cast("int") - 1),
-            F.array(*[F.lit(0.0)] * 4))).alias("bound"),
-        i.alias("node_id"), F.get(parents, i).alias("parent_id")))
+    by_parent = F.array_sort(F.transform(parents, lambda p, j: F.struct(p.alias("p"), j.alias("j"))))
+    placed = F.array_sort(F.transform(s["layout_index"], lambda n, j: F.struct(n.alias("n"), j.alias("j"))))
+
+    def tables(kids: Column, boxes: Column) -> Column:
+        return let(F.transform(kids, lambda x: x["p"]), lambda ups: let(F.transform(boxes, lambda x: x["n"]), lambda ns: nodes(
+            lambda i: let(_lower_bound(ups, i), lambda a: F.transform(
+                F.slice(kids, a + 1, _lower_bound(ups, i + 1) - a), lambda x: x["j"].cast("string"))),
+            lambda i: F.get(s["bounds"], F.get(boxes, F.when(_place(ns, i) >= 0, _place(ns, i)))["j"]))))
+
+    def nodes(children, box) -> Column:
+        return F.transform(s["node_name"], lambda name, i: F.struct(
+            i.cast("string").alias("id"), text(name).alias("name"),
+            F.array_join(F.filter(F.split(F.coalesce(text(F.get(s["node_value"], i)), F.lit("")), r"(?U)\s+"), lambda w: w != ""), " ").alias("value"),
+            attributes(F.get(s["attributes"], i)).alias("attributes"),
+            F.get(s["backend_id"], i).cast("string").alias("backend_id"), children(i).alias("child_ids"),
+            F.when(F.get(parents, i) < 0, F.array(*[F.lit(v) for v in (0.0, 0.0, 10.0, 10.0)])).otherwise(F.coalesce(
+                box(i), F.array(*[F.lit(0.0)] * 4))).alias("bound"),
+            i.alias("node_id"), F.get(parents, i).alias("parent_id")))
+
+    return let(by_parent, lambda kids: let(placed, lambda boxes: tables(kids, boxes)))
 
 
 def snapshot_text(nodes: Column) -> Column:
-    """Snapshot nodes in pre-order as ``[i] <tag attrs> value`` lines; nodes with neither attribute nor value are left out."""
+    """Snapshot nodes in pre-order as ``[i] <tag attrs> value`` lines, each with its line break.
+
+    ``i`` is the node's own number in the snapshot; nodes with neither attribute nor value are left out.
+    """
     shown = lambda n: (n["attributes"] != "") | (n["value"] != "")
     line = lambda n: F.concat(
-        F.lit("["), n["node_id"].cast("string"), F.lit("] <"), n["name"],
+        F.lit("["), n["id"], F.lit("] <"), n["name"],
         F.when(n["attributes"] != "", F.concat(F.lit(" "), n["attributes"])).otherwise(F.lit("")), F.lit("> "), n["value"])
-    return F.array_join(_indented(nodes, line, shown, shown), "\n")
+    return F.array_join(F.transform(_indented(nodes, line, shown, shown), lambda t: F.concat(t, F.lit("\n"))), "")

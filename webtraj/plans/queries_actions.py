@@ -98,16 +98,13 @@ def distinct_actions(spark, d):
 , o AS (SELECT s.event_id, s.traj_id, s.step, p.code, coalesce(p.element_id, p.direction, p.key_comb, CAST(p.page_number AS VARCHAR), p.url, p.answer, '') AS arg
   FROM steps s JOIN parsed p ON s.event_id = p.event_id),
 l AS (SELECT event_id, code, arg, lag(code) OVER w AS pc, lag(arg) OVER w AS pa FROM o WINDOW w AS (PARTITION BY traj_id ORDER BY step))
-SELECT event_id, coalesce(code = pc AND arg = pa, false) AS same_as_before FROM l WHERE code <> 16""")
+SELECT event_id, coalesce(code = pc AND arg = pa, false) AS same_as_before FROM l""")
 def repeated_actions(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("traj_id").orderBy("step")
-    none = F.lit("").alias("pw_code")
-    full = F.struct("act.*", F.lit(0).alias("role"), F.lit("").alias("name"), none)
-    out = _parsed(spark, d).withColumn("full", full).withColumn("before", F.lag("full").over(w))
-    return out.filter(F.col("act.code") != A.CODES["select"]).select(
-        "event_id", F.coalesce(A.equivalent(F.col("full"), F.col("before")), F.lit(False)).alias("same_as_before"))
+    out = _parsed(spark, d).withColumn("before", F.lag("act").over(w))
+    return out.select("event_id", F.coalesce(A.equivalent(F.col("act"), F.col("before")), F.lit(False)).alias("same_as_before"))
 
 
 @query("action_descriptions", "WITH " + STEPS + r"""

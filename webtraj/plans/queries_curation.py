@@ -327,17 +327,17 @@ def built_rows(spark, d):
 
 # ---- layout -----------------------------------------------------------------------------------
 
-_COMPACT = f"trim(regexp_replace(regexp_replace(text[1:25000], '\\\\n|\\\\t|\\n|\\t', ' ', 'g'), ' +', ' ', 'g'), {WS})"
+_COMPACT = f"trim(regexp_replace(regexp_replace(text, '\\\\n|\\\\t|\\n|\\t', ' ', 'g'), ' +', ' ', 'g'), {WS})"
 
 
-@query("compact_texts", f"""SELECT doc_id, md5({_COMPACT.replace('text[1:25000]', 'text')}) AS compact, md5(trim(regexp_replace(regexp_replace(regexp_replace(text || ' url: http://a/b?c d', '\\\\n|\\\\t|\\n|\\t', ' ', 'g'), 'url:\\s*https?://\\S+', '', 'g'), ' +', ' ', 'g'), {WS})) AS no_urls FROM documents""")
+@query("compact_texts", f"""SELECT doc_id, md5({_COMPACT}) AS compact, md5(trim(regexp_replace(regexp_replace(regexp_replace(text || ' url: http://a/b?c d', '\\\\n|\\\\t|\\n|\\t', ' ', 'g'), 'url:\\s*https?://\\S+', '', 'g'), ' +', ' ', 'g'), {WS})) AS no_urls FROM documents""")
 def compact_texts(spark, d):
     return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(L.compact(F.col("text"))).alias("compact"),
                                                  F.md5(L.compact_no_urls(F.concat("text", F.lit(" url: http://a/b?c d")))).alias("no_urls"))
 
 
 @query("canvas_plans", f"""WITH c AS (SELECT doc_id, {_COMPACT} AS t FROM documents), l AS (SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE CAST(ceil(length(t) / 239.0) AS INTEGER) END AS lines FROM c)
-SELECT doc_id, lines, CAST(least(65 + lines * 20, 2048) AS INTEGER) AS height, 65 + lines * 20 > 2048 AS truncated,
+SELECT doc_id, lines, CAST(CASE WHEN 65 + lines * 20 > 2048 THEN ceil(lines / 98.0) ELSE 1 END AS INTEGER) AS canvases, CAST(least(65 + lines * 20, 2048) AS INTEGER) AS height, 65 + lines * 20 > 2048 AS truncated,
   CAST(CASE WHEN 65 + lines * 20 > 2048 THEN least(98, lines) ELSE lines END AS INTEGER) AS lines_drawn FROM l""")
 def canvas_plans(spark, d):
     per_line = L.chars_per_line(2048, 14)
@@ -351,7 +351,8 @@ def wrapped_canvas(spark, d):
     docs = X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", L.drawn_text(F.col("text")).alias("t"))
     wrapped = docs.withColumn("w", L.wrapped_lines(F.col("t"), L.chars_per_line(2048, 14)))
     plan = wrapped.withColumn("c", L.canvas(F.size("w"), 20))
-    return plan.select("doc_id", F.size("w").alias("lines"), "c.height", "c.truncated", L.chars_drawn(F.col("w"), F.col("c.lines_drawn")).alias("chars_drawn"))
+    return plan.select("doc_id", F.size("w").alias("lines"), L.chars_drawn(F.col("w"), F.size("w")).alias("chars"), "c.canvases", "c.height", "c.truncated",
+                       L.chars_drawn(F.col("w"), F.col("c.lines_drawn")).alias("chars_drawn"))
 
 
 @query("image_token_costs", r"""WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS BIGINT) AS tok, CAST(n_chars % 1500 + 20 AS INTEGER) AS w, CAST(n_chars % 900 + 20 AS INTEGER) AS h FROM documents),

@@ -79,7 +79,7 @@ details AS (
   UNION ALL SELECT 'action_tag', CASE WHEN NOT contains(lower(tail), '</action>') THEN '1_tag_not_closed' WHEN NOT contains(lower(tail), '<action>') THEN '2_tag_not_opened'
     WHEN strpos(lower(tail), '<action>') > 1 THEN '3_text_before_tag' ELSE '4_tag_garbled' END, event_id FROM bad WHERE format_kind = 'action_tag'
   UNION ALL SELECT 'backticks', CASE WHEN starts_with(tail, '`') AND NOT starts_with(tail, '```') THEN '1_too_few_backticks' ELSE '2_fence_garbled' END, event_id FROM bad WHERE format_kind = 'backticks'
-  UNION ALL SELECT 'bad_action', '[' || bad_verb || '] ' || replace(extracted[1:80], chr(10), ' '), event_id FROM bad WHERE starts_with(format_kind, 'bad_syntax:')
+  UNION ALL SELECT 'bad_action', '[' || bad_verb || '] ' || replace(extracted, chr(10), ' '), event_id FROM bad WHERE starts_with(format_kind, 'bad_syntax:')
   UNION ALL SELECT 'hallucinated_id', verb || ' [' || target || ']', event_id FROM bad WHERE hallucinated_id
   UNION ALL SELECT 'element_mismatch', verb || ' <' || target_type || '>', event_id FROM bad WHERE element_mismatch)"""
 

@@ -122,18 +122,20 @@ def viewport_trees(spark, d):
 
 
 @query("snapshot_texts", "WITH " + STEPS + r"""
-SELECT event_id, '[0] <HTML lang="en"> ' || chr(10) || chr(9) || '[1] <P class="a b"> Item ' || k || ' x' AS text FROM steps""")
+SELECT event_id, '[0] <HTML lang="en"> ' || chr(10) || CASE WHEN k % 3 = 0 THEN chr(9) || '[1] <DIV class="' || k || '"> ' || chr(10) || chr(9) ELSE '' END
+  || chr(9) || '[2] <P class="a b"> Item ' || k || ' x' || chr(10) || CASE WHEN k % 2 = 0 THEN chr(9) || '[3] <DIV> v' || k || chr(10) ELSE '' END AS text FROM steps""")
 def snapshot_texts(spark, d):
+    """Four shapes: the DIV between root and P shows and indents by every third k, a last DIV has text by every second."""
     i = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<int>")
     strings = F.array(F.lit("HTML"), F.lit("lang"), F.lit("en"), F.lit("P"), F.lit("class"), F.lit(" a vimium-x  b {opacity: 0;}"),
-                      F.concat(F.lit(" Item  "), "k", F.lit("\n x")), F.lit("DIV"))
-    snap = F.struct(strings.alias("strings"), i(0, 7, 3).alias("node_name"), i(-1, -1, 6).alias("node_value"),
-                    F.array(i(1, 2), i(), i(4, 5)).alias("attributes"), i(7, 8, 9).alias("backend_id"), i(-1, 0, 1).alias("parent_index"),
+                      F.concat(F.lit(" Item  "), "k", F.lit("\n x")), F.lit("DIV"), F.col("k").cast("string"), F.concat(F.lit("v"), "k"))
+    shown = F.when(F.col("k") % 3 == 0, i(4, 8)).otherwise(i())
+    last = F.when(F.col("k") % 2 == 0, F.lit(9)).otherwise(F.lit(-1))
+    snap = F.struct(strings.alias("strings"), i(0, 7, 3, 7).alias("node_name"), F.array(F.lit(-1), F.lit(-1), F.lit(6), last).alias("node_value"),
+                    F.array(i(1, 2), shown, i(4, 5), i()).alias("attributes"), i(7, 8, 9, 10).alias("backend_id"), i(-1, 0, 1, 0).alias("parent_index"),
                     i(2).alias("layout_index"), F.array(F.array(*[F.lit(1.0)] * 4)).alias("bounds"))
     pages = X.numbered_events(spark, d).select("event_id", T.decode_snapshot(snap).alias("nodes"))
-    text = T.snapshot_text(F.col("nodes"))
-    # Two nodes are shown; the bare DIV between them is not and does not indent its child.
-    return T.in_preorder(pages).select("event_id", F.regexp_replace(text, r"\[2\]", "[1]").alias("text"))
+    return T.in_preorder(pages).select("event_id", T.snapshot_text(F.col("nodes")).alias("text"))
 
 
 @query("kept_attributes", r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'href=' || trim(url) ELSE 'href=' || trim(url) || ';role=button' END AS attrs FROM pages""")

@@ -7,29 +7,37 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def build_session(app: str = "webtraj", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the jobs rely on; cluster settings win over these."""
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
+    """A session with the settings the jobs rely on; settings of the cluster and of ``conf`` win over these."""
+    builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a fresh local one only where none is set (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a fresh local one only on a local master that sets none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,5 +130,5 @@ def peek(df: DataFrame, n: int = 5):
 def image_files(spark: SparkSession, base_dir: str) -> DataFrame:
     """Paths of the files below a folder, relative to it; contents are never read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base_dir)
-    root = os.path.basename(base_dir.rstrip("/"))
+    root = re.escape(os.path.basename(base_dir.rstrip("/")))
     return listing.select(F.regexp_extract("path", rf"/{root}/(.*)$", 1).alias("path"))

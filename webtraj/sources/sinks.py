@@ -32,17 +32,22 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_json_array(df: DataFrame, column: str, order: str, path: str) -> None:
-    """One text column as a JSON array.
+    """One text column as a JSON array; nulls are ``null``, an empty table is ``[]``.
 
-    Part files joined in name order are the array, so no task or driver holds the whole list.
+    Part files joined in name order are the array, so no task or driver holds the whole list. Equal values of one
+    place share a line; the first and the last line carry the brackets.
     """
-    ends = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
-    marked = df.withColumn("__ends", ends)
-    item = F.get(F.split(F.to_json(F.struct(F.col(column).alias("x"))), ":", 2), F.lit(1))
-    text = F.concat(F.when(F.col(order) == F.col("__ends.lo"), F.lit("[")).otherwise(F.lit("")),
-                    F.substr(item, F.lit(1), F.length(item) - 1),
-                    F.when(F.col(order) == F.col("__ends.hi"), F.lit("]")).otherwise(F.lit(",")))
-    marked.orderBy(order).select(text.alias("value")).write.mode("overwrite").text(path)
+    shown = F.get(F.split(F.to_json(F.struct(F.col(column).alias("x")), {"ignoreNullFields": "false"}), ":", 2), F.lit(1))
+    item = F.substr(shown, F.lit(1), F.length(shown) - 1)
+    lines = df.select(F.col(order).alias("o"), item.alias("item")).groupBy("o", "item").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    place = F.struct("o", "item")
+    ends = lines.agg(F.struct(F.min(place).alias("lo"), F.max(place).alias("hi"))).scalar()
+    text = F.concat(F.when(place == F.col("ends.lo"), F.lit("[")).otherwise(F.lit("")),
+                    F.array_join(F.array_repeat("item", F.col("n")), ",\n"),
+                    F.when(place == F.col("ends.hi"), F.lit("]")).otherwise(F.lit(",")))
+    sorted_ = lines.withColumn("ends", ends).orderBy("o", "item").select(text.alias("value"))
+    nothing = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("[]").alias("value"))
+    sorted_.unionByName(nothing).write.mode("overwrite").text(path)
 
 
 def sidecar(path: str, kind: str) -> str:
