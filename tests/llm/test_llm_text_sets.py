@@ -210,9 +210,9 @@ def test_block_max_wand_equals_sums():
         scores = Counter()
         for t in sorted(set(terms)):
             for d, x in zip(doc[term == t].tolist(), impact[term == t].tolist()):
-                scores[d] += x
+                scores[d] += x * (1 + t / 7)
         want = sorted(((-s, d) for d, s in scores.items()))[:10]
-        got = shard.top(terms, 10)
+        got = shard.top({t: 1 + t / 7 for t in terms}, 10)
         assert [d for d, _ in got] == [d for _, d in want]
 
 
@@ -220,4 +220,6 @@ def test_search_defined_cases(spark):
     df = spark.createDataFrame([*clash_rows(HARD), (None, "two words", *["kept"] * 9)], CLASH)
     found = search.top_k(df, df).collect()
     assert {(r["query_id"], r["doc_id"]) for r in found} >= {(4, 4), (4, 5), (5, 4)} and all(r["doc_id"] is not None for r in found)
+    twice = spark.createDataFrame([(1, "red red fish"), (1, "blue fish"), (2, "red cat"), (3, "blue cat")], "doc_id long, text string")
+    assert [r["doc_id"] for r in search.top_k(twice, twice.where("doc_id = 1")).orderBy("rank").collect()] == [1, 2, 3]
     assert search.top_k(df.limit(0), df.limit(0)).count() == 0 and search.top_k(df, df.limit(0)).count() == 0
