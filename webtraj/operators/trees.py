@@ -35,28 +35,36 @@ def exploded(pages: DataFrame, key: str = "page_id") -> DataFrame:
 CHUNK = 128
 
 
-def _built(items: Column, item_type: str, make) -> Column:
-    """Array built item by item; ``make(item, at)`` may look up what it made before with ``at(place)``.
+def _scan(items: Column, start: Column, step, out, out_type: str) -> Column:
+    """``out(state)`` after each item, the state being carried from item to item by ``step(state, item)``.
 
-    The result grows in chunks, so an item copies at most one chunk and long pages stay cheap.
+    An aggregate copies its state for every item, so results never grow inside one: the states at the start of
+    each chunk come first, then the chunks are scanned apart, each collecting no more than ``CHUNK`` results.
     """
-    empty, chunks = F.array().cast(f"array<{item_type}>"), F.array().cast(f"array<array<{item_type}>>")
+    none = F.array().cast(f"array<{out_type}>")
 
-    def step(s: Column, x: Column) -> Column:
-        full, tail = s["full"], s["tail"]
-        filled = F.size(full) * CHUNK
-        at = lambda i: F.when(i >= filled, F.get(tail, i - filled)).when(i >= 0, F.get(F.get(full, F.floor(i / CHUNK).cast("int")), i % CHUNK))
-        return let(F.concat(tail, F.array(make(x, at).cast(item_type))), lambda t: F.when(
-            F.size(t) < CHUNK, F.struct(full.alias("full"), t.alias("tail"))).otherwise(
-            F.struct(F.concat(full, F.array(t)).alias("full"), empty.alias("tail"))))
+    def scanned(items: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, CHUNK))
+        first = F.struct(F.slice(F.array(F.struct(start.alias("s"))), 1, 0).alias("done"), start.alias("s"))
+        states = lambda cs: F.aggregate(cs, first, lambda acc, c: F.struct(
+            F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s")))).alias("done"), F.aggregate(c, acc["s"], step).alias("s")), lambda acc: acc["done"])
+        inside = lambda c, at: F.aggregate(c, F.struct(at["s"].alias("s"), none.alias("out")), lambda acc, x: let(step(acc["s"], x), lambda now: F.struct(
+            now.alias("s"), F.concat(acc["out"], F.array(out(now).cast(out_type))).alias("out"))), lambda acc: acc["out"])
+        return let(chunks, lambda cs: F.flatten(F.zip_with(cs, states(cs), inside)))
 
-    return F.aggregate(items, F.struct(chunks.alias("full"), empty.alias("tail")), step,
-                       lambda s: F.concat(F.flatten(s["full"]), s["tail"]))
+    return let(items, lambda xs: F.when(F.size(xs) > 0, scanned(xs)).otherwise(none))
 
 
 def _fold(nodes: Column, item_type: str, make) -> Column:
-    """Array built node by node; ``make(node, parent_result)`` sees null for the root's parent."""
-    return _built(nodes, item_type, lambda n, at: make(n, at(n["parent_id"])))
+    """One result per node in pre-order; ``make(node, parent_result)`` sees null for the root's parent.
+
+    The state is the path from the root to the node before, so the work is linear in nodes times depth.
+    """
+    def step(path: Column, n: Column) -> Column:
+        return let(F.filter(path, lambda e: e["id"] <= n["parent_id"]), lambda up: F.concat(up, F.array(F.struct(
+            n["node_id"].cast("int").alias("id"), make(n, F.get(up, F.size(up) - 1)["value"]).cast(item_type).alias("value")))))
+
+    return _scan(nodes, F.array().cast(f"array<struct<id:int,value:{item_type}>>"), step, lambda path: F.element_at(path, -1)["value"], item_type)
 
 
 def _lower_bound(values: Column, x: Column) -> Column:
@@ -152,12 +160,9 @@ def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None
             return F.aggregate(F.slice(used, _lower_bound(used, start) + 1, F.size(used) + 1), start,
                                lambda at, u: at + F.when(u == at, 1).otherwise(0))
 
-        def number(item: Column, at, used: Column) -> Column:
-            last = F.coalesce(at(item["i"] - 1), F.lit(-1))
-            return F.when(item["fresh"], next_free(last, used)).otherwise(last)
-
-        items = F.transform(fs, lambda f, i: F.struct(i.alias("i"), (f["labelled"] & (f["own"] == "")).alias("fresh")))
-        return let(taken, lambda used: _built(items, "int", lambda item, at: number(item, at, used)))
+        fresh = F.transform(fs, lambda f: f["labelled"] & (f["own"] == ""))
+        return let(taken, lambda used: _scan(fresh, F.lit(-1), lambda last, f: F.when(f, next_free(last, used)).otherwise(last),
+                                             lambda last: last, "int"))
 
     hidden = tuple(a for a in (label_attr,) if a)
     short = lambda t: t if width is None else F.left(t, F.lit(width))
