@@ -165,7 +165,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t, n in here.items():
                 occurrences[t] += min(n, COUNT_CAP)
             documents.update(here.keys())
-            if len(counts[0][0]) + len(counts[1][0]) > 300_000:
+            if len(counts[0][0]) + len(counts[1][0]) > 100_000:
                 yield flush()
                 for pair in counts:
                     for c in pair:
