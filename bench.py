@@ -23,7 +23,8 @@ HEADLINE = (
     "excluded_questions", "routed_samples", "split_counts", "task_segments", "step_histories", "task_samples",
     "seeded_shuffle", "budget_draw", "ratio_order", "row_parts", "adapted_rows", "canvas_plans", "image_token_costs",
     "sliding_means", "stale_windows", "pending_runs", "run_leaderboard", "cleaned_html", "page_tag_counts", "simplified_dom",
-    "tree_texts", "viewport_boxes",
+    "tree_texts", "viewport_boxes", "static_text_merged", "viewport_trees", "snapshot_texts", "page_segments", "dom_nodes",
+    "hot_run_stale_windows", "early_stops", "repeated_samples", "repeated_actions", "trajectory_flags",
 )
 
 

@@ -33,7 +33,37 @@ def _pages(spark, d):
     return T.page_nodes(X.texts(spark, d, "pages", "page_id", "html"))
 
 
-@query("dom_nodes")
+# An HTML reader in SQL: tags in order, a stack of open elements, a node per start tag, then paths from the root.
+# Fixed values of HTML as in the Python helper: void elements, and starts that close an open p or li.
+_NODES = rf"""WITH RECURSIVE pages_ AS (SELECT page_id, {_CLEAN} AS h FROM pages),
+found AS (SELECT page_id, regexp_extract_all(h, '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>', 1) AS tags, regexp_extract_all(h, '<(/?[a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]*)', 2) AS texts FROM pages_),
+toks AS (SELECT page_id, unnest(range(1, len(tags) + 1)) AS i, lower(unnest(tags)) AS tag, unnest(texts) AS txt FROM found),
+walk AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS i, 0 AS n, CAST([] AS INTEGER[]) AS ids, CAST([] AS VARCHAR[]) AS open, -1 AS node_id, -1 AS parent_id, '' AS tag, '' AS txt FROM pages_
+  UNION ALL
+  SELECT page_id, i, CASE WHEN starts THEN n + 1 ELSE n END,
+    CASE WHEN starts AND NOT void THEN list_append(ids, n) ELSE ids END, CASE WHEN starts AND NOT void THEN list_append(open, tag) ELSE open END,
+    CASE WHEN starts THEN n ELSE -1 END, CASE WHEN n = 0 THEN -1 ELSE coalesce(ids[-1], 0) END, tag, CASE WHEN void THEN '' ELSE txt END
+  FROM (SELECT page_id, i, n, tag, txt, NOT starts_with(tag, '/') AS starts,
+      tag IN ('area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr') AS void,
+      ids[1:len(ids) - gone] AS ids, open[1:len(open) - gone] AS open
+    FROM (SELECT w.page_id, t.i, w.n, t.tag, t.txt, w.ids, w.open,
+        CASE WHEN starts_with(t.tag, '/') THEN CASE WHEN list_contains(w.open, t.tag[2:]) THEN list_position(list_reverse(w.open), t.tag[2:]) ELSE 0 END
+          WHEN w.open[-1] = 'p' AND t.tag IN ('p','div','ul','ol','table','article','section','nav','header','footer','h1','h2','h3','h4','h5','h6','pre','form') THEN 1
+          WHEN w.open[-1] = 'li' AND t.tag = 'li' THEN 1 ELSE 0 END AS gone
+      FROM walk w JOIN toks t ON t.page_id = w.page_id AND t.i = w.i + 1))),
+nodes AS (SELECT page_id, node_id, parent_id, tag, trim(replace(replace(replace(replace(replace(replace(txt, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), {WS}) AS text,
+    row_number() OVER (PARTITION BY page_id, parent_id, tag ORDER BY node_id) AS nth, count(*) OVER (PARTITION BY page_id, parent_id, tag) AS same
+  FROM walk WHERE node_id >= 0),
+paths AS (
+  SELECT page_id, node_id, '/' || tag AS xpath FROM nodes WHERE parent_id < 0
+  UNION ALL
+  SELECT n.page_id, n.node_id, p.xpath || '/' || n.tag || CASE WHEN n.same > 1 THEN '[' || n.nth || ']' ELSE '' END
+  FROM paths p JOIN nodes n ON n.page_id = p.page_id AND n.parent_id = p.node_id)
+SELECT n.page_id, n.node_id, n.parent_id, n.tag, n.text, p.xpath FROM nodes n JOIN paths p ON p.page_id = n.page_id AND p.node_id = n.node_id"""
+
+
+@query("dom_nodes", _NODES)
 def dom_nodes(spark, d):
     pages = _pages(spark, d).withColumn("paths", T.xpaths(F.col("nodes")))
     rows = pages.select("page_id", F.inline_outer(F.transform("nodes", lambda n, i: F.struct(
@@ -50,7 +80,33 @@ def simplified_dom(spark, d):
     return pages.drop("nodes")
 
 
-@query("page_segments")
+def _near(seeds: str, depth: int, children: int, siblings: int) -> str:
+    """Ancestors, first descendants and nearest siblings of seed nodes, as (page_id, id)."""
+    return f"""SELECT page_id, id FROM (
+    SELECT c.page_id, m.id FROM {seeds} s JOIN n c ON c.page_id = s.page_id AND c.id = s.id JOIN n m ON m.page_id = c.page_id AND m.id <= c.id AND m.last >= c.last AND m.depth >= c.depth - {depth + 1}
+    UNION ALL SELECT page_id, id FROM (
+      SELECT c.page_id, m.id, row_number() OVER (PARTITION BY c.page_id, c.id ORDER BY m.id) AS r
+      FROM {seeds} s JOIN n c ON c.page_id = s.page_id AND c.id = s.id JOIN n m ON m.page_id = c.page_id AND m.id > c.id AND m.id <= c.last AND m.depth <= c.depth + {depth + 1}) WHERE r <= {children}
+    UNION ALL SELECT c.page_id, m.id FROM {seeds} s JOIN n c ON c.page_id = s.page_id AND c.id = s.id JOIN n m ON m.page_id = c.page_id AND m.parent = c.parent AND abs(m.pos - c.pos) <= {siblings})"""
+
+
+_SEGMENTS = _NODES[:_NODES.rindex("SELECT n.page_id, n.node_id")].rstrip() + f""",
+deep AS (SELECT n.page_id, n.node_id AS id, n.parent_id AS parent, n.tag, len(string_split(p.xpath, '/')) - 2 AS depth,
+    row_number() OVER (PARTITION BY n.page_id, n.parent_id ORDER BY n.node_id) AS pos FROM nodes n JOIN paths p ON p.page_id = n.page_id AND p.node_id = n.node_id),
+n AS (SELECT *, coalesce((SELECT min(b.id) FROM deep b WHERE b.page_id = a.page_id AND b.id > a.id AND b.depth <= a.depth) - 1,
+    (SELECT max(b.id) FROM deep b WHERE b.page_id = a.page_id)) AS last FROM deep a),
+seeds AS (SELECT page_id, id FROM n WHERE tag = 'h1'),
+one AS (SELECT DISTINCT page_id, id FROM ({_near("seeds", 2, 10, 2)})),
+two AS (SELECT DISTINCT page_id, id FROM (SELECT * FROM one UNION ALL {_near("one", 1, 5, 1)})),
+keep AS (SELECT DISTINCT page_id, id FROM (SELECT * FROM two UNION ALL
+    SELECT c.page_id, m.id FROM seeds s JOIN n c ON c.page_id = s.page_id AND c.id = s.id JOIN n m ON m.page_id = c.page_id AND m.id < c.id AND m.last >= c.last)),
+kept AS (SELECT n.* FROM n LEFT JOIN keep k ON k.page_id = n.page_id AND k.id = n.id WHERE k.id IS NOT NULL OR n.parent < 0),
+hung AS (SELECT a.page_id, a.id, a.tag, coalesce((SELECT max(b.id) FROM kept b WHERE b.page_id = a.page_id AND b.id < a.id AND b.last >= a.last), -1) AS up FROM kept a)
+SELECT h.page_id, CAST((SELECT count(*) FROM keep k WHERE k.page_id = h.page_id) AS INTEGER) AS kept, string_agg(id || ':' || up || ':' || tag, ' ' ORDER BY id) AS tree
+FROM hung h GROUP BY h.page_id"""
+
+
+@query("page_segments", _SEGMENTS)
 def page_segments(spark, d):
     links = F.transform(F.filter("nodes", lambda n: n["tag"] == "h1"), lambda n: n["node_id"])
     pages = _pages(spark, d).withColumn("keep", T.keep_set(F.col("nodes"), links, 2, 10, 2, rounds=2, keep_parents=True))
