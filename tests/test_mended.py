@@ -133,3 +133,22 @@ def test_no_machine_local_folder_on_a_cluster():
         conf = {}
     with pytest.raises(RuntimeError):
         session.shared_dir(Session)
+
+
+def test_question_text_is_str_of_any_value(spark):
+    from webtraj.functions import variants as V
+
+    cases = {'{"question": ["a", 1]}': "['a', 1]", '{"question": {"b": null}}': "{'b': None}", "{'question': \"it's\"}": "it's", '{"question": true}': "True",
+             '{"question": "tab\\there"}': "tab\there", '{"question": null}': "None", '{"other": 1}': "", "[1]": "", "nonsense": "", '{"question": " padded "}': "padded"}
+    rows = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", V.question_cast(F.col("t")).alias("q")).collect()
+    assert {t: q for t, q in rows} == {**cases, None: ""}
+
+
+def test_drawn_sample_is_the_start_of_the_seeded_order(spark):
+    from webtraj.operators import sampling as S
+
+    df = spark.range(500)
+    places = S.shuffled(df, F.col("id"), 7, "p")
+    drawn = {r.id for r in S.sample_rows(df, 40, "id", F.col("id"), 7).collect()}
+    assert drawn == {r.id for r in places.where("p <= 40").collect()}
+    assert S.sample_rows(df, 1000, "id", F.col("id"), 7).count() == 500

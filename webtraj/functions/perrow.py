@@ -15,14 +15,16 @@ from html.parser import HTMLParser
 import pandas as pd
 
 
-def literal_to_json(texts: pd.Series) -> pd.Series:
-    """Python-literal dicts as JSON; null where the text is no dict literal."""
+def question_text(texts: pd.Series) -> pd.Series:
+    """``str()`` of the question of a dict, read as a Python literal, else as JSON; '' for anything else."""
     def convert(text):
-        try:
-            value = ast.literal_eval(text)
-            return json.dumps(value, default=str) if isinstance(value, dict) else None
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
+        for read in (ast.literal_eval, json.loads):
+            try:
+                value = read(text)
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                continue
+            return str(value.get("question", "")) if isinstance(value, dict) else ""
+        return ""
 
     return texts.map(convert, na_action="ignore")
 

@@ -17,7 +17,7 @@ NODE = T.StructType([
 ])
 PLACE = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("parent_id", T.IntegerType())])
 
-literal_to_json = F.pandas_udf(perrow.literal_to_json, T.StringType())
+question_text = F.pandas_udf(perrow.question_text, T.StringType())
 match_ratio = F.pandas_udf(perrow.match_ratio, T.DoubleType())
 wrap_lines = F.pandas_udf(perrow.wrap_lines, T.ArrayType(T.StringType()))
 html_nodes = F.pandas_udf(perrow.html_nodes, T.ArrayType(NODE))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pyudfs import literal_to_json
+from .pyudfs import question_text
 from .text import strip
 
 
@@ -70,20 +70,15 @@ def question_of_json(extra_info: Column) -> Column:
 
 
 def question_cast(extra_info: Column) -> Column:
-    """Question of a JSON or Python-literal text, cast with str().
+    """Question of a Python-literal or JSON text, cast with str().
 
-    JSON is read natively; Python is asked only for the rows that are no JSON.
+    Where both readings agree, JSON is read natively: a text question without escapes, or no question. Python is
+    asked for the other rows only.
     """
-    parsed = F.try_parse_json(extra_info)
-    literal = F.try_parse_json(literal_to_json(F.when(parsed.isNull(), extra_info)))
-    value = field(F.coalesce(parsed, literal), "question")
-    kind = _kind(value)
-    text = (
-        F.when(kind == "VOID", F.lit("None"))
-        .when(kind == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
-    return F.coalesce(strip(text), F.lit(""))
+    value = field(F.try_parse_json(extra_info), "question")
+    plain = (_kind(value) == "STRING") & ~extra_info.contains("\\")
+    asked = question_text(F.when(~F.coalesce(plain, F.lit(False)), extra_info))
+    return F.coalesce(strip(F.when(plain, F.try_variant_get(value, "$", "string")).otherwise(asked)), F.lit(""))
 
 
 def listed_question(item: Column) -> Column:

@@ -48,9 +48,9 @@ def route_samples(samples: DataFrame, results: DataFrame, success: Column, quest
                   repeat: bool = True) -> DataFrame:
     """Samples with the ``outcome`` of the results that share their objective.
 
-    Bag semantics: a sample comes once per matching result. Results are counted per question before the
-    join, so a hot question never pairs every sample with every result; ``repeat=False`` keeps the count
-    as a ``copies`` column instead of repeating rows.
+    Bag semantics: a sample counts once per matching result. Results are counted per question before the
+    join, so a hot question never pairs every sample with every result; ``repeat=False`` keeps the
+    count as a ``copies`` column, which is the form for questions with many results.
     """
     counts = outcome_counts(results, success, question)
     joined = samples.join(counts, "objective")

@@ -20,10 +20,14 @@ def shuffled(df: DataFrame, key: Column, seed: int = 42, name: str = "sample_idx
 
 
 def sample_rows(df: DataFrame, n: int, order: str, key: Column, seed: int | None = None) -> DataFrame:
-    """``n`` rows: drawn by seed, or the first ones without a seed; all rows if there are no more."""
+    """``n`` rows: drawn by seed, or the first ones without a seed; all rows if there are no more.
+
+    Drawn rows are those of the lowest places in the seeded order, found by ranks: they never meet in one task.
+    """
     if seed is None:
         return df.orderBy(order).limit(n)
-    return df.withColumn("__pos", hash_order(key, seed)).orderBy("__pos", order).limit(n).drop("__pos")
+    at = df.withColumn("__pos", hash_order(key, seed))
+    return ranked(at, [], ["__pos", order], hash_bucket(F.col("__pos")), "__rank").filter(F.col("__rank") < n).drop("__pos", "__rank")
 
 
 def budget_prefix(df: DataFrame, order: list, bucket: Column, steps: Column, max_tasks: int | None = None,

@@ -103,7 +103,7 @@ def routed_samples(spark, d):
 @query("repeated_samples", "WITH " + _ROUTE + """
 SELECT CASE WHEN ok THEN 'success' ELSE 'fail' END AS outcome, count(*) AS n, count(DISTINCT s.doc_id) AS samples FROM s JOIN r ON s.objective = r.question GROUP BY ALL""")
 def repeated_samples(spark, d):
-    routed = C.route_samples(C.with_objective(X.samples(spark, d)).drop("messages"), X.results(spark, d), F.col("ok"))
+    routed = C.route_samples(C.with_objective(X.samples(spark, d)).drop("messages"), X.results(spark, d), F.col("ok"), repeat=True)
     return routed.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("samples"))
 
 

@@ -50,9 +50,12 @@ def follow_metrics(lines: DataFrame, window: int = E.WINDOW, min_delta: float =
     return rows.withColumn("action", E.stop_action(window))
 
 
+FILES_PER_BATCH = 256  # files of one micro-batch unless the caller sets maxFilesPerTrigger
+
+
 def trajectory_feed(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Trajectory JSONL files as they land, success kept in its own type."""
-    return spark.readStream.schema(TRAJECTORY).options(**options).json(path)
+    """Trajectory JSONL files as they land, success kept in its own type; a backlog is read in bounded batches."""
+    return spark.readStream.schema(TRAJECTORY).options(**{"maxFilesPerTrigger": FILES_PER_BATCH, **options}).json(path)
 
 
 def feed_steps(feed: DataFrame) -> DataFrame:
@@ -61,9 +64,18 @@ def feed_steps(feed: DataFrame) -> DataFrame:
         "id", "trial_idx", "sample_idx", "pos", "s.*")
 
 
-def feed_accuracy(feed: DataFrame, success: Column, trial: str = "trial_idx", once_per: str | None = None) -> DataFrame:
-    """Accuracy per trial while episodes finish; ``once_per`` counts an id only once."""
-    rows = feed.dropDuplicates([once_per]) if once_per else feed
+def feed_accuracy(feed: DataFrame, success: Column, trial: str = "trial_idx", once_per: str | None = None,
+                  within: tuple[str, str] | None = None) -> DataFrame:
+    """Accuracy per trial while episodes finish; ``once_per`` counts an id only once.
+
+    ``within`` (event time column, delay) lets go of ids that are older than the delay, so the state stays bounded;
+    without it every id is remembered.
+    """
+    rows = feed
+    if once_per and within:
+        rows = feed.withWatermark(*within).dropDuplicatesWithinWatermark([once_per])
+    elif once_per:
+        rows = feed.dropDuplicates([once_per])
     return rows.groupBy(trial).agg(
         F.count(F.lit(1)).alias("completed"), F.count_if(F.coalesce(success, F.lit(False))).alias("correct"),
     ).withColumn("accuracy_pct", F.col("correct") * 100.0 / F.col("completed"))
