@@ -179,7 +179,7 @@ def brute_search(docs, k, query_terms):
     for q in counts:
         if q % 20:
             continue
-        terms = sorted((w for w in counts[q] if df[w] > 1), key=lambda w: (-impact(w, q), code[w]))[:query_terms]
+        terms = sorted((w for w in counts[q] if df[w] > 1), key=lambda w: (df[w], -counts[q][w], code[w]))[:query_terms]
         scores = defaultdict(float)
         for w in sorted(terms, key=code.get):
             for i in counts:
@@ -214,6 +214,8 @@ def test_block_max_wand_equals_sums():
         want = sorted(((-s, d) for d, s in scores.items()))[:10]
         got = shard.top({t: 1 + t / 7 for t in terms}, 10)
         assert [d for d, _ in got] == [d for _, d in want]
+        if len(want) > 4:
+            assert [d for d, _ in shard.top({t: 1 + t / 7 for t in terms}, 10, -want[4][0])] == [d for s, d in want if s <= want[4][0]]
 
 
 def test_search_defined_cases(spark):
@@ -221,5 +223,5 @@ def test_search_defined_cases(spark):
     found = search.top_k(df, df).collect()
     assert {(r["query_id"], r["doc_id"]) for r in found} >= {(4, 4), (4, 5), (5, 4)} and all(r["doc_id"] is not None for r in found)
     twice = spark.createDataFrame([(1, "red red fish"), (1, "blue fish"), (2, "red cat"), (3, "blue cat")], "doc_id long, text string")
-    assert [r["doc_id"] for r in search.top_k(twice, twice.where("doc_id = 1")).orderBy("rank").collect()] == [1, 2, 3]
+    assert [r["doc_id"] for r in search.top_k(twice, twice.where("doc_id = 1")).orderBy("rank").collect()] == [1, 1, 2, 3]
     assert search.top_k(df.limit(0), df.limit(0)).count() == 0 and search.top_k(df, df.limit(0)).count() == 0
