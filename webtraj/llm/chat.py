@@ -97,7 +97,8 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     one = F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     chats = rows.groupBy(F.col(f"`{conv}`").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
     shaped = F.arrow_udf(run, f"struct<formatted:string,turns:array<{TURN}>,rewritten:int>")
-    return chats.select("conv_id", shaped("rows").alias("f")).select("conv_id", "f.*")
+    # The explode keeps the optimizer from calling the function once for every field that is read later.
+    return chats.select("conv_id", F.explode(F.array(shaped("rows"))).alias("f")).select("conv_id", "f.*")
 
 
 def read_chats(formatted: DataFrame, column: str = "formatted", turns: str = "turns") -> DataFrame:
