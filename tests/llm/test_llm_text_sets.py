@@ -201,6 +201,18 @@ def test_search_is_exact(spark):
         assert [i for _, i in got[q]] == [i for _, i in want[q]] and np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], atol=2e-6)
 
 
+def test_search_asks_for_the_whole_text(spark):
+    docs = [(i, t) for i, t in enumerate(family_texts(11, families=30, group=3))] + list(enumerate(HARD, 1000))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in search.top_k(df, df.where("doc_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["doc_id"]))
+    want = brute_search(docs, 10, None)
+    assert set(got) == set(want) and want != brute_search(docs, 10, 12)
+    for q in want:
+        assert [i for _, i in got[q]] == [i for _, i in want[q]] and np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], atol=2e-6)
+
+
 def test_block_max_wand_equals_sums():
     rng = np.random.default_rng(9)
     term, doc = np.divmod(rng.choice(12 * 3000, 9000, replace=False), 3000)
