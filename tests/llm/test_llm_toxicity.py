@@ -57,6 +57,16 @@ def test_copies_count_once_while_learning(spark):
     assert not any(t.startswith("flav") for t in lexicon.weights)
 
 
+def test_shared_passages_are_no_copies(spark):
+    passage = "one passage of many words that a lot of texts share " * 3
+    rows = [(i, f"{passage}own{i} word{i}", i % 2) for i in range(60)] + [(100, "same text", 0), (101, "same text", 0), (102, "same text", 1), (103, None, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    kept = toxicity._train_rows(docs, labels, "doc_id", "text", 1000).collect()
+    assert {(r["text"], r["toxic"]) for r in kept} == {r[1:] for r in known} and len(kept) == len({r[1:] for r in known})
+
+
 def test_hard_rows_and_empty_tables(spark):
     df = spark.createDataFrame(clash_rows(HARD), CLASH)
     none = spark.createDataFrame([], "doc_id long, toxic int")

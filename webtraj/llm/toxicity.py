@@ -133,16 +133,14 @@ class Matcher:
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, max_train: int) -> DataFrame:
-    """Rows (doc_id, text, toxic) outside the held-out third, near copies once."""
+    """Rows (doc_id, text, toxic) outside the held-out third; copies of one text with one label once."""
     known = (labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
     share = min(1.0, max_train / max(1, known.count()))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(picked, "doc_id")
-    words = F.split(F.lower("text"), r"\s+")
-    family = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5))))
-    return (rows.withColumn("w", words).withColumn("family", F.coalesce(family, F.xxhash64("text"))).drop("w")
-            .groupBy("family").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"))
+    return (rows.groupBy(F.sha2("text", 256).alias("copy"), (F.col("toxic") > 0).alias("bad"))
+            .agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"))
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
