@@ -31,6 +31,12 @@ def test_folding():
     assert len(f.fold("Ѕсum İx 0k")) == len("Ѕсum İx 0k".lower())
 
 
+def test_folding_looks_at_each_word_alone():
+    f = Folder()
+    for word, folded in [("a55", "ass"), ("a$$", "ass"), ("pi$$", "piss"), ("455hole", "asshole"), ("a_5", "a_s"), ("x" * 30 + "5", "x" * 30 + "s"), ("2024", "2024")]:
+        assert f.fold(word) == folded and f.fold(f"n4sty {word}") == f"nasty {folded}"
+
+
 def test_matches_at_word_starts_only():
     m = Lexicon({"idiot$": 2.0, "idio": 1.0, "bad": 3.0, "a$": 5.0}, ["not idiot"], (0, 1, 0, 0)).matcher()
     assert m.hits("idiot idiots xidiot abad bad badly a ab") == {0: 2.0, 6: 1.0, 25: 3.0, 29: 3.0, 35: 5.0}

@@ -37,14 +37,15 @@ DIGITS = dict(zip("01345789@$", "oieastbgas"))
 
 def _fold_word(m: re.Match) -> str:
     word = m.group()
-    return "".join(DIGITS.get(c, c) for c in word) if len(word) <= 24 and any(c.isalpha() for c in word) else word
+    return "".join(DIGITS.get(c, c) for c in word) if any(c.isalpha() for c in word) else word
 
 
 class Folder:
     def __init__(self):
         self.table = str.maketrans(LOOKALIKES)
         self.odd = re.compile(f"[{''.join(LOOKALIKES)}]").search
-        self.mixed = re.compile(r"[^\W\d_][0-9@$]+[^\W\d_]|(?<![\w@$.])[0-9@$]{1,2}[^\W\d_]").search
+        sign = f"[{re.escape(''.join(DIGITS))}]"
+        self.mixed = re.compile(rf"[^\W\d_][\d_]*{sign}|{sign}[\d_]*[^\W\d_]").search  # a word that _fold_word may change
         self.word = re.compile(r"(?<![\w@$])[\w@$]*[^\W\d_][\w@$]*")
         self.words = re.compile(r"[^\W_]+").findall
 
