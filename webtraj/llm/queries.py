@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from webtraj.session import scratch_path
 
-from . import bpe, chat, decontaminate, minhash, pii, search, secret_scan, toxicity, urls, wavelet
+from . import alignment, bpe, chat, decontaminate, minhash, pii, pivots, search, secret_scan, toxicity, urls, wavelet, whitening
 from .shared import table
 from .spans import printed
 
@@ -133,3 +134,28 @@ def op9_bm25_search(spark, sf_dir):
     """The ten best documents for every document whose id is divisible by 20."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search.top_k(docs, docs.where("doc_id % 20 = 0"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    """Links and groups between the tokens of two vocabularies in every document."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), paths=paths).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query("op12_whitened_vectors")
+def op12_whitened_vectors(spark, sf_dir):
+    """Every vector on the first 32 components of all vectors, with unit covariance."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=32)
+    shares = F.lit(model.explained).cast("array<double>")
+    return whitening.whiten(vectors, model).select(
+        "vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+@query("op13_near_vectors")
+def op13_near_vectors(spark, sf_dir):
+    """Number of links, component and representative of every vector."""
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), threshold=0.98)
