@@ -29,6 +29,7 @@ from .shared import bound_batches, ship
 THRESHOLD = 0.98
 NEAR = 8  # pivots that describe a vector, nearest first; more only where the recall asks for it
 RECALL = 0.999  # wanted for pairs exactly at the threshold, measured on planted pairs
+PLANTED = 8192  # pairs at least that measure it
 SAMPLE = 8  # vectors drawn for each pivot when the pivots are chosen
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
 BLOCK, MOST_BLOCK = 256, 4096  # rows of a block; longer lists take larger blocks, so that copies stay few
@@ -89,25 +90,32 @@ def spread_out(units: np.ndarray, wanted: int) -> np.ndarray:
 
 
 def build_index(units: np.ndarray, size: int, wanted: int, threshold: float = THRESHOLD, near: int = NEAR, recall: float = RECALL) -> Index:
-    """Pivots from drawn unit vectors of ``size`` entries, and how many shared pivots a pair at the threshold keeps.
+    """Pivots from drawn unit vectors of ``size`` entries, and how many shared pivots a linked pair keeps.
 
-    Pairs are planted at exactly the threshold around the drawn vectors; ``least`` is the largest number that all but
-    ``1 - recall`` of them share. Where even one shared pivot is too much to ask, vectors list more pivots.
+    Measured on pairs planted at exactly the threshold around the drawn vectors and on the links among the first of
+    these; ``least`` is the largest number that all but ``1 - recall`` of either kind share. Where even one shared
+    pivot is too much to ask, vectors list more pivots.
     """
     draw = np.random.default_rng(42)
     fresh = draw.standard_normal((wanted, size))
     fresh /= np.sqrt((fresh * fresh).sum(1))[:, None]
     pivots = spread_out(units.reshape(-1, size), wanted)
     pivots = np.concatenate([pivots, fresh[:wanted - len(pivots)]])
-    base = np.concatenate([units.reshape(-1, size)[:2048], fresh])
+    drawn = units.reshape(-1, size)[:2048]
+    base = np.concatenate([drawn, fresh])
+    base = np.tile(base, (-(-PLANTED // len(base)), 1))
+    linked_pairs = np.argwhere(np.triu(drawn @ drawn.T >= threshold, 1))
+    linked_pairs = linked_pairs[::max(1, len(linked_pairs) // PLANTED)]
     side = draw.standard_normal(base.shape)
     side -= (side * base).sum(1)[:, None] * base
     length = np.sqrt((side * side).sum(1))[:, None]
     moved = base * threshold + side / np.where(length > 1e-12, length, 1) * np.sqrt(max(0.0, 1 - threshold * threshold))
     while True:
         probe = Index(pivots, min(near, wanted), 1)
-        shared = (nearest(base, probe)[:, :, None] == nearest(moved, probe)[:, None, :]).sum((1, 2))
-        least = int(np.sort(shared)[int((1 - recall) * len(shared))])
+        both = lambda x, y: np.sort((x[:, :, None] == y[:, None, :]).sum((1, 2)))
+        places = nearest(drawn, probe)
+        measured = [both(nearest(base, probe), nearest(moved, probe)), both(places[linked_pairs[:, 0]], places[linked_pairs[:, 1]])]
+        least = min(int(shared[int((1 - recall) * len(shared))]) for shared in measured if len(shared))
         if least >= 1 or near >= wanted:
             return Index(pivots, probe.near, max(least, 1) if near < wanted else 1)
         near *= 2
