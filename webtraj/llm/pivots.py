@@ -75,14 +75,17 @@ def nearest(units: np.ndarray, index: Index) -> np.ndarray:
     return out
 
 
-def spread_out(units: np.ndarray, wanted: int) -> np.ndarray:
-    """``wanted`` pivots: each drawn vector in turn that is farthest from those taken, then seeded directions."""
+def spread_out(units: np.ndarray, wanted: int, threshold: float) -> np.ndarray:
+    """At most ``wanted`` pivots: each drawn vector in turn that is farthest from those taken.
+
+    None that would link with one taken: several pivots inside a group of near copies would order its members by noise.
+    """
     taken = [0] if len(units) else []
     if taken:
         closest = units @ units[0]
         while len(taken) < min(wanted, len(units)):
             far = int(np.argmin(closest))
-            if closest[far] > 1 - 1e-9:
+            if closest[far] >= threshold:
                 break
             taken.append(far)
             closest = np.maximum(closest, units @ units[far])
@@ -99,7 +102,7 @@ def build_index(units: np.ndarray, size: int, wanted: int, threshold: float = TH
     draw = np.random.default_rng(42)
     fresh = draw.standard_normal((wanted, size))
     fresh /= np.sqrt((fresh * fresh).sum(1))[:, None]
-    pivots = spread_out(units.reshape(-1, size), wanted)
+    pivots = spread_out(units.reshape(-1, size), wanted, threshold)
     pivots = np.concatenate([pivots, fresh[:wanted - len(pivots)]])
     drawn = units.reshape(-1, size)[:2048]
     base = np.concatenate([drawn, fresh])
