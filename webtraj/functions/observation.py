@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, is_blank, py_repr, strip
+from .arrays import scan
+from .text import first_match, is_blank, let, py_repr, strip
 
 _BUSY = r"(?Uid)RootWebArea.*?busy:\s*(?:1|True)"
 _BUSY_FLAG = r"(?Uid)busy:\s*(?:1|True)"
@@ -158,16 +159,19 @@ def node_is_shown(role: Column, name: Column, properties: Column, child_count: C
 def dedup_static_text(observation: Column, lookback: int = 3) -> Column:
     """Drop a static-text line whose text already occurs in one of the last three kept lines.
 
-    A static-text line with another kind of quoting is dropped as well.
+    A static-text line with another kind of quoting is dropped as well. The state from line to line is the ring of the
+    last kept ones, so the work is linear in the lines.
     """
-    def step(kept: Column, line: Column) -> Column:
+    def step(state: Column, line: Column) -> Column:
         text = F.regexp_extract(line, r"(?Ud)\[\d+\] StaticText '([^']+)'", 1)
-        recent = F.slice(kept, F.greatest(F.size(kept) - (lookback - 1), F.lit(1)), lookback)
-        keep = ~F.lower(line).contains("statictext") | ((text != "") & ~F.exists(recent, lambda k: k.contains(text)))
-        return F.when(keep, F.concat(kept, F.array(line))).otherwise(kept)
-
-    return F.array_join(
-        F.aggregate(F.split(observation, "\n", -1), F.array().cast("array<string>"), step), "\n")
+        keep = ~F.lower(line).contains("statictext") | ((text != "") & ~F.exists(state["recent"], lambda k: k.contains(text)))
+        ring = F.concat(state["recent"], F.array(line))
+        ring = F.slice(ring, F.greatest(F.size(ring) - (lookback - 1), F.lit(1)), lookback)
+        return let(keep, lambda kept: F.struct(F.when(kept, ring).otherwise(state["recent"]).alias("recent"), kept.alias("kept")))
+
+    start = F.struct(F.array().cast("array<string>").alias("recent"), F.lit(False).alias("kept"))
+    return let(F.split(observation, "\n", -1), lambda lines: let(scan(lines, start, step, lambda s: s["kept"], "boolean"), lambda kept: F.array_join(
+        F.filter(lines, lambda line, i: F.get(kept, i)), "\n")))
 
 
 # ---- URLs -------------------------------------------------------------------------------------

@@ -12,7 +12,9 @@ import textwrap
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 
 def question_text(texts: pd.Series) -> pd.Series:
@@ -167,6 +169,81 @@ def dom_texts(nodes: pd.Series, style: pd.Series, parent_chain: pd.Series) -> pd
                       for ns, s, c in zip(nodes, style, parent_chain)], dtype="object")
 
 
+# ---- neighbourhoods -----------------------------------------------------------------------------
+
+def _near(ends, up, depths, ranks, seeds: np.ndarray, reach: tuple[int, int, int]) -> np.ndarray:
+    """Marks of the ancestors, first descendants and nearest siblings of the nodes at the places ``seeds``.
+
+    ``ends`` are the places behind each subtree, ``up`` the parents, ``ranks`` lists all nodes by parent and place.
+    """
+    levels, children, siblings = reach[0] + 1, max(reach[1], 0), reach[2]
+    n = len(ends)
+    marks = np.zeros(n, dtype=bool)
+    marks[seeds] = True
+    # an ancestor is near when it is no more than ``levels`` above the highest seed below it
+    highest = np.where(marks, depths, np.iinfo(np.int64).max)
+    for i in range(n - 1, 0, -1):
+        if up[i] >= 0 and highest[i] < highest[up[i]]:
+            highest[up[i]] = highest[i]
+    marks |= depths >= np.where(highest == np.iinfo(np.int64).max, highest, highest - levels)
+    end, depth = ends.tolist(), depths.tolist()
+    for c in seeds.tolist():  # at most ``children`` steps each: what lies too deep is jumped over
+        at, limit, left = c + 1, depth[c] + levels, children
+        while left and at < end[c]:
+            if depth[at] <= limit:
+                marks[at] = True
+                left -= 1
+            at = at + 1 if depth[at] < limit else end[at]
+    order, first, last, spot = ranks  # siblings: a difference array over the nodes by parent
+    inner = seeds[up[seeds] >= 0]
+    steps = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(steps, np.maximum(spot[inner] - siblings, first[inner]), 1)
+    np.add.at(steps, np.minimum(spot[inner] + siblings, last[inner]) + 1, -1)
+    marks[order[np.cumsum(steps[:-1]) > 0]] = True
+    return marks
+
+
+def _kept_ids(ids, depths, lasts, keep, shape: str) -> list[int]:
+    max_depth, max_children, max_sibling, rounds, keep_parents = json.loads(shape)
+    ids, depths = np.asarray(ids, dtype=np.int64), np.asarray(depths, dtype=np.int64)
+    n, wanted = len(ids), np.array([k for k in keep if k is not None], dtype=np.int64)
+    places = np.searchsorted(ids, wanted)
+    seeds = np.unique(places[(places < n) & (ids[np.minimum(places, max(n - 1, 0))] == wanted)]) if n else places[:0]
+    ends = np.searchsorted(ids, np.asarray(lasts, dtype=np.int64), side="right")
+    up, open_ = np.full(n, -1, dtype=np.int64), []
+    for i, end in enumerate(ends.tolist()):
+        while open_ and ends[open_[-1]] <= i:
+            open_.pop()
+        if open_:
+            up[i] = open_[-1]
+        open_.append(i)
+    order = np.lexsort((np.arange(n), up))
+    spot, first, last = (np.empty(n, dtype=np.int64) for _ in range(3))
+    spot[order] = np.arange(n)
+    starts = np.flatnonzero(np.concatenate([[True], up[order][1:] != up[order][:-1]])) if n else np.empty(0, dtype=np.int64)
+    sizes = np.diff(np.concatenate([starts, [n]]))
+    first[order], last[order] = np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)
+    found, around = np.zeros(n, dtype=bool), seeds
+    for _ in range(rounds):
+        found |= _near(ends, up, depths, (order, first, last, spot), around, (max_depth, max_children, max_sibling))
+        around = np.flatnonzero(found)
+        max_children, max_depth, max_sibling = int(max_children * 0.5), int(max_depth * 0.5), int(max_sibling * 0.7)
+    if keep_parents:
+        below = np.zeros(n, dtype=bool)
+        below[seeds] = True
+        for i in range(n - 1, 0, -1):
+            if below[i] and up[i] >= 0:
+                below[up[i]] = True
+                found[up[i]] = True
+    return ids[found].tolist()
+
+
+def kept_ids(ids: pd.Series, depths: pd.Series, lasts: pd.Series, keep: pd.Series, shape: pd.Series) -> pd.Series:
+    """Ids near the wanted nodes of each page, ascending; ``shape`` holds how far to look, as JSON."""
+    return pd.Series([None if i is None or k is None else _kept_ids(i, d, e, k, s)
+                      for i, d, e, k, s in zip(ids, depths, lasts, keep, shape)], dtype="object")
+
+
 def _preorder(ids, child_ids) -> list[dict]:
     at = {}
     for i, ident in enumerate(ids):
@@ -189,6 +266,58 @@ def preorder(ids: pd.Series, child_ids: pd.Series) -> pd.Series:
     return pd.Series([None if a is None else _preorder(a, b) for a, b in zip(ids, child_ids)])
 
 
+# ---- rising maxima of a run, one block of them at a time ----------------------------------------
+
+def _leaps(avg: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """Place of the first value above each bar, the number of values where there is none; ``avg`` ascends."""
+    return np.searchsorted(avg, bar, side="right")
+
+
+def follow_rises(block: pa.Table) -> pa.Table:
+    """The chain of moves of a block that holds its run's first row, else every row with the exit of its chain.
+
+    ``exit_idx`` and ``exit_bar`` name the last row of a chain inside the block and what a later one must exceed.
+    """
+    block = block.sort_by("idx")
+    avg, bar, n = block["avg"].to_numpy(), block["bar"].to_numpy(), block.num_rows
+    leap = _leaps(avg, bar)
+    first = bool(block["first"].to_numpy(zero_copy_only=False).any())
+    if first:
+        chain = [0]
+        while leap[chain[-1]] < n:
+            chain.append(int(leap[chain[-1]]))
+        ends = np.array(chain[-1:])
+        rows, exits = block.take(pa.array(chain)), [None] * (len(chain) - 1)
+        exit_idx, exit_bar = exits + block["idx"].take(pa.array(ends)).to_pylist(), exits + bar[ends].tolist()
+    else:
+        last = np.where(leap < n, leap, np.arange(n))
+        while (last[last] != last).any():  # doubling: every row ends up at the last one of its chain
+            last = last[last]
+        rows, exit_idx, exit_bar = block, block["idx"].take(pa.array(last)).to_pylist(), bar[last].tolist()
+    return pa.table([*[rows[c] for c in ("run", "block", "idx", "avg", "bar")], pa.array([first] * rows.num_rows, pa.bool_()),
+                     pa.array(exit_idx, pa.int64()), pa.array(exit_bar, pa.float64())],
+                    names=["run", "block", "idx", "avg", "bar", "move", "exit_idx", "exit_bar"])
+
+
+def next_rises(asked: pa.Table, offered: pa.Table) -> pa.Table:
+    """The first offered row above each bar that is asked for."""
+    offered = offered.sort_by("avg")
+    at = _leaps(offered["avg"].to_numpy(), asked["exit_bar"].to_numpy())
+    found = at < offered.num_rows
+    asked = asked.filter(pa.array(found))
+    return pa.table([asked["run"], asked["idx"], asked["move"], offered["to"].take(pa.array(at[found]))], names=["run", "idx", "move", "to"])
+
+
+def rises_from(block: pa.Table) -> pa.Table:
+    """The chain from the first row of a block."""
+    block = block.sort_by("idx")
+    leap = _leaps(block["avg"].to_numpy(), block["bar"].to_numpy())
+    chain = [0]
+    while leap[chain[-1]] < block.num_rows:
+        chain.append(int(leap[chain[-1]]))
+    return block.select(["run", "idx"]).take(pa.array(chain))
+
+
 # ---- stateful streams: one call per key and micro-batch -----------------------------------------
 
 def follow_run(key, frames, state, window: int, min_delta: float, digits: int):

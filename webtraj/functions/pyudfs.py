@@ -22,4 +22,5 @@ match_ratio = F.pandas_udf(perrow.match_ratio, T.DoubleType())
 wrap_lines = F.pandas_udf(perrow.wrap_lines, T.ArrayType(T.StringType()))
 html_nodes = F.pandas_udf(perrow.html_nodes, T.ArrayType(NODE))
 dom_texts = F.pandas_udf(perrow.dom_texts, T.StringType())
+kept_ids = F.pandas_udf(perrow.kept_ids, T.ArrayType(T.IntegerType()))
 preorder = F.pandas_udf(perrow.preorder, T.ArrayType(PLACE))

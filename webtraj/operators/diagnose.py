@@ -118,14 +118,38 @@ def top_details(details: DataFrame, kind: str, n: int = 10, width: int | None =
 
 # The usual column order of the one-line report: prevalence 0-4 and step shares 5-7, rearranged.
 REPORT_ORDER = (0, 6, 1, 7, 2, 3, 5, 4)
+STEP_DEFECTS = ("format_error", "hallucinated_id", "element_mismatch")
 
 
 def report_values(flags: DataFrame, steps: DataFrame) -> DataFrame:
-    """The eight report numbers as one array column ``values`` plus their text line."""
+    """The eight report numbers as one array column ``values`` plus their text line, from flags and step shares."""
     share = flags.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(n).alias(n) for n in D.DEFECTS])
-    names = [f"{n}_pct" for n in ("format_error", "hallucinated_id", "element_mismatch")]
+    names = [f"{n}_pct" for n in STEP_DEFECTS]
     one = share.withColumn("steps", steps.select(F.struct(*names)).scalar())
-    parts = [percent(F.col(n), F.col("n")) for n in D.DEFECTS] + [F.col("steps")[n] for n in names]
+    return _report([percent(F.col(n), F.col("n")) for n in D.DEFECTS] + [F.col("steps")[n] for n in names], one)
+
+
+def findings_report(findings: DataFrame, key: str = "traj_id", success: str = "success") -> DataFrame:
+    """The same report straight from the findings of all steps, in one pass.
+
+    Flags of the failed trajectories and counts of their defective steps come from the same two aggregates, by
+    (trajectory, action) and by trajectory.
+    """
+    failed = ~F.col(success)
+    flag = lambda n: F.max(n).alias(n)
+    total = lambda n: F.sum(n).alias(n)
+    per_action = findings.groupBy(key, "loop_action").agg(
+        F.max(failed).alias("__failed"), F.count_if(failed & F.col("loop_action").isNotNull()).alias("__times"), F.count(F.lit(1)).alias("__steps"),
+        *[F.max(failed & F.col(n)).alias(n) for n in (*STEP_DEFECTS, "wrong_stop")], *[F.count_if(failed & F.col(n)).alias(f"__{n}") for n in STEP_DEFECTS])
+    per_key = per_action.groupBy(key).agg(
+        flag("__failed"), total("__steps"), F.max(F.col("__times") > D.LOOP_LIMIT).alias("action_loop"),
+        *[flag(n) for n in (*STEP_DEFECTS, "wrong_stop")], *[total(f"__{n}") for n in STEP_DEFECTS])
+    one = per_key.agg(F.count_if("__failed").alias("n"), total("__steps"), *[F.count_if(F.col("__failed") & F.col(n)).alias(n) for n in D.DEFECTS],
+                      *[total(f"__{n}") for n in STEP_DEFECTS]).na.fill(0)
+    return _report([percent(F.col(n), F.col("n")) for n in D.DEFECTS] + [percent(F.col(f"__{n}"), F.col("__steps")) for n in STEP_DEFECTS], one)
+
+
+def _report(parts: list[Column], one: DataFrame) -> DataFrame:
     values = F.array(*[parts[i] for i in REPORT_ORDER])
     return one.select(values.alias("values")).select(
         "values", F.concat_ws("\t", F.transform("values", lambda v: F.format_string("%.2f", v))).alias("line"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import format_score
-from .ordered import HOT_ROWS, ranked, running
+from .ordered import ranked, running
 
 
 def success_rate(df: DataFrame, success: Column) -> DataFrame:
@@ -29,12 +29,11 @@ def mean_accuracy(trials: DataFrame) -> DataFrame:
                       F.coalesce(F.avg("accuracy_pct"), F.lit(0.0)).alias("mean_accuracy_pct"))
 
 
-def running_accuracy(df: DataFrame, trial: str, order: list, bucket: Column, success: Column,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_accuracy(df: DataFrame, trial: str, order: list, bucket: Column, success: Column) -> DataFrame:
     """Accuracy so far after each finished episode of a trial."""
     out = running(df, [trial], order, bucket, {
         "completed": F.lit(1).cast("bigint"),
-        "correct": F.coalesce(success, F.lit(False)).cast("bigint")}, inclusive=True, hot_rows=hot_rows)
+        "correct": F.coalesce(success, F.lit(False)).cast("bigint")}, inclusive=True)
     return out.withColumn("accuracy_pct", F.col("correct") * 100.0 / F.col("completed"))
 
 
@@ -72,10 +71,9 @@ def reward_rows(results: DataFrame) -> DataFrame:
     return kept.withColumn("format_score", format_score(F.col("output")))
 
 
-def numbered_steps(steps: DataFrame, key: list[str], order: list, bucket: Column, typed: Column,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def numbered_steps(steps: DataFrame, key: list[str], order: list, bucket: Column, typed: Column) -> DataFrame:
     """The same numbering for flat step tables."""
-    at = ranked(steps.filter(typed), key, order, bucket, "__rn", hot_rows)
+    at = ranked(steps.filter(typed), key, order, bucket, "__rn")
     return at.withColumn("step_num", F.col("__rn") + 1).drop("__rn")
 
 

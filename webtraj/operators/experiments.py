@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import perrow
+from ..functions.arrays import upper_bound
 from ..functions.runlogs import is_metric_line, metric_text, metric_value, step_of
 from ..functions.text import is_numeric_text
 from ..session import cut_lineage
-from .ordered import HOT_ROWS, ranked, running, sliding
+from .ordered import ranked, running, sliding
 
 REWARD_KEY = "critic/rewards/mean"
 KL_KEY, CLIP_KEY = "actor/ppo_kl", "actor/pg_clipfrac"
@@ -44,42 +46,79 @@ def latest_metric(log: DataFrame, run: str, order: str, line: str = "line", key:
 
 
 def sliding_means(metrics: DataFrame, run: str, order: list, bucket: Column, window: int = WINDOW,
-                  hot_rows: int = HOT_ROWS, rows_per_block: int = 100_000) -> DataFrame:
+                  rows_per_block: int = 100_000) -> DataFrame:
     """Mean of the last ``window`` rewards, null until the window is full; ``idx`` counts from 0."""
-    at = ranked(metrics, [run], order, bucket, "idx", hot_rows)
+    at = ranked(metrics, [run], order, bucket, "idx")
     out = sliding(at, [run], "idx", {"__avg": (F.avg, "reward")}, window, rows_per_block)
     # Rounded far below any printed metric, so that equal means compare equal.
     return out.withColumn("window_avg", F.when(F.col("idx") >= window - 1, F.round("__avg", DIGITS))).drop("__avg")
 
 
-def staleness(means: DataFrame, run: str, min_delta: float = MIN_DELTA, hot_rows: int = HOT_ROWS,
-              rows_per_bucket: int = 100_000) -> DataFrame:
+def staleness(means: DataFrame, run: str, min_delta: float = MIN_DELTA, rows_per_bucket: int = 100_000) -> DataFrame:
     """Best mean so far and full windows since it moved; it moves only by more than ``min_delta``.
 
-    The rule depends on its own past, yet it can only move where the mean exceeds every earlier mean. So
-    a parallel running maximum picks those few candidates, a fold over them (at most one per distinct
-    rising value of a run) finds the moves, and a second running maximum spreads the moves over the rows.
-    The means and the moves are written to the shared folder, since each is read several times.
+    The moves are found by ``best_moves``; a running maximum spreads them over the rows. The means are written to the
+    shared folder, since the search and the rows both read them.
     """
     means = cut_lineage(means, "means")
-    bucket = F.floor(F.col("idx") / rows_per_bucket)
-    full = means.filter(F.col("window_avg").isNotNull())
-    risen = running(full, [run], ["idx"], bucket, {"__top": F.col("window_avg")}, "max", hot_rows=hot_rows)
-    rising = risen.filter(F.col("__top").isNull() | (F.col("window_avg") > F.col("__top")))
-    point = F.struct(F.col("idx"), F.col("window_avg").alias("avg"))
-    moves = rising.groupBy(run).agg(F.array_sort(F.collect_list(point)).alias("__p")).select(run, F.aggregate(
-        "__p", F.array().cast("array<struct<idx:bigint,avg:double>>"),
-        lambda kept, p: F.when(
-            (F.size(kept) == 0) | (p["avg"] > F.round(F.try_element_at(kept, F.lit(-1))["avg"] + min_delta, DIGITS)),
-            F.concat(kept, F.array(p))).otherwise(kept)).alias("__m")).select(run, F.inline_outer("__m")).filter(F.col("idx").isNotNull())
-    moves = cut_lineage(moves, "moves")
+    moves = best_moves(means, run, min_delta, rows_per_bucket)
     moved = means.join(moves.select(run, "idx", F.lit(True).alias("__move")), [run, "idx"], "left")
-    spread = running(moved, [run], ["idx"], bucket, {
-        "best_avg": F.when(F.col("__move"), F.col("window_avg")), "__at": F.when(F.col("__move"), F.col("idx"))},
-        "max", inclusive=True, hot_rows=hot_rows)
+    spread = running(moved, [run], ["idx"], F.floor(F.col("idx") / rows_per_bucket), {
+        "best_avg": F.when(F.col("__move"), F.col("window_avg")), "__at": F.when(F.col("__move"), F.col("idx"))}, "max", inclusive=True)
     return spread.withColumn("stale_windows", F.col("idx") - F.col("__at")).drop("__move", "__at")
 
 
+def best_moves(means: DataFrame, run: str, min_delta: float = MIN_DELTA, rows_per_bucket: int = 100_000) -> DataFrame:
+    """(``run``, idx) of every row at which the best mean moves.
+
+    The rule depends on its own past, but a move is always a new maximum, and the rising maxima of a run ascend. So
+    each has a pointer: the first later one that exceeds it by more than ``min_delta``. The moves are the chain from
+    the run's first full window. Tasks follow the pointers inside blocks of ``rows_per_bucket`` rows. Runs of one block
+    are done then. For longer ones a small index of the blocks' largest values leads from the exit of each block to
+    the entry of a later one, and these pointers are doubled until the whole chain is marked: as many rounds as the
+    logarithm of the blocks. No task holds more than a block of a run.
+    """
+    bucket = F.floor(F.col("idx") / rows_per_bucket)
+    full = means.filter(F.col("window_avg").isNotNull())
+    risen = running(full, [run], ["idx"], bucket, {"__top": F.col("window_avg")}, "max")
+    rising = risen.filter(F.col("__top").isNull() | (F.col("window_avg") > F.col("__top"))).select(
+        F.col(run).alias("run"), bucket.alias("block"), "idx", F.col("window_avg").alias("avg"),
+        F.round(F.col("window_avg") + min_delta, DIGITS).alias("bar"), F.col("__top").isNull().alias("first"))
+    kind = dict(rising.dtypes)["run"]
+    chains = cut_lineage(rising.groupBy("run", "block").applyInArrow(
+        perrow.follow_rises, f"run {kind}, block long, idx long, avg double, bar double, move boolean, exit_idx long, exit_bar double"), "chains")
+    moves, entries = chains.filter("move").select("run", "idx"), chains.filter("NOT move")
+    if not entries.isEmpty():
+        moves = moves.unionByName(_later_moves(chains, kind))
+    return moves.withColumnRenamed("run", run)
+
+
+def _later_moves(chains: DataFrame, kind: str) -> DataFrame:
+    """Moves in all but the first block of the runs that have several."""
+    entries = chains.filter("NOT move")
+    tops = entries.groupBy("run", "block").agg(F.max("avg").alias("top")).groupBy("run").agg(
+        F.array_sort(F.collect_list(F.struct("top", "block"))).alias("tops"))  # one element for each block of a run
+    nodes = chains.filter("exit_bar IS NOT NULL").join(tops, "run")
+    above = upper_bound(F.transform("tops", lambda t: t["top"]), F.col("exit_bar"))
+    asked = nodes.select("run", "block", "idx", "exit_bar", "move", F.get(F.col("tops"), above)["block"].alias("into")).filter("into IS NOT NULL")
+    # A block's exits lead into few blocks, as both ascend: the entries are copied once for each such pair.
+    offered = asked.select("run", "block", "into").distinct().join(
+        entries.select(F.col("run").alias("r"), F.col("block").alias("b"), F.col("idx").alias("to"), "avg"), (F.col("run") == F.col("r")) & (F.col("into") == F.col("b"))).select(
+        F.col("run").alias("r"), F.col("block").alias("from"), F.col("into").alias("at"), "to", "avg")
+    pointers = cut_lineage(asked.groupBy("run", "block", "into").cogroup(offered.groupBy("r", "from", "at")).applyInArrow(
+        perrow.next_rises, f"run {kind}, idx long, move boolean, to long"), "pointers")
+    reached = pointers.filter("move").select("run", F.col("to").alias("idx"))
+    jumps = pointers.filter("NOT move").select("run", "idx", "to")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, ["run", "idx"]).select("run", F.col("to").alias("idx"))
+        reached = cut_lineage(reached.unionByName(more).distinct(), "reached")
+        ahead = jumps.select("run", F.col("idx").alias("to"), F.col("to").alias("far"))
+        jumps = cut_lineage(jumps.join(ahead, ["run", "to"]).select("run", "idx", F.col("far").alias("to")), "jumps")
+    entered = reached.join(entries.select("run", "idx", "block"), ["run", "idx"]).select("run", "block", F.col("idx").alias("entry"))
+    inside = entries.join(entered, ["run", "block"]).filter("idx >= entry")
+    return inside.groupBy("run", "block").applyInArrow(perrow.rises_from, f"run {kind}, idx long")
+
+
 def stop_action(window: int = WINDOW, patience: int = PATIENCE, kl_max: float = KL_MAX, clip_max: float = CLIP_MAX) -> Column:
     """What the follower does at a row that has idx, window_avg, stale_windows and both policy metrics."""
     below = lambda c, limit: F.when(is_numeric_text(F.col(c)), F.col(c).try_cast("double") < limit).otherwise(F.lit(False))

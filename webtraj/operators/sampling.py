@@ -54,15 +54,14 @@ def budget_draw(df: DataFrame, key: Column, steps: Column, seed: int, max_tasks:
 
 
 def ratio_order(df: DataFrame, label: str, ratios: dict[str, int], key: Column, seed: int = 0,
-                name: str = "round_no", hot_rows: int | None = None) -> DataFrame:
+                name: str = "round_no") -> DataFrame:
     """Draw round of every row: each round takes ``ratio`` rows of each label, in seeded order.
 
     Sort by (round_no, label) to read batches off; labels outside ``ratios`` are left out.
     """
     weight = F.create_map(*[x for k, v in ratios.items() for x in (F.lit(k), F.lit(v))])
     known = df.filter(F.col(label).isin(*ratios)).withColumn("__pos", hash_order(key, seed))
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
-    at = ranked(known, [label], ["__pos"], hash_bucket(F.col("__pos")), "__rn", **extra)
+    at = ranked(known, [label], ["__pos"], hash_bucket(F.col("__pos")), "__rn")
     return at.withColumn(name, F.floor(F.col("__rn") / weight[F.col(label)]).cast("bigint")).drop("__pos", "__rn")
 
 

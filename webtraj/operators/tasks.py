@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import templates as T
 from ..functions.layout import image_name
 from ..functions.observation import parse_prompt
-from .ordered import HOT_ROWS, runs
+from .ordered import runs
 
 
 def role_text(messages: Column, role: str) -> Column:
@@ -27,9 +27,9 @@ def parsed_steps(samples: DataFrame, system_prompt: str | None = None) -> DataFr
 
 
 def segment_tasks(steps: DataFrame, key: Column, order: list, bucket: Column, file: list[str] | None = None,
-                  name: str = "task_no", hot_rows: int = HOT_ROWS) -> DataFrame:
+                  name: str = "task_no") -> DataFrame:
     """Number tasks: a new one starts whenever the key differs from the previous row's, per file."""
-    return runs(steps, file or [], order, bucket, key, name, hot_rows)
+    return runs(steps, file or [], order, bucket, key, name)
 
 
 def step_history(steps: DataFrame, key: str, order: str, action: str = "action", conclusion: str = "conclusion",

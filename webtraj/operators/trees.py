@@ -7,13 +7,16 @@ in what it has built so far. ``exploded`` turns the arrays into a node table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import observation as O
 from ..functions import pages as P
-from ..functions.pyudfs import dom_texts, html_nodes, preorder
+from ..functions.arrays import lower_bound, place, scan
+from ..functions.pyudfs import dom_texts, html_nodes, kept_ids, preorder
 from ..functions.text import let
 from .ordered import first_per_key, ranked, running
 
@@ -32,29 +35,6 @@ def exploded(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, F.inline_outer("nodes")).filter(F.col("node_id").isNotNull())
 
 
-CHUNK = 128
-
-
-def _scan(items: Column, start: Column, step, out, out_type: str) -> Column:
-    """``out(state)`` after each item, the state being carried from item to item by ``step(state, item)``.
-
-    An aggregate copies its state for every item, so results never grow inside one: the states at the start of
-    each chunk come first, then the chunks are scanned apart, each collecting no more than ``CHUNK`` results.
-    """
-    none = F.array().cast(f"array<{out_type}>")
-
-    def scanned(items: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, CHUNK))
-        first = F.struct(F.slice(F.array(F.struct(start.alias("s"))), 1, 0).alias("done"), start.alias("s"))
-        states = lambda cs: F.aggregate(cs, first, lambda acc, c: F.struct(
-            F.concat(acc["done"], F.array(F.struct(acc["s"].alias("s")))).alias("done"), F.aggregate(c, acc["s"], step).alias("s")), lambda acc: acc["done"])
-        inside = lambda c, at: F.aggregate(c, F.struct(at["s"].alias("s"), none.alias("out")), lambda acc, x: let(step(acc["s"], x), lambda now: F.struct(
-            now.alias("s"), F.concat(acc["out"], F.array(out(now).cast(out_type))).alias("out"))), lambda acc: acc["out"])
-        return let(chunks, lambda cs: F.flatten(F.zip_with(cs, states(cs), inside)))
-
-    return let(items, lambda xs: F.when(F.size(xs) > 0, scanned(xs)).otherwise(none))
-
-
 def _fold(nodes: Column, item_type: str, make) -> Column:
     """One result per node in pre-order; ``make(node, parent_result)`` sees null for the root's parent.
 
@@ -64,24 +44,7 @@ def _fold(nodes: Column, item_type: str, make) -> Column:
         return let(F.filter(path, lambda e: e["id"] <= n["parent_id"]), lambda up: F.concat(up, F.array(F.struct(
             n["node_id"].cast("int").alias("id"), make(n, F.get(up, F.size(up) - 1)["value"]).cast(item_type).alias("value")))))
 
-    return _scan(nodes, F.array().cast(f"array<struct<id:int,value:{item_type}>>"), step, lambda path: F.element_at(path, -1)["value"], item_type)
-
-
-def _lower_bound(values: Column, x: Column) -> Column:
-    """Place of the first element of an ascending array that isn't below ``x`` (its size if there is none)."""
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        return F.when(s["lo"] >= s["hi"], s).when(F.get(values, mid) < x, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
-            F.struct(s["lo"].alias("lo"), mid.alias("hi")))
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
-    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + 2)).cast("int") + 1)
-    return F.aggregate(rounds, start, halve, lambda s: s["lo"])
-
-
-def _place(ids: Column, x: Column) -> Column:
-    """0-based place of ``x`` in ascending ``ids``, -1 where it is missing."""
-    return let(_lower_bound(ids, x), lambda i: F.when(F.get(ids, i) == x, i).otherwise(F.lit(-1)))
+    return scan(nodes, F.array().cast(f"array<struct<id:int,value:{item_type}>>"), step, lambda path: F.element_at(path, -1)["value"], item_type)
 
 
 def xpaths(nodes: Column) -> Column:
@@ -102,10 +65,9 @@ def xpaths(nodes: Column) -> Column:
 def sibling_ordinals(nodes: DataFrame, parent: list[str], tag: str, order: str) -> DataFrame:
     """Place of each node among its siblings with the same tag, 0 if it is the only one."""
     keys = [*parent, tag]
-    placed = ranked(nodes, keys, [order], F.floor(F.col(order) / 10_000), "__rn")
-    same = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__same"))
+    placed = ranked(nodes, keys, [order], F.floor(F.col(order) / 10_000), "__rn", rows="__same")
     nth = F.when(F.col("__same") > 1, F.col("__rn") + 1).otherwise(F.lit(0)).cast("int")
-    return placed.join(same, keys).withColumn("nth", nth).drop("__rn", "__same")
+    return placed.withColumn("nth", nth).drop("__rn", "__same")
 
 
 # ---- simplified DOM ---------------------------------------------------------------------------
@@ -137,8 +99,14 @@ def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None
     page already uses are passed over. With a window, a node is visible when its ``rect`` attribute
     touches it. ``width`` shortens the printed texts and values, never the nodes.
     """
-    keep = keep if keep is not None else F.array().cast("array<int>")
-    observed = observed if observed is not None else F.array().cast("array<int>")
+    none = F.array().cast("array<int>")
+    sorted_ids = lambda ids: none if ids is None else F.array_sort(F.coalesce(ids.cast("array<int>"), none))
+    return let(sorted_ids(keep), lambda kept: let(sorted_ids(observed), lambda seen: _dom_input(
+        nodes, kept, seen, wanted, label_attr, window, width)))
+
+
+def _dom_input(nodes: Column, keep: Column, observed: Column, wanted, label_attr: str, window: tuple | None, width: int | None) -> Column:
+    has = lambda ids, n: place(ids, n["node_id"]) >= 0
     own = lambda n: F.coalesce(F.try_element_at(n["attrs"], F.lit(label_attr or " ")), F.lit(""))
 
     def visible(n: Column) -> Column:
@@ -148,8 +116,8 @@ def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None
             r["x"], r["y"], r["w"], r["h"], window))
 
     flagged = F.transform(nodes, lambda n: let(visible(n), lambda v: F.struct(
-        n.alias("n"), v.alias("visible"), own(n).alias("own"), F.array_contains(keep, n["node_id"]).alias("kept"),
-        (F.array_contains(keep, n["node_id"]) | (v & (F.array_contains(observed, n["node_id"]) | (own(n) != "")))).alias("labelled"))))
+        n.alias("n"), v.alias("visible"), own(n).alias("own"), has(keep, n).alias("kept"),
+        (has(keep, n) | (v & (has(observed, n) | (own(n) != "")))).alias("labelled"))))
 
     def numbers(fs: Column) -> Column:
         """Place in the order of labels for every fresh one, past those in use."""
@@ -157,18 +125,18 @@ def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None
 
         def next_free(last: Column, used: Column) -> Column:
             start = last + 1
-            return F.aggregate(F.slice(used, _lower_bound(used, start) + 1, F.size(used) + 1), start,
+            return F.aggregate(F.slice(used, lower_bound(used, start) + 1, F.size(used) + 1), start,
                                lambda at, u: at + F.when(u == at, 1).otherwise(0))
 
         fresh = F.transform(fs, lambda f: f["labelled"] & (f["own"] == ""))
-        return let(taken, lambda used: _scan(fresh, F.lit(-1), lambda last, f: F.when(f, next_free(last, used)).otherwise(last),
+        return let(taken, lambda used: scan(fresh, F.lit(-1), lambda last, f: F.when(f, next_free(last, used)).otherwise(last),
                                              lambda last: last, "int"))
 
     hidden = tuple(a for a in (label_attr,) if a)
     short = lambda t: t if width is None else F.left(t, F.lit(width))
     return let(flagged, lambda fs: let(numbers(fs), lambda nums: let(
         F.transform(fs, lambda f: f["n"]["node_id"]), lambda ids: F.transform(fs, lambda f, i: F.struct(
-            i.alias("pos"), _place(ids, f["n"]["parent_id"]).alias("up"),
+            i.alias("pos"), place(ids, f["n"]["parent_id"]).alias("up"),
             f["n"]["tag"].alias("tag"), short(f["n"]["text"]).alias("text"), f["visible"].alias("visible"), f["kept"].alias("kept"),
             F.when(f["own"] != "", f["own"]).when(f["labelled"], G.ordered_label(F.get(nums, i))).otherwise(F.lit("")).alias("label"),
             P.shown_attributes(f["n"]["attrs"], wanted, hidden, width).alias("shown"))))))
@@ -176,52 +144,26 @@ def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None
 
 # ---- neighbourhoods and pruning ---------------------------------------------------------------
 
-def _around(nodes: Column, ident: Column, depth: int, children: int, siblings: int) -> Column:
-    """A node with its ancestors, first descendants and nearest siblings."""
-    def near(c: Column) -> Column:
-        up = F.filter(nodes, lambda m: (m["node_id"] <= c["node_id"]) & (m["last_id"] >= c["last_id"])
-                      & (m["depth"] >= c["depth"] - (depth + 1)))
-        down = F.slice(F.filter(nodes, lambda m: (m["node_id"] > c["node_id"]) & (m["node_id"] <= c["last_id"])
-                                & (m["depth"] <= c["depth"] + depth + 1)), 1, max(children, 0))
-        peers = F.when(c["parent_id"] >= 0, F.filter(nodes, lambda m: m["parent_id"] == c["parent_id"])).otherwise(F.array(c))
-        ids = lambda a: F.transform(a, lambda m: m["node_id"])
-        beside = let(ids(peers), lambda p: let(F.array_position(p, c["node_id"]).cast("int"), lambda at: F.slice(
-            p, F.greatest(at - siblings, F.lit(1)), F.least(at - 1, F.lit(siblings)) + siblings + 1)))
-        return F.concat(ids(up), ids(down), beside)
-
-    return let(F.try_element_at(F.filter(nodes, lambda m: m["node_id"] == ident), F.lit(1)),
-               lambda c: F.when(c.isNotNull(), near(c)).otherwise(F.array().cast("array<int>")))
-
-
 def keep_set(nodes: Column, keep: Column, max_depth: int = 3, max_children: int = 30, max_sibling: int = 3,
              rounds: int = 1, keep_parents: bool = False) -> Column:
-    """Ids around the wanted nodes; each further round looks less far around everything found so far."""
-    return let(nodes, lambda ns: _keep_set(ns, keep, max_depth, max_children, max_sibling, rounds, keep_parents))
-
-
-def _keep_set(nodes: Column, keep: Column, max_depth: int, max_children: int, max_sibling: int, rounds: int,
-              keep_parents: bool) -> Column:
-    found = F.array().cast("array<int>")
-    seeds = keep
-    for _ in range(max(1, rounds)):
-        reach = (max_depth, max_children, max_sibling)
-        near = F.flatten(F.transform(seeds, lambda k: _around(nodes, k, *reach)))
-        found = F.array_distinct(F.concat(found, near))
-        seeds = found
-        max_children, max_depth, max_sibling = int(max_children * 0.5), int(max_depth * 0.5), int(max_sibling * 0.7)
-    if keep_parents:
-        ends = F.filter(F.transform(nodes, lambda c: F.when(F.array_contains(keep, c["node_id"]), F.struct(
-            c["node_id"].alias("at"), c["last_id"].alias("last")))), lambda c: c.isNotNull())
-        above = let(ends, lambda es: F.filter(nodes, lambda m: F.exists(es, lambda c: (
-            (m["node_id"] < c["at"]) & (m["last_id"] >= c["last"])))))
-        found = F.array_union(found, F.transform(above, lambda m: m["node_id"]))
-    return F.array_sort(found)
+    """Ids around the wanted nodes, ascending: ancestors, first descendants and nearest siblings of each.
+
+    Each further round looks less far around everything found so far. Nodes are in pre-order, so ancestors and
+    descendants are intervals of ids and all seeds of a page are marked together (see ``perrow.kept_ids``): the work
+    follows the nodes and what is kept, not seeds times nodes.
+    """
+    field = lambda name: F.transform(nodes, lambda n: n[name].cast("int"))
+    shape = F.lit(json.dumps([max_depth, max_children, max_sibling, max(1, rounds), keep_parents]))
+    return kept_ids(field("node_id"), field("depth"), field("last_id"), keep.cast("array<int>"), shape)
 
 
 def prune(nodes: Column, keep_ids: Column) -> Column:
-    """Only the kept nodes and the root; children of a removed node move up to its nearest kept ancestor."""
-    kept = lambda n: F.array_contains(keep_ids, n["node_id"]) | (n["parent_id"] < 0)
-    return _spliced(nodes, kept)
+    """Only the kept nodes and the root; children of a removed node move up to its nearest kept ancestor.
+
+    Ids are looked up in the sorted list, so a long one costs its logarithm per node. A null list keeps the root alone.
+    """
+    return let(F.array_sort(F.coalesce(keep_ids, F.array().cast("array<int>"))), lambda ids: _spliced(
+        nodes, lambda n: (place(ids, n["node_id"]) >= 0) | (n["parent_id"] < 0)))
 
 
 def _spliced(nodes: Column, kept) -> Column:
@@ -253,8 +195,24 @@ def first_nodes(nodes: DataFrame, key: str = "page_id", ident: str = "node_id",
     return first_per_key(nodes, [key, ident], [order])
 
 
+def merged_static_text(children: Column) -> Column:
+    """The children of one parent (structs with role and name, in order), runs of StaticText merged into their first.
+
+    Inside the row: the places where a run starts, then one slice of the names for each. No shuffle, linear in the
+    children; a null list stays null, null names add nothing.
+    """
+    def merge(cs: Column) -> Column:
+        text = lambda i: F.coalesce(F.get(cs, i)["role"] == "StaticText", F.lit(False))
+        starts = F.filter(F.transform(cs, lambda c, i: F.when(~text(i) | (i == 0) | ~text(i - 1), i)), lambda i: i.isNotNull())
+        names = F.transform(cs, lambda c: c["name"])
+        return let(starts, lambda ss: let(names, lambda ns: F.transform(ss, lambda s, k: F.get(cs, s).withField(
+            "name", F.when(text(s), F.array_join(F.slice(ns, s + 1, F.coalesce(F.get(ss, k + 1), F.size(cs)) - s), "")).otherwise(F.get(cs, s)["name"])))))
+
+    return F.when(children.isNotNull(), let(children, merge))
+
+
 def merge_static_text(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Adjacent StaticText children of a parent merged into the first of them.
+    """The same for children that are rows of a table.
 
     Works on child rows (page, parent, place): a run of texts is found by counting the other siblings
     before it, and its texts are concatenated in order.
@@ -293,7 +251,7 @@ def prune_viewport(nodes: Column, win_w: float, win_h: float) -> Column:
 def renumbered(nodes: Column) -> Column:
     """Places 0, 1, 2, … again after a prune."""
     return let(nodes, lambda ns: let(F.transform(ns, lambda n: n["node_id"]), lambda ids: F.transform(ns, lambda n, i: n.withField(
-        "node_id", i).withField("parent_id", _place(ids, n["parent_id"])))))
+        "node_id", i).withField("parent_id", place(ids, n["parent_id"])))))
 
 
 def _indented(nodes: Column, line, shown, deepens) -> Column:
@@ -339,9 +297,9 @@ def decode_snapshot(snapshot: Column) -> Column:
 
     def tables(kids: Column, boxes: Column) -> Column:
         return let(F.transform(kids, lambda x: x["p"]), lambda ups: let(F.transform(boxes, lambda x: x["n"]), lambda ns: nodes(
-            lambda i: let(_lower_bound(ups, i), lambda a: F.transform(
-                F.slice(kids, a + 1, _lower_bound(ups, i + 1) - a), lambda x: x["j"].cast("string"))),
-            lambda i: F.get(s["bounds"], F.get(boxes, F.when(_place(ns, i) >= 0, _place(ns, i)))["j"]))))
+            lambda i: let(lower_bound(ups, i), lambda a: F.transform(
+                F.slice(kids, a + 1, lower_bound(ups, i + 1) - a), lambda x: x["j"].cast("string"))),
+            lambda i: F.get(s["bounds"], F.get(boxes, F.when(place(ns, i) >= 0, place(ns, i)))["j"]))))
 
     def nodes(children, box) -> Column:
         return F.transform(s["node_name"], lambda name, i: F.struct(

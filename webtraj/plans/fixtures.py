@@ -24,18 +24,18 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(table(spark, sf_dir, name).select(*columns))
 
 
-def minute(df: DataFrame, ts: str = "ts") -> Column:
-    """Minute of a timestamp, rising with it in any session time zone."""
+def month(df: DataFrame, ts: str = "ts") -> Column:
+    """Month, or span of 30 days, of a timestamp, rising with it in any session time zone."""
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        return F.substring(F.col(ts).cast("string"), 1, 16)
-    return F.floor(F.unix_seconds(ts) / 60).cast("string")
+        return F.substring(F.col(ts).cast("string"), 1, 7)
+    return F.floor(F.unix_seconds(ts) / (30 * 86_400)).cast("string")
 
 
 def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with k of their properties and their 0-based place n within the user."""
     ev = table(spark, sf_dir, "events").selectExpr(
         "event_id", "ts", "user_id", "event_type", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k")
-    return ranked(ev, ["user_id"], ["ts", "event_id"], minute(ev), "n").drop("ts")
+    return ranked(ev, ["user_id"], ["ts", "event_id"], month(ev), "n").drop("ts")
 
 
 _THINK = r"'<think>t</think>\n'"
@@ -139,6 +139,12 @@ def log_bucket() -> Column:
     return F.floor(F.col("n") / 100_000)
 
 
+def line_nodes(text: Column) -> Column:
+    """The lines of a text as child nodes in order: pos, role and name."""
+    role = lambda name: F.when(F.length(name) % 3 == 0, F.lit("link")).otherwise(F.lit("StaticText"))
+    return F.transform(F.split(text, "\n", -1), lambda name, i: F.struct(i.alias("pos"), role(name).alias("role"), name.alias("name")))
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as flat pages: every line a child node of the document's root."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "name"))

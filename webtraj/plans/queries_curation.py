@@ -304,7 +304,7 @@ def row_parts(spark, d):
 def hot_key_ranks(spark, d):
     # With this threshold every language is hot, so all of them are ranked bucket by bucket.
     docs = X.table(spark, d, "documents").select("doc_id", "lang")
-    return O.ranked(docs, ["lang"], ["doc_id"], F.floor(F.col("doc_id") / 50), hot_rows=10).drop("lang")
+    return O.ranked(docs, ["lang"], ["doc_id"], F.floor(F.col("doc_id") / 50)).drop("lang")
 
 
 # ---- trainer rows -----------------------------------------------------------------------------

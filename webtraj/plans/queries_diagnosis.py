@@ -106,9 +106,7 @@ share AS (SELECT greatest(count(*), 1) AS n, count(*) FILTER (hallucinated_id) A
 SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS place, unnest([round(x, 6) FOR x IN [a * 100.0 / n, hallucinated_id * 100.0 / steps, b * 100.0 / n, element_mismatch * 100.0 / steps,
   c * 100.0 / n, d * 100.0 / n, format_error * 100.0 / steps, e * 100.0 / n]]) AS value FROM share, rates""")
 def failure_report_values(spark, d):
-    # One pass finds all steps; the flags use the failed ones only.
-    found = D.step_findings(X.steps(spark, d))
-    report = D.report_values(D.trajectory_flags(found.filter(~F.col("success"))), D.step_defects(found))
+    report = D.findings_report(D.step_findings(X.steps(spark, d)))
     return report.select(F.posexplode("values").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
@@ -187,8 +185,8 @@ def mean_trial_accuracy(spark, d):
 SELECT traj_id, trial_idx, count(*) OVER w AS completed, CAST(sum(CAST(success AS INTEGER)) OVER w AS BIGINT) AS correct,
   round(sum(CAST(success AS INTEGER)) OVER w * 100.0 / count(*) OVER w, 6) AS accuracy_pct FROM t WINDOW w AS (PARTITION BY trial_idx ORDER BY event_id)""")
 def running_accuracy(spark, d):
-    # Few trials, many episodes each: every trial is a hot key, so none may go into one task.
-    out = E.running_accuracy(_trials(spark, d), "trial_idx", ["event_id"], F.floor(F.col("event_id") / 10_000), F.col("success"), hot_rows=100_000)
+    # Few trials, many episodes each: buckets of event ids keep any trial out of one task.
+    out = E.running_accuracy(_trials(spark, d), "trial_idx", ["event_id"], F.floor(F.col("event_id") / 10_000), F.col("success"))
     return out.select("traj_id", "trial_idx", "completed", "correct", F.round("accuracy_pct", 6).alias("accuracy_pct"))
 
 

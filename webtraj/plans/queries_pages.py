@@ -120,7 +120,8 @@ r AS (SELECT *, CASE WHEN length(name) % 3 = 0 THEN 'link' ELSE 'StaticText' END
 g AS (SELECT *, sum(CASE WHEN role = 'link' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM r)
 SELECT doc_id AS page_id, CAST(min(pos) AS INTEGER) AS pos, role, md5(string_agg(name, '' ORDER BY pos)) AS name FROM g GROUP BY doc_id, grp, role""")
 def static_text_merged(spark, d):
-    return T.merge_static_text(X.paragraphs(spark, d)).select("page_id", "pos", "role", F.md5("name").alias("name"))
+    merged = X.texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("page_id"), F.inline_outer(T.merged_static_text(X.line_nodes(F.col("text")))))
+    return merged.filter("pos IS NOT NULL").select("page_id", "pos", "role", F.md5("name").alias("name"))
 
 
 @query("first_nodes", """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS name FROM documents)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import runlogs as L
 from ..operators import experiments as E
-from ..session import cut_lineage
 from . import fixtures as X
 from .oracle_tables import LOG
 from .registry import query
@@ -37,8 +36,7 @@ def _means(spark, d):
 
 
 def _metrics(spark, d):
-    # Several ordered scans follow, so the derived lines are written once.
-    return cut_lineage(E.metric_rows(X.train_log(spark, d), ["user_id", "n"]), "metrics")
+    return E.metric_rows(X.train_log(spark, d), ["user_id", "n"])
 
 
 @query("sliding_means", "WITH " + _AVG + " SELECT user_id, n, idx, round(window_avg, 8) AS window_avg FROM means")
@@ -70,10 +68,9 @@ def early_stops(spark, d):
 
 @query("hot_run_stale_windows", _FOLD + " SELECT m.user_id, m.n, round(f.best_avg, 8) AS best_avg, f.stale_windows FROM means m LEFT JOIN fold f ON m.user_id = f.user_id AND m.idx = f.idx")
 def hot_run_stale_windows(spark, d):
-    # Thresholds so low that every run is cut into blocks and buckets.
-    means = E.sliding_means(_metrics(spark, d), "user_id", ["n"], F.floor(F.col("n") / 16),
-                            hot_rows=20, rows_per_block=16)
-    out = E.staleness(means, "user_id", hot_rows=20, rows_per_bucket=16)
+    # Blocks and buckets so small that every run has many.
+    means = E.sliding_means(_metrics(spark, d), "user_id", ["n"], F.floor(F.col("n") / 16), rows_per_block=16)
+    out = E.staleness(means, "user_id", rows_per_bucket=16)
     return out.select("user_id", "n", F.round("best_avg", 8).alias("best_avg"), "stale_windows")
 
 

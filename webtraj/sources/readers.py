@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import is_blank
 from ..functions.variants import listed_question
-from ..operators.ordered import HOT_ROWS, ranked
+from ..operators.ordered import ranked
 
 
 def file_lines(spark: SparkSession, path) -> DataFrame:
@@ -24,13 +24,13 @@ def file_lines(spark: SparkSession, path) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"))
 
 
-def with_line_numbers(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_line_numbers(lines: DataFrame) -> DataFrame:
     """1-based line number within each file; a big file is counted split by split."""
-    at = ranked(lines, ["file"], ["pos"], F.col("pos.block"), "line_no", hot_rows)
+    at = ranked(lines, ["file"], ["pos"], F.col("pos.block"), "line_no")
     return at.withColumn("line_no", F.col("line_no") + 1)
 
 
-def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = None, hot_rows: int = HOT_ROWS):
+def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = None):
     """(records, rejects) of JSONL files: blank lines are skipped, malformed ones reported by line.
 
     Records are typed by ``schema``, or held as one VARIANT column ``record`` when none is given. Only
@@ -43,7 +43,7 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = No
         records = good.select("file", "pos", "record")
     else:
         records = good.select("file", "pos", F.from_json("value", schema).alias("r")).select("file", "pos", "r.*")
-    numbered = with_line_numbers(file_lines(spark, path), hot_rows).filter(~is_blank(F.col("value")))
+    numbered = with_line_numbers(file_lines(spark, path)).filter(~is_blank(F.col("value")))
     rejects = numbered.filter(F.try_parse_json("value").isNull()).select("file", "line_no", "value")
     return records, rejects
 
