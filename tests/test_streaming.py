@@ -1,7 +1,9 @@
 """Streams that land in several pieces against the batch result."""
 
 import json
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,3 +65,59 @@ def test_tasks_across_landings(spark, tmp_path):
         stream = S.feed_tasks(spark.readStream.schema(df.schema).parquet(source))
         stream.writeStream.format("parquet").option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).start(sink).awaitTermination()
     assert [x.task_no for x in spark.read.parquet(sink).orderBy("ord").collect()] == [1, 1, 2, 2, 3, 4, 4, 5]
+
+
+def _landings(spark, source, sink, feed, parts):
+    """Each part lands in files of its own and the stream runs over it; returns the rows after every run."""
+    seen = []
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        feed(spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 2).parquet(source)).writeStream.format("parquet").option(
+            "checkpointLocation", f"{sink}-state").trigger(availableNow=True).start(sink).awaitTermination()
+        seen.append(spark.read.parquet(sink).count())
+    return seen
+
+
+def test_tasks_of_files_that_land_out_of_order(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(f, i, rng.choice(["a", "b", None])) for f in ("f", "g") for i in range(3000)]
+    df = spark.createDataFrame(rows, "file string, ord long, objective string")
+    parts = [df.filter("ord >= 2000"), df.filter("ord % 2 = 1 AND ord < 2000").repartition(5), df.filter("ord < 2500").repartition(3), df.filter("ord < 10")]
+    seen = _landings(spark, str(tmp_path / "in"), str(tmp_path / "out"), S.feed_tasks, parts)
+    assert seen == [0, 0, 6000, 6000]  # nothing before its turn, nothing twice
+    want, number, before = {}, 0, None
+    for f, i, o in rows:
+        if i == 0 or o != before:
+            number = 1 if i == 0 else number + 1
+        before = o
+        want[f, i] = number
+    assert {(x.file, x.ord): x.task_no for x in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_log_pieces_that_land_out_of_order(spark, tmp_path):
+    rng = random.Random(5)
+    lines = [("r", i, _line(i, f"{rng.random():.4f}") if i % 7 else "noise") for i in range(60)]
+    df = spark.createDataFrame(lines, "run string, n long, line string")
+    parts = [df.filter("n >= 40"), df.filter("n < 20"), df.filter("n BETWEEN 20 AND 39")]
+    follow = lambda stream: S.follow_metrics(stream, order="n")
+    seen = _landings(spark, str(tmp_path / "in"), str(tmp_path / "out"), follow, parts)
+    assert seen[0] == 0 and seen[1] == sum(i % 7 > 0 for i in range(20))
+    got = {x.step: (x.window_avg, x.best_avg, x.stale_windows, x.action) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    means = E.sliding_means(E.metric_rows(df, ["run", "n"]), "run", ["n"], F.floor(F.col("n") / 100))
+    batch = E.staleness(means, "run").withColumn("action", E.stop_action())
+    assert got == {x.step: (x.window_avg, x.best_avg, x.stale_windows, x.action) for x in batch.collect()} and len(got) == 51
+
+
+def test_missing_rows_are_given_up(spark, tmp_path):
+    """Timers need a running query: a stream that stops when all is read waits for them without end."""
+    df = spark.createDataFrame([("f", 0, "a"), ("f", 5, "b"), ("f", 6, "b")], "file string, ord long, objective string")
+    df.write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = S.feed_tasks(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), patience=1).writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}-state").start(out)
+    end, rows = time.time() + 60, set()
+    while len(rows) < 3 and time.time() < end:
+        time.sleep(1)
+        rows = {(x.file, x.ord, x.task_no) for x in spark.read.schema(S.TASK_ROW).parquet(out).collect()} if os.path.isdir(out) else set()
+    query.stop()
+    assert rows == {("f", 0, 1), ("f", 5, 2), ("f", 6, 2)}

@@ -316,51 +316,3 @@ def rises_from(block: pa.Table) -> pa.Table:
     while leap[chain[-1]] < block.num_rows:
         chain.append(int(leap[chain[-1]]))
     return block.select(["run", "idx"]).take(pa.array(chain))
-
-
-# ---- stateful streams: one call per key and micro-batch -----------------------------------------
-
-def follow_run(key, frames, state, window: int, min_delta: float, digits: int):
-    """Metric rows of one run in step order: sliding mean, best mean so far, full windows since it moved.
-
-    The state is the last ``window`` rewards and a few numbers, however long the run gets; steps not
-    above the last one seen are dropped.
-    """
-    last, count, best, stale, recent = -1, 0, None, 0, []
-    if state.exists:
-        last, count, best, stale, packed = state.get
-        recent = json.loads(packed)
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("step", kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.step <= last:
-            continue
-        last, count = int(r.step), count + 1
-        recent = (recent + [float(r.reward)])[-window:]
-        mean = None
-        if count >= window:
-            mean = round(sum(recent) / window, digits)
-            if best is None or mean > round(best + min_delta, digits):
-                best, stale = mean, 0
-            else:
-                stale += 1
-        out.append((key[0], last, float(r.reward), count - 1, mean, best, stale if best is not None else None,
-                    r.ppo_kl, r.pg_clipfrac))
-    state.update((last, count, best, stale, json.dumps(recent)))
-    frame = pd.DataFrame(out, columns=["run", "step", "reward", "idx", "window_avg", "best_avg", "stale_windows",
-                                       "ppo_kl", "pg_clipfrac"])
-    frame["stale_windows"] = frame["stale_windows"].astype("Int64")
-    yield frame
-
-
-def number_tasks(key, frames, state):
-    """Rows of one file in order: a new task number whenever the objective changes."""
-    number, before = state.get if state.exists else (0, None)
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("ord", kind="stable")
-    numbers = []
-    for objective in rows["objective"]:
-        if number == 0 or objective != before:
-            number, before = number + 1, objective
-        numbers.append(number)
-    state.update((number, before))
-    yield pd.DataFrame({"file": rows["file"], "ord": rows["ord"], "objective": rows["objective"], "task_no": numbers})

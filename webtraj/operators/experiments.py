@@ -20,13 +20,17 @@ WINDOW, MIN_DELTA, PATIENCE, KL_MAX, CLIP_MAX = 8, 0.01, 5, 0.001, 0.01
 DIGITS = 10
 
 
-def metric_rows(log: DataFrame, keep: list[str], line: str = "line", key: str = REWARD_KEY) -> DataFrame:
-    """Metric lines with a numeric reward as typed rows."""
+def metric_rows(log: DataFrame, keep: list[str], line: str = "line", key: str = REWARD_KEY, every: bool = False) -> DataFrame:
+    """Metric lines with a numeric reward as typed rows; with ``every`` other lines stay too, with a null reward."""
     text = F.col(line)
     # ``inline`` cuts every text once; a plain projection would be repeated in the filter below.
     parts = F.inline(F.array(F.struct(
         step_of(text).alias("step"), metric_text(text, key).alias("reward"), metric_text(text, KL_KEY).alias("ppo_kl"),
         metric_text(text, CLIP_KEY).alias("pg_clipfrac"))))
+    if every:
+        rows = log.select(*keep, parts, is_metric_line(text, key).alias("__metric"))
+        counts = F.col("__metric") & is_numeric_text(F.col("reward"))
+        return rows.withColumn("reward", F.when(counts, F.col("reward").try_cast("double"))).drop("__metric")
     rows = log.filter(is_metric_line(text, key)).select(*keep, parts).filter(is_numeric_text(F.col("reward")))
     return rows.withColumn("reward", F.col("reward").try_cast("double"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked
 from ..session import scratch_path
 from ..streaming import follow as S
 from . import fixtures as X
@@ -24,8 +25,8 @@ SELECT CAST(m.user_id AS VARCHAR) AS run, m.step, round(m.window_avg, 8) AS wind
   WHEN f.stale_windows >= 5 AND CAST(ppo_kl AS DOUBLE) < 0.001 AND CAST(pg_clipfrac AS DOUBLE) < 0.01 THEN 'stop' WHEN f.stale_windows >= 5 THEN 'continue_policy_moving' ELSE 'continue_patience' END AS action
 FROM means m LEFT JOIN fold f ON m.user_id = f.user_id AND m.idx = f.idx""")
 def stream_early_stops(spark, d):
-    lines = X.train_log(spark, d).select(F.col("user_id").cast("string").alias("run"), "line")
-    out = S.run_available(S.follow_metrics(_landed(lines, "lines")), "early-stops")
+    lines = X.train_log(spark, d).select(F.col("user_id").cast("string").alias("run"), F.col("n").alias("line_no"), "line")
+    out = S.run_available(S.follow_metrics(_landed(lines, "lines"), order="line_no"), "early-stops")
     return out.select("run", "step", F.round("window_avg", 8).alias("window_avg"), F.round("best_avg", 8).alias("best_avg"), "stale_windows", "action")
 
 
@@ -53,8 +54,9 @@ def stream_failures(spark, d):
 
 @query("stream_tasks", "WITH " + CHAT + """
 , c AS (SELECT *, CASE WHEN objective IS DISTINCT FROM lag(objective) OVER w THEN 1 ELSE 0 END AS chg FROM chat WINDOW w AS (PARTITION BY turn ORDER BY conv_id))
-SELECT 'f' || turn AS file, conv_id AS ord, CAST(sum(chg) OVER (PARTITION BY turn ORDER BY conv_id) AS BIGINT) AS task_no FROM c""")
+SELECT 'f' || turn AS file, row_number() OVER (PARTITION BY turn ORDER BY conv_id) - 1 AS ord, CAST(sum(chg) OVER (PARTITION BY turn ORDER BY conv_id) AS BIGINT) AS task_no FROM c""")
 def stream_tasks(spark, d):
     rows = X.table(spark, d, "conversations").select(
-        F.concat(F.lit("f"), "turn").alias("file"), F.col("conv_id").alias("ord"), F.format_string("conv %s", F.floor(F.col("conv_id") / 10)).alias("objective"))
-    return S.run_available(S.feed_tasks(_landed(rows, "chat")), "tasks").select("file", "ord", "task_no")
+        F.concat(F.lit("f"), "turn").alias("file"), "conv_id", F.format_string("conv %s", F.floor(F.col("conv_id") / 10)).alias("objective"))
+    numbered = ranked(rows, ["file"], ["conv_id"], F.floor(F.col("conv_id") / 10_000), "ord").drop("conv_id")
+    return S.run_available(S.feed_tasks(_landed(numbered, "chat")), "tasks").select("file", "ord", "task_no")

@@ -6,19 +6,17 @@ take the place of polling.
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import perrow
+from ..functions import instate
 from ..operators import diagnose as D
 from ..operators import experiments as E
 from ..session import scratch_path
 
-cloudpickle.register_pickle_by_value(perrow)
+cloudpickle.register_pickle_by_value(instate)
 
 STEP = ("struct<step:int,observation:string,image_path:string,prompt:string,model_response:string,action:string,"
         "conclusion:string>")
@@ -33,21 +31,35 @@ def _fields(*pairs) -> T.StructType:
 
 METRIC_ROW = _fields(("run", "s"), ("step", "l"), ("reward", "d"), ("idx", "l"), ("window_avg", "d"), ("best_avg", "d"),
                      ("stale_windows", "l"), ("ppo_kl", "s"), ("pg_clipfrac", "s"))
-METRIC_STATE = _fields(("last", "l"), ("count", "l"), ("best", "d"), ("stale", "l"), ("recent", "s"))
 TASK_ROW = _fields(("file", "s"), ("ord", "l"), ("objective", "s"), ("task_no", "l"))
-TASK_STATE = _fields(("number", "l"), ("before", "s"))
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _in_order(rows: DataFrame, key: str, processor: instate.InOrder, schema: T.StructType) -> DataFrame:
+    """Rows of each key through a processor; its state lives in RocksDB, which the session is set to use."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = processor.patience is not None or processor.forget is not None
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "processingTime" if timed else "none")
 
 
-def follow_metrics(lines: DataFrame, window: int = E.WINDOW, min_delta: float = E.MIN_DELTA) -> DataFrame:
+def follow_metrics(lines: DataFrame, window: int = E.WINDOW, min_delta: float = E.MIN_DELTA, order: str | None = None,
+                   patience: int | None = None, forget: int | None = None) -> DataFrame:
     """New metric rows of log lines (run, line) with sliding mean, best mean, stale windows and action.
 
-    Lines are parsed natively; only the rule that depends on its own past keeps state, a few numbers
-    per run.
+    Lines are parsed natively; only the rule that depends on its own past keeps state. ``order`` names the number of a
+    line within its run, from 0 without gaps: a line then waits in the state until all before it have landed, so files
+    may land in any order (``patience`` milliseconds give missing ones up). Without it a micro-batch is taken by step,
+    and steps that are not above the last one are dropped. ``forget`` milliseconds end the state of a silent run.
     """
-    metrics = E.metric_rows(lines, ["run"]).filter(F.col("step").isNotNull())
-    step = partial(perrow.follow_run, window=window, min_delta=min_delta, digits=E.DIGITS)
-    rows = metrics.groupBy("run").applyInPandasWithState(step, METRIC_ROW, METRIC_STATE, "append", "NoTimeout")
-    return rows.withColumn("action", E.stop_action(window))
+    place = F.lit(None).cast("bigint") if order is None else F.col(order).cast("bigint")
+    rows = lines.withColumn("__place", place)
+    if order is None:
+        metrics = E.metric_rows(rows, ["run", "__place"]).filter(F.col("step").isNotNull()).withColumn("ord", F.col("step").cast("bigint"))
+    else:
+        metrics = E.metric_rows(rows, ["run", "__place"], every=True).withColumn("ord", F.col("__place"))
+    processor = instate.RunFollower(window, min_delta, E.DIGITS, gap_free=order is not None, patience=patience, forget=forget)
+    found = _in_order(metrics.select("run", "ord", F.col("step").cast("bigint").alias("step"), "reward", "ppo_kl", "pg_clipfrac"), "run", processor, METRIC_ROW)
+    return found.withColumn("action", E.stop_action(window))
 
 
 FILES_PER_BATCH = 256  # files of one micro-batch unless the caller sets maxFilesPerTrigger
@@ -65,15 +77,18 @@ def feed_steps(feed: DataFrame) -> DataFrame:
 
 
 def feed_accuracy(feed: DataFrame, success: Column, trial: str = "trial_idx", once_per: str | None = None,
-                  within: tuple[str, str] | None = None) -> DataFrame:
+                  within: tuple[str, str] | None = ("", "30 days")) -> DataFrame:
     """Accuracy per trial while episodes finish; ``once_per`` counts an id only once.
 
-    ``within`` (event time column, delay) lets go of ids that are older than the delay, so the state stays bounded;
-    without it every id is remembered.
+    ``within`` (event time column, delay) lets go of ids that are older than the delay, so the state stays bounded; an
+    empty column name means the time at which a row is read. With ``None`` every id is remembered.
     """
     rows = feed
     if once_per and within:
-        rows = feed.withWatermark(*within).dropDuplicatesWithinWatermark([once_per])
+        time, delay = within
+        if not time:
+            rows, time = feed.withColumn("__read_at", F.current_timestamp()), "__read_at"
+        rows = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([once_per])
     elif once_per:
         rows = feed.dropDuplicates([once_per])
     return rows.groupBy(trial).agg(
@@ -86,10 +101,15 @@ def feed_failures(feed: DataFrame, success: Column, dialect: str = "checker") ->
     return D.diagnose_trajectories(feed, success, dialect).filter(F.col("cause").isNotNull())
 
 
-def feed_tasks(rows: DataFrame) -> DataFrame:
-    """Task numbers of (file, ord, objective) rows; rows of a file must land in order."""
-    return rows.select("file", "ord", "objective").groupBy("file").applyInPandasWithState(
-        perrow.number_tasks, TASK_ROW, TASK_STATE, "append", "NoTimeout")
+def feed_tasks(rows: DataFrame, patience: int | None = None, forget: int | None = None) -> DataFrame:
+    """Task numbers of (file, ord, objective) rows; ``ord`` counts the rows of a file from 0 without gaps.
+
+    Files may land in any order and in any pieces: a row waits in the state until all before it have landed, then the
+    numbers are those of the whole file read at once. ``patience`` milliseconds give missing rows up, so that the state
+    stays bounded by what lands early; a row that lands after that, or again, is dropped. Null places are dropped.
+    """
+    processor = instate.TaskNumbers(gap_free=True, patience=patience, forget=forget)
+    return _in_order(rows.select("file", "ord", "objective"), "file", processor, TASK_ROW)
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
