@@ -195,3 +195,17 @@ def test_advantage_and_varied_groups(spark):
     assert {x.g for x in E.varied_groups(df, "g", "reward").collect()} == {"a"}
     plain = sorted(x.advantage for x in E.group_advantage(df, "g", "reward", normalise=False).collect())
     assert plain == [-0.5, 0.0, 0.0, 0.5]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_histories_from_prefixes_of_blocks(spark, size):
+    rng = random.Random(2)
+    rows = [(k, i, rng.choice(["", "a", "bb", None]), f"c{i}") for k in ("x", "y", None) for i in range(25)]
+    df = spark.createDataFrame(rows, "k string, o long, action string, conclusion string")
+    for blanks in (False, True):
+        got = {(x.k, x.o): (x.history_action, x.history_info) for x in K.step_history(
+            df, "k", "o", keep_blanks=blanks, block=F.floor(F.col("o") / size)).collect()}
+        for k, i, *_ in rows:
+            past = [r for r in rows if r[0] == k and r[1] < i]
+            want = "\n" + "".join(f"{r[2]}\n" for r in past if r[2] or blanks and r[2] is not None)
+            assert got[k, i] == (want, "\n" + "".join(f"{r[3]}\n" for r in past))

@@ -180,3 +180,55 @@ def test_typed_trajectories(spark, tmp_path):
     kinds = [V.truthy(F.col("success")), V.not_false(F.col("success"))]
     assert [tuple(x) for x in good.orderBy("pos").select(*[k.alias(str(i)) for i, k in enumerate(kinds)]).collect()] == [(True, True), (True, True), (False, True)]
     assert bad.count() == 0
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    """Two files of many splits each: rejects keep the line number of their file, no line is shuffled whole."""
+    path = tmp_path / "in"
+    path.mkdir()
+    want = set()
+    for name, n in (("a.jsonl", 4000), ("b.jsonl", 1500)):
+        lines = ["" if i % 11 == 0 else f'{{"a": {i}}}' if i % 97 else "{broken " + "x" * (i % 40) for i in range(1, n + 1)]
+        (path / name).write_text("\n".join(lines) + "\n")
+        want |= {(name, i, lines[i - 1]) for i in range(1, n + 1) if i % 97 == 0 and i % 11}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        good, bad = R.read_jsonl(spark, str(path))
+        assert good.rdd.getNumPartitions() > 10
+        assert {(x.file.rsplit("/", 1)[1], x.line_no, x.value) for x in bad.collect()} == want and want
+        plan = bad._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" not in plan and plan.count("Window") == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_long_exclusion_lists(spark, tmp_path):
+    """Commas, brackets, quotes and escapes inside texts; nested objects; splits in the middle of all of them."""
+    odd = ['a, b', 'x ] , [ y', 'say \\"hi, {you}\\"', 'back\\\\', '}, {', '"', ',', 'é,日', '  padded  ', '', '\\u0041,b']
+    items = [json.dumps(odd[i % len(odd)] + (f" {i}" if i % 3 else "")) for i in range(3000)]
+    items += [json.dumps({"question": f"q, {i}", "more": {"list": [1, [2, "],"]], "t": "{"}}, indent=1 if i % 2 else None) for i in range(500)] + ["17", "null", "[1, 2]"]
+    path = tmp_path / "long.json"
+    path.write_text(" \n[" + ",\n ".join(items) + "]\n ", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        elements = [x.element for x in R.json_elements(spark, str(path)).collect()]
+        assert sorted(elements) == sorted(items)
+        want = set()
+        for value in map(json.loads, items):
+            if isinstance(value, str):
+                want.add(value.strip())
+            elif isinstance(value, dict):
+                want.add(value["question"].strip())
+        assert {x.question for x in R.read_exclusions(spark, str(path)).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for text, n in (("[]", 0), ("", 0), (' [ "a" ] ', 1), ('["a"]', 1)):
+        path.write_text(text)
+        assert R.read_exclusions(spark, str(path)).count() == n
+    path.write_text('{"a": 1, "b": 2}')
+    with pytest.raises(Exception, match="no JSON array"):
+        R.read_exclusions(spark, str(path)).collect()

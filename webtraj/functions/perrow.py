@@ -112,6 +112,17 @@ def _nodes_of(html: str) -> list[dict]:
     return nodes
 
 
+NODE_FIELDS = ("node_id", "parent_id", "depth", "last_id", "nth", "same", "tag", "text", "attrs")
+
+
+class NodeTable:
+    """Table function: the nodes of a page, one row each; nothing for a null page."""
+
+    def eval(self, html: str):
+        for n in _nodes_of(html) if html is not None else ():
+            yield tuple(n[f] for f in NODE_FIELDS)
+
+
 def html_nodes(html: pd.Series) -> pd.Series:
     return html.map(_nodes_of, na_action="ignore")
 

@@ -32,20 +32,35 @@ def segment_tasks(steps: DataFrame, key: Column, order: list, bucket: Column, fi
     return runs(steps, file or [], order, bucket, key, name)
 
 
+STEPS_PER_BLOCK = 256
+
+
 def step_history(steps: DataFrame, key: str, order: str, action: str = "action", conclusion: str = "conclusion",
-                 keep_blanks: bool = False) -> DataFrame:
+                 keep_blanks: bool = False, block: Column | None = None) -> DataFrame:
     """``history_action`` and ``history_info``: everything before the step, one entry per line.
 
-    Each starts with a line break. Blank entries are skipped, or kept as blanks with ``keep_blanks``.
+    Each starts with a line break. Blank entries are skipped, or kept as blanks with ``keep_blanks``. A trajectory is
+    cut into blocks of steps (``block`` must never decrease along ``order``; ``STEPS_PER_BLOCK`` by default): the text of
+    a block is put together once, the texts of all blocks before it are its prefix, and a step adds the tail of its own
+    block. So no task sorts a whole trajectory; what remains long is the history text itself. A null key is a
+    trajectory like others.
     """
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-    def lines(c: str) -> Column:
-        entry = F.col(c) if keep_blanks else F.when(F.col(c) != "", F.col(c))
-        past = F.collect_list(F.concat(entry, F.lit("\n"))).over(before)
-        return F.concat(F.lit("\n"), F.array_join(past, ""))
-
-    return steps.withColumns({"history_action": lines(action), "history_info": lines(conclusion)})
+    columns, names = steps.columns, {"history_action": action, "history_info": conclusion}
+    cut = block if block is not None else F.floor(F.col(order) / STEPS_PER_BLOCK)
+
+    def entry(c: str) -> Column:
+        line = F.concat(F.col(c), F.lit("\n"))
+        return line if keep_blanks else F.when(F.col(c) != "", line)
+
+    marked = steps.withColumn("__part", F.struct(F.col(key).alias("k"), cut.alias("b"))).withColumns({f"__{n}": entry(c) for n, c in names.items()})
+    before = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = marked.withColumns({f"__{n}": F.array_join(F.collect_list(f"__{n}").over(before), "") for n in names})
+    blocks = marked.groupBy("__part").agg(*[
+        F.array_join(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(f"__{n}").alias("t")))).getField("t"), "").alias(f"__all_{n}") for n in names])
+    earlier = Window.partitionBy("__part.k").orderBy("__part.b").rowsBetween(Window.unboundedPreceding, -1)
+    prefixes = blocks.select("__part", *[F.array_join(F.collect_list(f"__all_{n}").over(earlier), "").alias(f"__before_{n}") for n in names])
+    return rows.join(prefixes, "__part").select(
+        *[f"`{c}`" for c in columns], *[F.concat(F.lit("\n"), f"__before_{n}", f"__{n}").alias(n) for n in names])
 
 
 def nested_history(steps: Column, field: str, keep_blanks: bool = False) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import observation as O
 from ..functions import pages as P
+from ..functions.sql import register_sql_functions
 from ..functions.text import words
 from ..operators import trees as T
 from . import fixtures as X
@@ -71,6 +72,15 @@ def dom_nodes(spark, d):
     return rows
 
 
+@query("lateral_nodes", _NODES[:_NODES.rindex("paths AS (")].rstrip().rstrip(",") + """
+SELECT page_id, node_id, parent_id, tag, text, CAST(nth AS INTEGER) AS nth, CAST(same AS INTEGER) AS same FROM nodes""")
+def lateral_nodes(spark, d):
+    register_sql_functions(spark)
+    X.texts(spark, d, "pages", "page_id", "html").createOrReplaceTempView("raw_pages")
+    return spark.sql("""SELECT page_id, n.node_id, n.parent_id, n.tag, web_strip(coalesce(n.text, '')) AS text, n.nth, n.same
+        FROM raw_pages, LATERAL web_nodes(web_clean_html(html)) AS n""")
+
+
 @query("simplified_dom")
 def simplified_dom(spark, d):
     pages = _pages(spark, d)

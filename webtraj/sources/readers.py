@@ -5,29 +5,37 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_blank
+from ..functions.text import WHITESPACE, is_blank
 from ..functions.variants import listed_question
-from ..operators.ordered import ranked
+from ..operators.ordered import running
 
 
-def file_lines(spark: SparkSession, path) -> DataFrame:
+def file_lines(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
     """Lines of text files with their file and a position that rises within it.
 
-    Row ids rise only within one split, so the start of the split leads the position.
+    Row ids rise only within one split, so the start of the split leads the position. Another ``separator`` cuts the
+    texts elsewhere; either way one file may be read in any number of splits.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path, **({"lineSep": separator} if separator else {}))
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.struct(
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"))
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """1-based line number within each file; a big file is counted split by split."""
-    at = ranked(lines, ["file"], ["pos"], F.col("pos.block"), "line_no")
-    return at.withColumn("line_no", F.col("line_no") + 1)
+def with_line_numbers(lines: DataFrame, of: DataFrame) -> DataFrame:
+    """1-based line number, within its file, of some of the lines ``of`` a scan.
+
+    Row ids count on inside a split, so a line's place there is its distance from the split's first id. The lines
+    before a split come from a table of one row per split; the lines themselves are neither sorted nor numbered.
+    """
+    splits = of.groupBy("file", F.col("pos.block").alias("block")).agg(F.count(F.lit(1)).alias("__n"), F.min("pos.row").alias("__first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    index = splits.select(F.col("file").alias("__file"), F.col("block").alias("__block"), "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    found = lines.join(index, (F.col("file") == F.col("__file")) & (F.col("pos.block") == F.col("__block")))
+    return found.withColumn("line_no", F.col("__before") + F.col("pos.row") - F.col("__first") + 1).drop("__file", "__block", "__first", "__before")
 
 
 def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = None):
@@ -36,16 +44,15 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = No
     Records are typed by ``schema``, or held as one VARIANT column ``record`` when none is given. Only
     the rejects pay for line numbers.
     """
-    lines = file_lines(spark, path).filter(~is_blank(F.col("value")))
-    parsed = lines.withColumn("record", F.try_parse_json("value"))
-    good = parsed.filter(F.col("record").isNotNull())
+    every = file_lines(spark, path)
+    lines = every.filter(~is_blank(F.col("value")))
+    good = lines.withColumn("record", F.try_parse_json("value")).filter(F.col("record").isNotNull())
     if schema is None:
         records = good.select("file", "pos", "record")
     else:
         records = good.select("file", "pos", F.from_json("value", schema).alias("r")).select("file", "pos", "r.*")
-    numbered = with_line_numbers(file_lines(spark, path)).filter(~is_blank(F.col("value")))
-    rejects = numbered.filter(F.try_parse_json("value").isNull()).select("file", "line_no", "value")
-    return records, rejects
+    bad = lines.filter(F.try_parse_json("value").isNull())
+    return records, with_line_numbers(bad, every).select("file", "line_no", "value")
 
 
 def read_jsonl_strict(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
@@ -70,12 +77,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def json_elements(spark: SparkSession, path) -> DataFrame:
+    """(file, element): the texts of the elements of JSON arrays, one array per file, however long a file is.
+
+    The files are cut at every comma, so that splits are read apart and no row is long. Running sums over the pieces
+    tell which commas stand between elements: outside texts (an even number of quotes before) and directly inside the
+    array (one bracket open). The pieces of an element are put together again. A file that holds no array is an error;
+    an empty one has no elements.
+    """
+    pieces = file_lines(spark, path, ",")
+    bare = pieces.withColumn("__bare", F.regexp_replace("value", r"(?s)\\.", ""))  # without escaped characters, so without escaped quotes
+    quotes = F.length(F.regexp_replace("__bare", '[^"]', "")).cast("bigint")
+    order, block = ["pos"], F.col("pos.block")
+    quoted = running(bare, ["file"], order, block, {"__quotes": quotes})
+    # what lies outside texts: a piece that starts inside one gets its quote back, and a text that goes on ends here
+    opened = F.concat(F.when(F.col("__quotes") % 2 == 1, F.lit('"')).otherwise(F.lit("")), "__bare")
+    outside = F.regexp_replace(opened, r'"[^"]*("|$)', "")
+    signs = lambda chars: F.length(F.regexp_replace("__out", f"[^{chars}]", "")).cast("bigint")
+    ends_quoted = (F.col("__quotes") + quotes) % 2 == 1
+    deep = running(quoted.withColumn("__out", outside).withColumn("__open", ends_quoted), ["file"], order, block, {
+        "__depth": signs(r"\[{") - signs(r"\]}")}, inclusive=True)
+    between = ~F.col("__open") & (F.col("__depth") == 1)
+    numbered = running(deep, ["file"], order, block, {"__element": between.cast("bigint")})
+    whole = numbered.groupBy("file", "__element").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("pos", "value"))).getField("value"), ",").alias("t"),
+        F.max(F.col("__depth") == 0).alias("last"))
+    text = F.trim(F.col("t"), F.lit(WHITESPACE))
+    first = F.col("__element") == 0
+    fits = (~first | text.startswith("[")) & (~F.col("last") | text.endswith("]"))
+    checked = F.when(fits, text).otherwise(F.raise_error(F.concat(F.lit("no JSON array: "), "file")))
+    inner = F.regexp_replace(F.when(F.col("last"), F.regexp_replace(checked, r"\]\z", "")).otherwise(checked), r"\A\[", "")
+    element = F.trim(F.when(first, inner).when(F.col("last"), F.regexp_replace(checked, r"\]\z", "")).otherwise(checked), F.lit(WHITESPACE))
+    return whole.select("file", element.alias("element")).filter(F.col("element") != "")
+
+
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
-    """Trimmed questions of a JSON array of texts or objects; a missing file is an empty list."""
+    """Trimmed questions of a JSON array of texts or objects; a missing file is an empty list.
+
+    The array may be of any length: its elements are read apart, and only an element has to fit into a value.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], "question string")
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    return exclusions_of(whole)
+    elements = json_elements(spark, path).select(listed_question(F.parse_json("element")).alias("question"))
+    return elements.filter(F.col("question").isNotNull()).distinct()
 
 
 def exclusions_of(lists: DataFrame, column: str = "v") -> DataFrame:
