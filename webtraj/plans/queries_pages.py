@@ -11,7 +11,7 @@ from ..functions.sql import register_sql_functions
 from ..functions.text import words
 from ..operators import trees as T
 from . import fixtures as X
-from .oracle_tables import STEPS, WS
+from .oracle_tables import WS
 from .registry import query
 
 _CLEAN = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<style.*?>.*?</style>', '', 'g'), '(?s)<script.*?>.*?</script>', '', 'g'), '\\s+', ' ', 'g'), {WS})"
@@ -78,7 +78,7 @@ def lateral_nodes(spark, d):
     register_sql_functions(spark)
     X.texts(spark, d, "pages", "page_id", "html").createOrReplaceTempView("raw_pages")
     return spark.sql("""SELECT page_id, n.node_id, n.parent_id, n.tag, web_strip(coalesce(n.text, '')) AS text, n.nth, n.same
-        FROM raw_pages, LATERAL web_nodes(web_clean_html(html)) AS n""")
+        FROM (SELECT page_id, web_clean_html(html) AS html FROM raw_pages), LATERAL web_nodes(html) AS n""")
 
 
 @query("simplified_dom")
@@ -147,62 +147,97 @@ def sibling_ordinals(spark, d):
     return T.sibling_ordinals(X.paragraphs(spark, d).drop("name"), ["page_id", "parent_id"], "role", "pos").select("page_id", "pos", "nth")
 
 
-def _trees(spark, d):
-    """An accessibility tree per step: root, a nameless group of two, a text, a list item."""
-    k = F.col("k")
-    node = "struct<id:string,child_ids:array<string>,role:string,name:string,properties:array<struct<name:string,value:string>>,bound:array<double>,backend_id:string,node_id:int,parent_id:int>"
-    none = F.array().cast("array<struct<name:string,value:string>>")
-    prop = lambda n, v: F.array(F.struct(F.lit(n).alias("name"), v.cast("string").alias("value")))
-    box = lambda *v: F.array(*[x.cast("double") if not isinstance(x, (int, float)) else F.lit(float(x)) for x in v])
-
-    def n(ident, kids, role, name, props, bound):
-        return F.struct(F.lit(ident), F.array(*[F.lit(x) for x in kids]).cast("array<string>"), F.lit(role), name, props, bound, F.lit("b" + ident), F.lit(0), F.lit(0)).cast(node)
+def _roles(tag, case):
+    """Role of an element by its tag; ``case`` builds the expression of either engine."""
+    return case(tag, [("html", "RootWebArea"), ("a", "link"), ("p", "StaticText"), ("title", "StaticText"), ("li", "listitem"),
+                      ("h1", "heading"), ("h2", "heading"), ("h3", "heading"), ("td", "StaticText")], "generic")
 
-    nodes = F.array(
-        n("1", ["2", "5", "6"], "RootWebArea", F.concat(F.lit("Page "), k), prop("focused", F.lit("True")), box(0, 0, 10, 10)),
-        n("2", ["3", "4"], "generic", F.lit(""), none, box(0, 0, 50, 50)),
-        n("3", [], "link", F.concat(F.lit("it's "), k), prop("level", k), box(k, 0, 10, 1)),
-        n("4", [], "button", F.lit("go"), prop("pressed", k), box(0, k * 3, 10, 10)),
-        n("5", [], "StaticText", F.substring(F.lit("abcdefgh"), 1, k % 8), none, box(0, 0, 10, 10)),
-        n("6", [], "listitem", F.lit(""), prop("posinset", k), box(0, 0, 10, 10)))
-    return X.numbered_events(spark, d).select("event_id", "k", nodes.alias("nodes"))
 
+def _trees(spark, d):
+    """Pages as accessibility trees: every element a node, named by its text, with a property where it is a heading."""
+    none = F.array().cast("array<struct<name:string,value:string>>")
 
-_TREE = STEPS + r""",
-t AS (SELECT event_id, k, '[1] RootWebArea ''Page ' || k || ''' focused: True' AS l1, '[3] link "it''s ' || k || '"' AS l3, '[4] button ''go'' pressed: ' || k AS l4,
-  CASE WHEN k % 8 >= 5 THEN '[5] StaticText ''' || substr('abcdefgh', 1, k % 8) || '''' END AS l5 FROM steps)"""
+    def case(tag, pairs, other):
+        out = F
+        for name, role in pairs:
+            out = out.when(tag == name, F.lit(role))
+        return out.otherwise(F.lit(other))
+
+    def node(n):
+        level = F.array(F.struct(F.lit("pressed").alias("name"), F.substring(n["tag"], 2, 1).alias("value")))
+        y = (n["node_id"] * 7 % 40 * 10).cast("double")
+        return F.struct(
+            n["node_id"].cast("string").alias("id"), F.transform(F.filter("nodes", lambda m: m["parent_id"] == n["node_id"]), lambda m: m["node_id"].cast("string")).alias("child_ids"),
+            _roles(n["tag"], case).alias("role"), n["text"].alias("name"), F.when(n["tag"].rlike("^h[1-3]$"), level).otherwise(none).alias("properties"),
+            F.array(F.lit(0.0), y, F.lit(10.0), F.lit(10.0)).alias("bound"), F.concat(F.lit("b"), n["node_id"].cast("string")).alias("backend_id"),
+            F.lit(0).alias("node_id"), F.lit(0).alias("parent_id"))
+
+    pages = T.staged(_pages(spark, d), "nodes", F.col("nodes"))
+    return T.staged(pages, "nodes", F.transform("nodes", node))
+
+
+def _sql_case(tag, pairs, other):
+    return f"CASE {tag} " + " ".join(f"WHEN '{n}' THEN '{r}'" for n, r in pairs) + f" ELSE '{other}' END"
+
+
+_NODE_ROWS = _NODES[:_NODES.rindex("paths AS (")].rstrip().rstrip(",")
+
+# The same trees and what of them is shown, line by line; a node is indented by its shown ancestors that stay.
+_TREE = _NODE_ROWS + rf""",
+kids AS (SELECT page_id, parent_id, count(*) AS n FROM nodes GROUP BY ALL),
+acc AS (SELECT n.page_id, node_id, n.parent_id, {_roles("tag", _sql_case)} AS role, text AS name, regexp_matches(tag, '^h[1-3]$') AS leveled, substr(tag, 2, 1) AS level,
+    (node_id * 7) % 40 < 20 OR node_id = 0 AS visible, coalesce(k.n, 0) AS kids,
+    replace(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), chr(9), '\t'), chr(13), '\r') AS body FROM nodes n LEFT JOIN kids k ON k.page_id = n.page_id AND k.parent_id = n.node_id),
+lines AS (SELECT *, NOT (role = 'StaticText' AND length(name) < 5 AND kids = 0) AND NOT (trim(name, {WS}) = '' AND (
+      (NOT leveled AND role IN ('generic', 'listitem')) OR (leveled AND role = 'listitem'))) AS shown,
+    '[' || node_id || '] ' || role || ' ' || CASE WHEN contains(body, '''') AND NOT contains(body, '"') THEN '"' || body || '"' ELSE '''' || replace(body, '''', '\''') || '''' END
+      || CASE WHEN leveled THEN ' pressed: ' || level ELSE '' END AS line FROM acc),
+deep AS (
+  SELECT page_id, node_id, 0 AS own, 0 AS own_visible, CAST(shown AS INTEGER) AS next, CAST(shown AS INTEGER) AS next_visible FROM lines WHERE parent_id < 0
+  UNION ALL
+  SELECT l.page_id, l.node_id, d.next, d.next_visible, d.next + CAST(shown AS INTEGER), d.next_visible + CAST(shown AND visible AS INTEGER)
+  FROM deep d JOIN lines l ON l.page_id = d.page_id AND l.parent_id = d.node_id)"""
 
 
-@query("tree_texts", "WITH " + _TREE + r"""
-SELECT event_id, concat_ws(chr(10), l1, chr(9) || l3, chr(9) || l4, chr(9) || l5) AS text, CASE WHEN l5 IS NULL THEN 3 ELSE 4 END AS shown FROM t""")
+@query("tree_texts", _TREE + """
+SELECT l.page_id, md5(string_agg(repeat(chr(9), own) || line, chr(10) ORDER BY l.node_id) FILTER (shown)) AS text, CAST(count(*) FILTER (shown) AS INTEGER) AS shown
+FROM lines l JOIN deep d ON d.page_id = l.page_id AND d.node_id = l.node_id GROUP BY l.page_id""")
 def tree_texts(spark, d):
     ordered = T.in_preorder(_trees(spark, d))
-    return ordered.select("event_id", T.tree_text(F.col("nodes")).alias("text"), F.size(T.tree_elements(F.col("nodes"))).alias("shown"))
+    return ordered.select("page_id", F.md5(T.tree_text(F.col("nodes"))).alias("text"), F.size(T.tree_elements(F.col("nodes"))).alias("shown"))
 
 
-@query("viewport_trees", "WITH " + _TREE + r"""
-SELECT event_id, concat_ws(chr(10), l1, CASE WHEN greatest(least(k + 10, 60) - k, 0) * 1.0 / 10.0 * 1.0 >= 0.6 THEN chr(9) || l3 END,
-  CASE WHEN 10.0 * greatest(least(k * 3 + 10, 60) - k * 3, 0) / 10.0 * 10.0 >= 0.6 THEN chr(9) || l4 END, chr(9) || l5) AS text FROM t""")
+@query("viewport_trees", _TREE + """
+SELECT l.page_id, md5(string_agg(repeat(chr(9), own_visible) || line, chr(10) ORDER BY l.node_id) FILTER (shown AND visible)) AS text
+FROM lines l JOIN deep d ON d.page_id = l.page_id AND d.node_id = l.node_id GROUP BY l.page_id""")
 def viewport_trees(spark, d):
     ordered = T.in_preorder(_trees(spark, d))
-    return ordered.select("event_id", T.tree_text(T.prune_viewport(F.col("nodes"), 60.0, 60.0)).alias("text"))
+    return ordered.select("page_id", F.md5(T.tree_text(T.prune_viewport(F.col("nodes"), 200.0, 200.0))).alias("text"))
 
 
-@query("snapshot_texts", "WITH " + STEPS + r"""
-SELECT event_id, '[0] <HTML lang="en"> ' || chr(10) || CASE WHEN k % 3 = 0 THEN chr(9) || '[1] <DIV class="' || k || '"> ' || chr(10) || chr(9) ELSE '' END
-  || chr(9) || '[2] <P class="a b"> Item ' || k || ' x' || chr(10) || CASE WHEN k % 2 = 0 THEN chr(9) || '[3] <DIV> v' || k || chr(10) ELSE '' END AS text FROM steps""")
+@query("snapshot_texts", _NODE_ROWS + """,
+lines AS (SELECT page_id, node_id, parent_id, node_id % 3 = 0 OR text <> '' AS shown,
+    '[' || node_id || '] <' || upper(tag) || CASE WHEN node_id % 3 = 0 THEN ' class="' || tag || '"' ELSE '' END || '> ' || text || chr(10) AS line FROM nodes),
+deep AS (
+  SELECT page_id, node_id, 0 AS own, CAST(shown AS INTEGER) AS next FROM lines WHERE parent_id < 0
+  UNION ALL SELECT l.page_id, l.node_id, d.next, d.next + CAST(shown AS INTEGER) FROM deep d JOIN lines l ON l.page_id = d.page_id AND l.parent_id = d.node_id)
+SELECT l.page_id, md5(string_agg(repeat(chr(9), own) || line, '' ORDER BY l.node_id) FILTER (shown)) AS text
+FROM lines l JOIN deep d ON d.page_id = l.page_id AND d.node_id = l.node_id GROUP BY l.page_id""")
 def snapshot_texts(spark, d):
-    """Four shapes: the DIV between root and P shows and indents by every third k, a last DIV has text by every second."""
-    i = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<int>")
-    strings = F.array(F.lit("HTML"), F.lit("lang"), F.lit("en"), F.lit("P"), F.lit("class"), F.lit(" a vimium-x  b {opacity: 0;}"),
-                      F.concat(F.lit(" Item  "), "k", F.lit("\n x")), F.lit("DIV"), F.col("k").cast("string"), F.concat(F.lit("v"), "k"))
-    shown = F.when(F.col("k") % 3 == 0, i(4, 8)).otherwise(i())
-    last = F.when(F.col("k") % 2 == 0, F.lit(9)).otherwise(F.lit(-1))
-    snap = F.struct(strings.alias("strings"), i(0, 7, 3, 7).alias("node_name"), F.array(F.lit(-1), F.lit(-1), F.lit(6), last).alias("node_value"),
-                    F.array(i(1, 2), shown, i(4, 5), i()).alias("attributes"), i(7, 8, 9, 10).alias("backend_id"), i(-1, 0, 1, 0).alias("parent_index"),
-                    i(2).alias("layout_index"), F.array(F.array(*[F.lit(1.0)] * 4)).alias("bounds"))
-    pages = X.numbered_events(spark, d).select("event_id", T.decode_snapshot(snap).alias("nodes"))
-    return T.in_preorder(pages).select("event_id", T.snapshot_text(F.col("nodes")).alias("text"))
+    """Pages as snapshots: names, values and attributes are places in one string table; every third node has a class."""
+    i = lambda *v: F.array(*v).cast("array<int>")
+    each = lambda f: F.transform("nodes", f)
+    strings = F.concat(F.array(F.lit("class")), F.flatten(each(lambda n: F.array(F.upper(n["tag"]), n["text"], n["tag"]))))
+    at = lambda n, k: n["node_id"] * 3 + (k + 1)
+    snap = F.struct(
+        strings.alias("strings"), each(lambda n: at(n, 0).cast("int")).alias("node_name"),
+        each(lambda n: F.when(n["text"] != "", at(n, 1)).otherwise(F.lit(-1)).cast("int")).alias("node_value"),
+        each(lambda n: F.when(n["node_id"] % 3 == 0, i(F.lit(0), at(n, 2))).otherwise(i())).alias("attributes"),
+        each(lambda n: n["node_id"] + 7).alias("backend_id"), each(lambda n: n["parent_id"]).alias("parent_index"),
+        each(lambda n: n["node_id"]).alias("layout_index"), each(lambda n: F.array(*[F.lit(1.0)] * 4)).alias("bounds"))
+    pages = T.staged(T.staged(_pages(spark, d), "nodes", F.col("nodes")), "snap", snap)
+    decoded = pages.select("page_id", T.decode_snapshot(F.col("snap")).alias("nodes"))
+    return T.in_preorder(decoded).select("page_id", F.md5(T.snapshot_text(F.col("nodes"))).alias("text"))
 
 
 @query("kept_attributes", r"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'href=' || trim(url) ELSE 'href=' || trim(url) || ';role=button' END AS attrs FROM pages""")
@@ -247,11 +282,13 @@ def ordered_labels(spark, d):
     return X.table(spark, d, "customer").select("c_custkey", G.ordered_label(F.col("c_custkey") - 1).alias("label"))
 
 
-@query("page_boxes", """SELECT page_id, CAST(page_id % 50 AS DOUBLE) AS x, 'L' AS label FROM pages""")
+@query("page_boxes", _NODE_ROWS + """
+SELECT page_id, node_id, CAST(node_id % 50 AS DOUBLE) AS x, tag AS label FROM nodes""")
 def page_boxes(spark, d):
-    node = F.struct(F.lit(0).alias("node_id"), F.create_map(F.lit("label"), F.lit("L"), F.lit("rect"), F.concat(F.col("page_id") % 50, F.lit(",1,2,3"))).alias("attrs"))
-    pages = X.table(spark, d, "pages").select("page_id", F.array(node).alias("nodes"))
-    return T.boxes(pages).select("page_id", "rect.x", "label")
+    """Every element of a page with its tag as label and a box that follows its number."""
+    attrs = lambda n: F.create_map(F.lit("label"), n["tag"], F.lit("rect"), F.concat((n["node_id"] % 50).cast("string"), F.lit(",1,2,3")))
+    pages = _pages(spark, d).withColumn("nodes", F.transform("nodes", lambda n: n.withField("attrs", attrs(n))))
+    return T.boxes(pages).select("page_id", "node_id", "rect.x", "label")
 
 
 @query("node_words", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n FROM documents")
