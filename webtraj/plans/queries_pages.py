@@ -53,7 +53,7 @@ walk AS (
           WHEN w.open[-1] = 'p' AND t.tag IN ('p','div','ul','ol','table','article','section','nav','header','footer','h1','h2','h3','h4','h5','h6','pre','form') THEN 1
           WHEN w.open[-1] = 'li' AND t.tag = 'li' THEN 1 ELSE 0 END AS gone
       FROM walk w JOIN toks t ON t.page_id = w.page_id AND t.i = w.i + 1))),
-nodes AS (SELECT page_id, node_id, parent_id, tag, trim(replace(replace(replace(replace(replace(replace(txt, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), {WS}) AS text,
+nodes AS (SELECT page_id, node_id, parent_id, tag, trim(regexp_replace(replace(replace(replace(replace(replace(txt, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), {WS}) AS text,
     row_number() OVER (PARTITION BY page_id, parent_id, tag ORDER BY node_id) AS nth, count(*) OVER (PARTITION BY page_id, parent_id, tag) AS same
   FROM walk WHERE node_id >= 0),
 paths AS (
