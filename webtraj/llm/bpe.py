@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from .shared import TOKENIZERS, bound_batches, ship, vocabulary, worker_state
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
-WORD_CACHE = 200_000  # words a worker remembers; the table is emptied when it is full
-PAIR_CACHE = 500_000
+REMEMBERED = 80 << 20  # bytes of words and their ids that a worker remembers; the tables are emptied when they are full
+ENTRY = 220  # bytes of an entry besides word and ids
+PAIR_CACHE = 250_000  # verdicts on pairs, about 100 bytes each
 # Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -107,6 +108,18 @@ class Codec:
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.remembered = 0
+
+    def remember(self, store: dict[str, bytes], piece: str, code: bytes) -> None:
+        """Keep the ids of a word that isn't long, within ``REMEMBERED`` bytes for all tables together."""
+        if len(piece) > 256:
+            return
+        self.remembered += ENTRY + len(piece) + len(code)
+        if self.remembered > REMEMBERED:
+            for old in (self.words, self.first, self.inner):
+                old.clear()
+            self.remembered = 0
+        store[piece] = code
 
     def stands(self, a: int, b: int, limit: int = 1 << 30) -> bool:
         """Whether the seam between two tokens outlives all merges of a rank below ``limit``."""
@@ -171,10 +184,7 @@ class Codec:
                     pos -= length[token]
                     break
         code = b"".join(map(self.code.__getitem__, out))
-        if len(piece) <= 256:
-            if len(self.words) >= WORD_CACHE:
-                self.words.clear()
-            self.words[piece] = code
+        self.remember(self.words, piece, code)
         return code
 
     def pieces(self, text: str) -> bytes:
@@ -186,11 +196,7 @@ class Codec:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         code = self.pieces(" " + piece if inner else piece)
-        store = self.inner if inner else self.first
-        if len(piece) <= 256:
-            if len(store) >= WORD_CACHE:
-                store.clear()
-            store[piece] = code
+        self.remember(self.inner if inner else self.first, piece, code)
         return code
 
     def plain(self, text: str) -> bytes:
@@ -271,4 +277,24 @@ def bpe_decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str
     return df.withColumn(out, F.arrow_udf(run, T.StringType())(F.col(f"`{ids}`")))
 
 
+def bpe_round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str = VOCABULARY) -> DataFrame:
+    """Both of the above in one pass of one Python worker: the ids of ``text``, and the text decoded from them.
+
+    The decoder sees nothing but the ids. A null or empty text has no ids and decodes to an empty text.
+    """
+    bound_batches(df.sparkSession)
+    vocab = vocabulary(df.sparkSession, path)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec, decoder = _state(vocab, Codec), _state(vocab, Decoder)
+        for texts in batches:
+            codes = encode_texts(texts, codec)
+            yield pa.StructArray.from_arrays([codes, decode_ids(codes, decoder)], names=["ids", "decoded"])
+
+    both = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    # generated, as a plain projection of both fields would run the function for each of them
+    staged = df.select("*", F.arrow_udf(run, both)(F.col(f"`{text}`")).alias("__both"))
+    return staged.withColumns({ids: F.col("__both.ids"), decoded: F.col("__both.decoded")}).drop("__both")
+
+
 ship(__name__)

@@ -38,16 +38,26 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+STATES = 3  # what a Python worker keeps of earlier tasks: one state of a kind, so many kinds
+
+
 def worker_state(key, make):
-    """``make()`` once per Python worker and key: functions shipped by value have no lasting globals."""
-    store = sys.modules.setdefault("_webtraj_worker_state", types.ModuleType("_webtraj_worker_state"))
-    found = store.__dict__.get(key)
-    if found is None:
-        if len(store.__dict__) > 64:
-            for old in [k for k in store.__dict__ if isinstance(k, str) and k.startswith("state:")][:32]:
-                del store.__dict__[old]
-        found = store.__dict__[key] = make()
-    return found
+    """``make()`` once per Python worker and key: functions shipped by value have no lasting globals.
+
+    A key reads ``state:kind:...``. Workers outlive jobs, so a new state of a kind replaces the old one, and the kind
+    that was asked for longest ago goes when there are more than ``STATES``.
+    """
+    store = sys.modules.setdefault("_webtraj_worker_state", types.ModuleType("_webtraj_worker_state")).__dict__
+    kept = store.setdefault("states", {})
+    kind = key.split(":")[1]
+    known, state = kept.pop(kind, (None, None))
+    if known != key:
+        state = None  # the old one goes before the new one is made
+        while len(kept) >= STATES:
+            del kept[next(iter(kept))]
+        state = make()
+    kept[kind] = (key, state)
+    return state
 
 
 ship(__name__)
