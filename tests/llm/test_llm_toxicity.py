@@ -82,3 +82,46 @@ def test_hard_rows_and_empty_tables(spark):
     nulls = spark.createDataFrame([(None, 1), (0, None), (3, 1)], "doc_id long, toxic int")
     assert toxicity.fit(df, nulls).weights == {}
     assert toxicity.score_toxicity(df.limit(0), lexicon).count() == 0
+
+
+def plain_evidence(lexicon, text):
+    """Weights of hits, kinds of hits and words, by a scan over the words of the folded text."""
+    import re
+    folded = Folder().fold(text or "")
+    words = list(re.finditer(r"[^\W_]+", folded))
+    total, kinds = 0.0, set()
+    for k, w in enumerate(words):
+        best = 0.0
+        for term, weight in lexicon.weights.items():
+            if w.group() == term[:-1] if term.endswith("$") else folded.startswith(term, w.start()):
+                best = max(best, weight)
+        around = {f"{words[k - 1].group()} {w.group()}" if k else None, f"{w.group()} {words[k + 1].group()}" if k + 1 < len(words) else None}
+        if best > 0 and not around & set(lexicon.phrases):
+            total += best
+            kinds.add(w.group())
+    return total, len(kinds), len(words)
+
+
+def test_evidence_equals_a_plain_count(spark):
+    import math
+    rows = corpus(400, 3)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    matcher = lexicon.matcher()
+    gaps = " " * 60
+    texts = [t for _, t, _ in rows] + [f"harmless{gaps}grumblor", f"harmless,\n{gaps}grumblor nastyword", "N4STYWORD-vilespeak", "", "   ", None]
+    for t in texts:
+        total, kinds, words = plain_evidence(lexicon, t)
+        want = (math.log1p(total), math.log1p(100 * total / max(words, 20)), math.log1p(kinds), words)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(matcher.evidence(t), want)), t
+    assert any(plain_evidence(lexicon, t)[0] for t in texts)
+
+
+def test_padding_changes_no_score(spark):
+    rows = corpus(400, 4)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    matcher = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).matcher()
+    for _, t, _ in rows[:50]:
+        padded = "\n" * 5000 + t.replace(" ", "  \t") + " \n . " * 3000
+        assert matcher.evidence(padded) == matcher.evidence(t)
+    assert matcher.evidence("a  b\tc   d")[3] == 4

@@ -25,8 +25,7 @@ from webtraj.session import cut_lineage
 from .shared import bound_batches, ship, worker_state
 
 MAX_TRAIN = 20_000  # labelled documents that the lexicon and the curve are fitted on, chosen by a hash of doc_id
-MAX_TERMS = 1_000
-MAX_PHRASES = 5_000
+LEXICON_BYTES = 64 << 20  # a lexicon larger than this isn't sent to the workers: an error
 COUNT_CAP = 5  # occurrences of a term in one document that count as evidence while learning
 THRESHOLD = 0.7
 SUPPORT = 25.0  # least likelihood ratio of a term
@@ -86,7 +85,7 @@ class Matcher:
         self.some = len(self.automaton) > 0
         if self.some:
             self.automaton.make_automaton()
-        self.before = re.compile(r"([^\W_]+)[\W_]+$")
+        self.word = re.compile(r"[^\W_]+")
         self.after = re.compile(r"[\W_]+([^\W_]+)")
         self.rest = re.compile(r"[^\W_]*")
 
@@ -111,14 +110,22 @@ class Matcher:
     def phrases_at(self, text: str, start: int) -> list[str]:
         """The word at ``start`` with its neighbour on either side."""
         word = self.rest.match(text, start).group()
-        left = self.before.search(text, max(0, start - 40), start)
+        end = start
+        while end and not text[end - 1].isalnum():
+            end -= 1
+        low = end
+        while low and text[low - 1].isalnum():
+            low -= 1
         right = self.after.match(text, start + len(word))
-        return ([f"{left.group(1)} {word}"] if left else []) + ([f"{word} {right.group(1)}"] if right else [])
+        return ([f"{text[low:end]} {word}"] if end else []) + ([f"{word} {right.group(1)}"] if right else [])
 
     def evidence(self, text: str | None) -> tuple[float, float, float, int]:
-        """Total weight (logarithmic), weight per hundred words (logarithmic), kinds of hits (logarithmic), words."""
+        """Total weight (logarithmic), weight per hundred words (logarithmic), kinds of hits (logarithmic), words.
+
+        Words are runs of letters and digits, so blanks, line breaks and signs around them change nothing.
+        """
         text = self.folder.fold(text or "")
-        words = text.count(" ") + text.count("\n") + 1 if text else 0
+        words = len(self.word.findall(text))
         total, kinds = 0.0, set()
         for start, weight in self.hits(text).items():
             if self.phrases and not self.phrases.isdisjoint(self.phrases_at(text, start)):
@@ -190,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     part = lambda n, whole: F.when(n > 0, n * F.log(n * (bad + good) / ((F.col("d1") + F.col("d0")) * whole))).otherwise(0.0)
     scored = totals.where(F.col("d1") >= max(4, bad // 400)).withColumn("weight", weight).withColumn(
         "support", 2 * (part(F.col("d1"), bad) + part(F.col("d0"), good)))  # likelihood ratio of the document counts
-    top = scored.where(F.col("weight") >= 1).where(F.col("support") >= SUPPORT).orderBy(F.desc("support"), "term").limit(MAX_TERMS).collect()
-    weights = {r["term"]: round(r["weight"], 6) for r in top}
+    top = scored.where(F.col("weight") >= 1).where(F.col("support") >= SUPPORT).select("term", "weight")
+    weights = {r["term"]: round(r["weight"], 6) for r in _collected(top, "term")}
     draft = Lexicon(weights)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +213,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.int32())], names=["phrase", "toxic"])
 
     harmless = (rows.select("text", "toxic").mapInArrow(phrases, "phrase string, toxic int").groupBy("phrase")
-                .agg(F.sum("toxic").alias("d1"), F.count(F.lit(1)).alias("n")).where("d1 = 0 and n >= 5")
-                .orderBy(F.desc("n"), "phrase").limit(MAX_PHRASES).collect())
-    lexicon = Lexicon(weights, {*exceptions, *[r["phrase"] for r in harmless]})
+                .agg(F.sum("toxic").alias("d1"), F.count(F.lit(1)).alias("n")).where("d1 = 0 and n >= 5").select("phrase"))
+    lexicon = Lexicon(weights, {*exceptions, *[r["phrase"] for r in _collected(harmless, "phrase")]})
     seen = add_evidence(rows, lexicon, "text").select("e.total", "e.density", "e.kinds", "toxic").collect()
     data = np.array([[1.0, r[0], r[1], r[2], r[3] > 0] for r in seen])
     return Lexicon(weights, lexicon.phrases, _logistic(data[:, :4], data[:, 4]))
 
 
+def _collected(entries: DataFrame, text: str) -> list:
+    """All rows, in order of ``text``; an error where they take more than ``LEXICON_BYTES``."""
+    entries = cut_lineage(entries, "lexicon")
+    size = entries.agg(F.sum(F.octet_length(text) + 100).alias("n")).first()["n"] or 0
+    if size > LEXICON_BYTES:
+        raise ValueError(f"a lexicon of {size} bytes is larger than {LEXICON_BYTES}")
+    return sorted(entries.collect(), key=lambda r: r[text])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     w = np.zeros(x.shape[1])
     for _ in range(30):
@@ -240,7 +255,7 @@ def score_toxicity(df: DataFrame, lexicon: Lexicon, text: str = "text", threshol
     """Add ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on) and ``n_words``; columns of those names are replaced.
 
     Nothing but the text enters the score. Null and empty texts have no evidence and get the score of a text without
-    hits. Row by row, no shuffle; the lexicon is at most ``MAX_TERMS`` terms and ``MAX_PHRASES`` phrases.
+    hits. Row by row, no shuffle; the lexicon takes at most ``LEXICON_BYTES``.
     """
     bound_batches(df.sparkSession)
     name = "__evidence"
