@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from webtraj.operators import diagnose as D
 from webtraj.operators import evaluate as E
 from webtraj.operators import tasks as K
 from webtraj.plans import jobs
+from webtraj.session import cut_lineage, release
 from webtraj.sources import readers as R
 from webtraj.sources import sinks as W
 
@@ -232,3 +234,16 @@ def test_long_exclusion_lists(spark, tmp_path):
     path.write_text('{"a": 1, "b": 2}')
     with pytest.raises(Exception, match="no JSON array"):
         R.read_exclusions(spark, str(path)).collect()
+
+
+def test_scratch_goes(spark):
+    a, b = cut_lineage(spark.range(3), "a"), cut_lineage(spark.range(4), "b")
+    assert os.path.isdir(a.scratch) and os.path.isdir(b.scratch)
+    release(a, spark.range(1))
+    assert not os.path.exists(a.scratch) and b.count() == 4
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    texts = [" a", "b \n", 'say "x", y\n ', "\t"]
+    W.write_csv(spark.createDataFrame([(t,) for t in texts], "t string"), str(tmp_path / "c"))
+    assert sorted(r["t"] for f in glob.glob(str(tmp_path / "c/part-*")) for r in csv.DictReader(open(f, newline=""))) == sorted(texts)

@@ -9,7 +9,7 @@ from ..functions import perrow
 from ..functions.arrays import upper_bound
 from ..functions.runlogs import is_metric_line, metric_text, metric_value, step_of
 from ..functions.text import is_numeric_text
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .ordered import ranked, running, sliding
 
 REWARD_KEY = "critic/rewards/mean"
@@ -115,9 +115,11 @@ def _later_moves(chains: DataFrame, kind: str) -> DataFrame:
     jumps = pointers.filter("NOT move").select("run", "idx", "to")
     while not jumps.isEmpty():
         more = reached.join(jumps, ["run", "idx"]).select("run", F.col("to").alias("idx"))
+        before = reached, jumps
         reached = cut_lineage(reached.unionByName(more).distinct(), "reached")
         ahead = jumps.select("run", F.col("idx").alias("to"), F.col("to").alias("far"))
         jumps = cut_lineage(jumps.join(ahead, ["run", "to"]).select("run", "idx", F.col("far").alias("to")), "jumps")
+        release(*before)
     entered = reached.join(entries.select("run", "idx", "block"), ["run", "idx"]).select("run", "block", F.col("idx").alias("entry"))
     inside = entries.join(entered, ["run", "block"]).filter("idx >= entry")
     return inside.groupBy("run", "block").applyInArrow(perrow.rises_from, f"run {kind}, idx long")

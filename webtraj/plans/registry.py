@@ -21,6 +21,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load():
-    from . import queries_actions, queries_curation, queries_diagnosis, queries_pages, queries_runs, queries_streams  # noqa: F401
+    from . import queries_actions, queries_curation, queries_diagnosis, queries_pages, queries_runs, queries_sources, queries_streams  # noqa: F401
 
     return QUERIES, ORACLE

@@ -51,8 +51,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/webtraj-{name}-{run}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut_lineage(df, name: str):
-    """Write ``df`` once to the shared folder and read it back, so several sinks share one computation."""
+    """Write ``df`` once to the shared folder and read it back, so several sinks share one computation.
+
+    The folder goes with the application, or when ``release`` is told that nothing reads it any more.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at, files = _file_system(df.sparkSession, path)
+    files.deleteOnExit(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*frames) -> None:
+    """Remove the folders of ``cut_lineage`` frames; only for frames that nothing unevaluated reads."""
+    for df in frames:
+        path = getattr(df, "scratch", None)
+        if path:
+            at, files = _file_system(df.sparkSession, path)
+            files.delete(at, True)

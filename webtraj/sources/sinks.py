@@ -27,8 +27,8 @@ def write_both(df: DataFrame, base: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; quotes are doubled, as the usual readers expect."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """CSV with a header; quotes are doubled, as the usual readers expect, and white space at the ends of a text stays."""
+    df.write.mode("overwrite").options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_json_array(df: DataFrame, column: str, order: str, path: str) -> None:
