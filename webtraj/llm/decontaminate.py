@@ -212,25 +212,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
 
     def leaks(index: ItemIndex) -> DataFrame:
-        sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
-
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            raw = sent.value
-            index = worker_state(f"state:items:{zlib.crc32(raw)}", lambda: cloudpickle.loads(raw))
-            for texts in batches:
-                found = []
-                for t in texts:
-                    words = words_of(t.as_py())
-                    best: dict[int, tuple] = {}
-                    for start, end, item, score in index.search(words, threshold):
-                        q, a = index.overlaps(item, words[start:end], n)
-                        if q >= overlap - 1e-9 and a >= overlap - 1e-9 and (item not in best or (q + a) > best[item][1] + best[item][2]):
-                            best[item] = (score, q, a, start, end)
-                    found.append([{"item": i, "score": s, "q": q, "a": a, "start": b, "end": e} for i, (s, q, a, b, e) in sorted(best.items())])
-                yield pa.array(found, pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("q", pa.float64()), ("a", pa.float64()),
-                                                          ("start", pa.int32()), ("end", pa.int32())])))
-
-        find = F.arrow_udf(run, "array<struct<item:int,score:double,q:double,a:double,start:int,end:int>>")
+        find = _finder(spark, index, threshold, overlap, n)
         names = spark.createDataFrame(list(enumerate(index.ids)), f"item int, item_id {kind}")
         hits = rows.select("doc_id", F.explode(find("text")).alias("x")).select("doc_id", "x.*")
         return hits.join(F.broadcast(names), "item").select(
@@ -239,10 +221,36 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return reduce(DataFrame.unionByName, map(leaks, _indexes(items, item_id, item_text)))
 
 
-def drop_leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Documents that hold no test item; rows of null id are judged by nothing and stay."""
-    leaked = find_leaks(docs, items, doc_id, text, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, docs[doc_id] == F.col("__leaked"), "left_anti")
+def _finder(spark, index: ItemIndex, threshold: float, overlap: float, n: int):
+    """The leaks of each text as a column function, one for each item."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        raw = sent.value
+        index = worker_state(f"state:items:{zlib.crc32(raw)}", lambda: cloudpickle.loads(raw))
+        for texts in batches:
+            found = []
+            for t in texts:
+                words = words_of(t.as_py() or "")
+                best: dict[int, tuple] = {}
+                for start, end, item, score in index.search(words, threshold):
+                    q, a = index.overlaps(item, words[start:end], n)
+                    if q >= overlap - 1e-9 and a >= overlap - 1e-9 and (item not in best or (q + a) > best[item][1] + best[item][2]):
+                        best[item] = (score, q, a, start, end)
+                found.append([{"item": i, "score": s, "q": q, "a": a, "start": b, "end": e} for i, (s, q, a, b, e) in sorted(best.items())])
+            yield pa.array(found, pa.list_(pa.struct([("item", pa.int32()), ("score", pa.float64()), ("q", pa.float64()), ("a", pa.float64()),
+                                                      ("start", pa.int32()), ("end", pa.int32())])))
+
+    return F.arrow_udf(run, "array<struct<item:int,score:double,q:double,a:double,start:int,end:int>>")
+
+
+def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                threshold: float = THRESHOLD, overlap: float = OVERLAP, n: int = NGRAM) -> DataFrame:
+    """Documents that hold no test item. Every row is judged by its own text, whatever its id; null texts hold none."""
+    bound_batches(docs.sparkSession)
+    for index in _indexes(items, item_id, item_text):
+        docs = docs.where(F.size(_finder(docs.sparkSession, index, threshold, overlap, n)(F.col(f"`{text}`"))) == 0)
+    return docs
 
 
 ship(__name__)

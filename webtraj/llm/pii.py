@@ -219,6 +219,7 @@ def redact(df: DataFrame, text: str = "text", model=None, mark: str = "[{}]") ->
 
 
 def all_spans(base: Column, added: Column) -> Column:
+    """Base spans and added ones printed by start, then rank of the kind; empty where a text has none, null for none given."""
     return printed(F.concat(base, added))
 
 

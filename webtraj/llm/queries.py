@@ -28,8 +28,8 @@ def query(name: str, sql: str | None = None):
 @query("op8_bpe_codec")
 def op8_bpe_codec(spark, sf_dir):
     """Ids and decoded text of every document, as digests."""
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
-    return bpe.bpe_decode(ids).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.bpe_round_trip(docs, path=public_tokenizers.path("byte_bpe_50k.json")).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -39,7 +39,7 @@ def op8_bpe_codec(spark, sf_dir):
 def op4_token_shards(spark, sf_dir):
     """Places and checksums of all documents' ids, read back from the wavelet files in the shared folder."""
     folder = scratch_path(spark, "tokens")
-    wavelet.write_tokens(table(spark, sf_dir, "documents"), folder)
+    wavelet.write_tokens(table(spark, sf_dir, "documents"), folder, path=public_tokenizers.path("word_bpe_49k.json"))
     return wavelet.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
