@@ -160,7 +160,7 @@ def test_stored_action_counts_for_loops(spark):
 def test_routing_is_a_bag(spark):
     samples = spark.createDataFrame([(1, "q"), (2, "q"), (3, "z")], "id int, objective string")
     results = spark.createDataFrame([("q", True), (" q ", True), ("q", False), ("w", True)], "question string, ok boolean")
-    routed = sorted((x.id, x.outcome) for x in C.route_samples(samples, results, F.col("ok")).collect())
+    routed = sorted((x.id, x.outcome) for x in C.route_samples(samples, results, F.col("ok"), repeat=True).collect())
     assert routed == sorted([(i, "success") for i in (1, 1, 2, 2)] + [(1, "fail"), (2, "fail")])
     assert {x.counter: x.n for x in C.split_counts(samples, results, F.col("ok")).collect()} == {
         "main_success": 4, "main_fail": 2, "result_success": 3, "result_fail": 1, "unmatched": 1}

@@ -45,12 +45,12 @@ def outcome_counts(results: DataFrame, success: Column, question: str = "questio
 
 
 def route_samples(samples: DataFrame, results: DataFrame, success: Column, question: str = "question",
-                  repeat: bool = True) -> DataFrame:
+                  repeat: bool = False) -> DataFrame:
     """Samples with the ``outcome`` of the results that share their objective.
 
     Bag semantics: a sample counts once per matching result. Results are counted per question before the
-    join, so a hot question never pairs every sample with every result; ``repeat=False`` keeps the
-    count as a ``copies`` column, which is the form for questions with many results.
+    join, so a hot question never pairs every sample with every result, and the count stays in a ``copies``
+    column; ``repeat`` writes the copies out as rows.
     """
     counts = outcome_counts(results, success, question)
     joined = samples.join(counts, "objective")

@@ -86,8 +86,13 @@ def with_dom_text(pages: DataFrame, name: str = "dom", style: str = "refine", pa
 
     Joining texts bottom-up needs Python; everything it decides on is computed natively before.
     """
+    return with_dom_texts(pages, {name: style}, parent_chain, nodes, **options)
+
+
+def with_dom_texts(pages: DataFrame, styles: dict[str, str], parent_chain: bool = False, nodes: str = "nodes", **options) -> DataFrame:
+    """The same for several styles, by column name, of one preparation."""
     ready = staged(pages, "__dom", dom_input(F.col(nodes), **options))
-    return ready.withColumn(name, dom_texts("__dom", F.lit(style), F.lit(parent_chain))).drop("__dom")
+    return ready.withColumns({name: dom_texts("__dom", F.lit(style), F.lit(parent_chain)) for name, style in styles.items()}).drop("__dom")
 
 
 def dom_input(nodes: Column, keep: Column | None = None, observed: Column | None = None,

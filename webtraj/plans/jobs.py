@@ -53,10 +53,10 @@ def diagnosis(trajectories: DataFrame, success: Column, dialect: str = "checker"
 
 
 def curation(samples: DataFrame, results: DataFrame, success: Column, modes: list[str] | None = None,
-             system_prompt: str | None = None, repeat: bool = True) -> DataFrame:
+             system_prompt: str | None = None, repeat: bool = False) -> DataFrame:
     """Samples of successful questions with their texts rewritten, ready to be grouped into tasks.
 
-    A sample comes once per successful result, or once with ``copies`` if not ``repeat``.
+    A sample comes once with the number of its successful results in ``copies``, or once per result with ``repeat``.
     """
     routed = curate.route_samples(curate.with_objective(samples), results, success, repeat=repeat)
     kept = routed.filter(F.col("outcome") == "success").drop("outcome")

@@ -335,3 +335,10 @@ def rendered_chats(spark, d):
 def few_shot_prompts(spark, d):
     examples = F.array(F.struct(F.lit("x1 ").alias("user"), F.lit(" y1").alias("reply")))
     return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", T.few_shot_prompt(F.lit("intro"), examples, F.col("text")).alias("prompt"))
+
+
+@query("few_shot_instructions", r"""SELECT doc_id, '<s>[INST] <<SYS>>\nintro\n<</SYS>>\n\nx1 [/INST] y1 </s><s>[INST] x2 [/INST] y2 </s><s>[INST] ' || trim(text, ' ' || chr(9) || chr(10) || chr(13))
+  || ' [/INST] so' AS prompt FROM documents""")
+def few_shot_instructions(spark, d):
+    examples = F.array(*[F.struct(F.lit(f"x{i} ").alias("user"), F.lit(f" y{i}").alias("reply")) for i in (1, 2)])
+    return X.texts(spark, d, "documents", "doc_id", "text").select("doc_id", T.few_shot_prompt(F.lit("intro"), examples, F.col("text"), "inst", "so").alias("prompt"))

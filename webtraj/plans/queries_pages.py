@@ -83,11 +83,9 @@ def lateral_nodes(spark, d):
 
 @query("simplified_dom")
 def simplified_dom(spark, d):
-    pages = _pages(spark, d)
-    for style in ("refine", "xml", "new_data"):
-        pages = T.with_dom_text(pages, style, style, observed=F.transform(
-            F.filter("nodes", lambda n: n["tag"] == "a"), lambda n: n["node_id"]), wanted=["href", "title"] if style == "xml" else None)
-    return pages.drop("nodes")
+    links = F.transform(F.filter("nodes", lambda n: n["tag"] == "a"), lambda n: n["node_id"])
+    pages = T.with_dom_texts(_pages(spark, d), {"refine": "refine", "new_data": "new_data"}, observed=links)
+    return T.with_dom_text(pages, "xml", "xml", observed=links, wanted=["href", "title"]).select("page_id", "refine", "xml", "new_data")
 
 
 def _near(seeds: str, depth: int, children: int, siblings: int) -> str:
@@ -282,6 +280,12 @@ def ordered_labels(spark, d):
     return X.table(spark, d, "customer").select("c_custkey", G.ordered_label(F.col("c_custkey") - 1).alias("label"))
 
 
+@query("hashed_labels", """WITH h AS (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer)
+SELECT c_custkey, chr((ascii(h[1]) * 31 + ascii(h[2])) % 26 + 65) || chr((ascii(h[3]) * 31 + ascii(h[4])) % 26 + 65) || chr((ascii(h[5]) * 31 + ascii(h[6])) % 26 + 65) AS label FROM h""")
+def hashed_labels(spark, d):
+    return X.table(spark, d, "customer").select("c_custkey", G.hashed_label(F.col("c_custkey")).alias("label"))
+
+
 @query("page_boxes", _NODE_ROWS + """
 SELECT page_id, node_id, CAST(node_id % 50 AS DOUBLE) AS x, tag AS label FROM nodes""")
 def page_boxes(spark, d):
