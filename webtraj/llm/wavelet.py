@@ -27,6 +27,8 @@ VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 SHARD_TOKENS = 1 << 22
 BLOCK = 512  # bits between two rank counts
 WORD_CACHE = 1_000_000  # words a worker remembers; the table is emptied when it is full
+RUN_CACHE = 300_000  # the same for runs between blanks
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # str.split() takes these for blanks, the vocabulary's pattern doesn't
 SHARD_SCHEMA = ("part int, seq int, before long, n_tokens long, doc_ids array<long>, ends array<int>, bits int, "
                 "zeros array<int>, planes binary, ranks binary")
 SHARD_ARROW = pa.schema([
@@ -128,7 +130,8 @@ class WordEncoder:
 
     The vocabulary lower-cases, drops white space and ends every word. Texts of Latin-1 characters are split by the
     file's own pattern, spelled out for that range; the library's model gives the ids of words not met before, many
-    in one call, and they are remembered. Any other text goes through the library as a whole.
+    in one call, and they are remembered, as are those of whole runs between blanks. Any other text goes through the
+    library as a whole.
     """
 
     def __init__(self, text: str):
@@ -146,6 +149,7 @@ class WordEncoder:
         letters, digits, blanks = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{blanks}{letters}{digits}]+").findall
         self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         mapped = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.escape) for w in new]
@@ -162,12 +166,35 @@ class WordEncoder:
         self.words.update(out)
         return out
 
-    def latin(self, text: str) -> bytes:
-        parts = self.split(text.lower())
+    def parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of words that the pattern has split."""
         codes = list(map(self.words.get, parts))
         if None in codes:
             fresh = self.learn(list({p for p, c in zip(parts, codes) if c is None}))
             codes = [fresh[p] if c is None else c for p, c in zip(parts, codes)]
+        return codes
+
+    def runs(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of runs between blanks that were not met before, all split and looked up in one go."""
+        pieces = [self.split(r) for r in new]
+        codes, at, out = self.parts([p for ps in pieces for p in ps]), 0, {}
+        for r, ps in zip(new, pieces):
+            out[r] = b"".join(codes[at:at + len(ps)])
+            at += len(ps)
+        if len(self.known) + len(out) > RUN_CACHE:
+            self.known.clear()
+        self.known.update((r, c) for r, c in out.items() if len(r) <= 64)
+        return out
+
+    def latin(self, text: str) -> bytes:
+        """No word of the pattern crosses a blank, so the runs between blanks are split alone and remembered."""
+        if any(c in text for c in SEPARATORS):
+            return b"".join(self.parts(self.split(text.lower())))
+        runs = text.lower().split()
+        codes = list(map(self.known.get, runs))
+        if None in codes:
+            fresh = self.runs(list({r for r, c in zip(runs, codes) if c is None}))
+            codes = [fresh[r] if c is None else c for r, c in zip(runs, codes)]
         return b"".join(codes)
 
     def encode(self, text: str) -> bytes:
