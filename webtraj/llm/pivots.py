@@ -245,7 +245,9 @@ def _pair_blocks(classes: DataFrame, listed: dict[int, int], least: dict[int, in
             "key": pa.array([*keys[vertex], *keys[vertex[edge]]], pa.string()), "links": pa.array(np.concatenate([links, np.zeros(len(edge), dtype=np.int64)])),
             "other": pa.array([*[None] * len(vertex), *keys[vertex[head[edge]]]], pa.string())})
 
-    return dealt.groupBy("label", "size", "place", "low", "high").applyInArrow(run, "key string, links bigint, other string")
+    # dealt anew: grouped as the join leaves them, all blocks of a long list would meet in one task
+    pair = ["label", "size", "place", "low", "high"]
+    return dealt.repartition(*pair).groupBy(*pair).applyInArrow(run, "key string, links bigint, other string")
 
 
 def near_vectors(df: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
