@@ -207,7 +207,7 @@ def _pair_blocks(classes: DataFrame, listed: dict[int, int], least: dict[int, in
     ranked = classes.withColumn("__order", table).withColumn("ranks", F.array_sort(F.transform("nearest", lambda p: F.get(F.col("__order"), p.cast("int"))))).drop("__order", "nearest")
     in_lists = ranked.withColumn("place", F.explode(F.slice("ranks", F.lit(1), postings)))
     lists = in_lists.groupBy("label", "size", "place").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").withColumn(
-        "blocks", F.ceil(F.col("__n") / F.least(F.greatest(F.col("__n") / 64, F.lit(BLOCK)), F.lit(MOST_BLOCK))).cast("int")).drop("__n")
+        "blocks", F.ceil(F.col("__n") / F.least(F.greatest(F.col("__n") / 64, F.lit(BLOCK)), F.lit(MOST_BLOCK))).cast("int")).drop("__n").hint("rebalance")  # in no order, so that the join may split a long list
     own = F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")
     dealt = in_lists.join(lists, ["label", "size", "place"]).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
@@ -298,7 +298,7 @@ def near_vectors(df: DataFrame, ident: str = "vec_id", vector: str = "embedding"
     heads = components(found.where("other is not null").select(F.col("key").alias("u"), F.col("other").alias("v")), "linked")
     known = classes.select("key", "n", "id").join(links, "key", "left").join(heads.withColumnRenamed("id", "key"), "key", "left").withColumn(
         "head", F.coalesce("head", "key"))
-    least_ids = known.groupBy("head").agg(F.min("id").alias("component_id"))
+    least_ids = known.groupBy("head").agg(F.min("id").alias("component_id")).hint("rebalance")  # a large component is split by the join
     known = known.join(least_ids, "head").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
 
     # every row again: usable ones by their key, the others alone
