@@ -4,6 +4,7 @@ import difflib
 import json
 import textwrap
 
+import pytest
 from pyspark.sql import functions as F
 
 from webtraj.functions import actions as A
@@ -196,3 +197,12 @@ def test_equivalence(spark):
     fields = ",".join(f"{x.split()[0]}:{x.split()[1]}" for x in base.split(", "))
     df = spark.createDataFrame(rows, f"a struct<{fields}>, b struct<{fields}>, want boolean")
     assert all(x.got == x.want for x in df.select("want", A.equivalent(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_ordered_labels_past_the_letters(spark):
+    at = [26 + 676 * lead + 27 for lead in (26, 27, 100, 191, 192, 193, 448, 1331, 55_231, 57_280, 70_000)]
+    rows = spark.createDataFrame([(i,) for i in at], "i long").select("i", G.ordered_label(F.col("i")).alias("l")).select("i", "l", G.label_place(F.col("l")).alias("p")).collect()
+    assert {r.i: r.l for r in rows} == {i: chr(64 + (i - 26) // 676) + "BB" for i in at}
+    assert all(r.p == r.i for r in rows)
+    with pytest.raises(Exception, match="beyond the characters"):
+        spark.range(1).select(G.ordered_label(F.lit(26 + 676 * 55_300))).collect()

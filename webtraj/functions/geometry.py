@@ -55,20 +55,27 @@ def parse_rect(text: Column) -> Column:
     return F.when(good, F.struct(*[parts[i].alias(n) for i, n in enumerate("xywh")]))
 
 
+def _letter(n: Column) -> Column:
+    """The character n places behind A, whatever its code; surrogates are no characters and an error."""
+    code = (n + 65).cast("int")
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")  # char() takes its argument modulo 256
+    return F.when(code < 256, F.char(code)).when(code.between(0xD800, 0xDFFF), F.raise_error(F.lit("label beyond the characters"))).otherwise(wide)
+
+
 def ordered_label(i: Column) -> Column:
-    """Label of position i: A..Z, then AA..ZZ, then AAA and on."""
+    """Label of position i: A..Z, then AA..ZZ, then AAA..ZZZ; the first letter goes on past Z: [AA, …, ճAA, …"""
     letter = lambda n: F.char((n + 65).cast("int"))
     past = i - 26
     pair = F.concat(letter(F.floor(past / 26) % 26), letter(past % 26))
     lead = F.floor(past / 676)
-    return F.when(i < 26, letter(i)).when(lead == 0, pair).otherwise(F.concat(letter(lead - 1), pair))
+    return F.when(i < 26, letter(i)).when(lead == 0, pair).otherwise(F.concat(_letter(lead - 1), pair))
 
 
 def label_place(label: Column) -> Column:
     """Place of an ordered label, null for any other text."""
     code = lambda n: F.ascii(F.substring(label, n, 1)) - 65
     return (F.when(label.rlike(r"\A[A-Z]\z"), code(1)).when(label.rlike(r"\A[A-Z]{2}\z"), 26 + code(1) * 26 + code(2))
-            .when(label.rlike(r"\A[A-Z]{3}\z"), 26 + (code(1) + 1) * 676 + code(2) * 26 + code(3)))
+            .when(label.rlike(r"\A[A-\x{10FFFF}][A-Z]{2}\z"), 26 + (code(1) + 1) * 676 + code(2) * 26 + code(3)))
 
 
 def hashed_label(key: Column, letters: int = 3) -> Column:
