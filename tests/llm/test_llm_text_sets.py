@@ -245,3 +245,60 @@ def test_search_defined_cases(spark):
     twice = spark.createDataFrame([(1, "red red fish"), (1, "blue fish"), (2, "red cat"), (3, "blue cat")], "doc_id long, text string")
     assert [r["doc_id"] for r in search.top_k(twice, twice.where("doc_id = 1")).orderBy("rank").collect()] == [1, 1, 2, 3]
     assert search.top_k(df.limit(0), df.limit(0)).count() == 0 and search.top_k(df, df.limit(0)).count() == 0
+
+
+def test_search_over_many_small_partitions(spark):
+    """Small partitions meet in few blocks: the tasks are not the product of the partitions of both sides."""
+    docs = [(i, t) for i, t in enumerate(family_texts(13, families=40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(tuple(r) for r in search.top_k(df, df.where("doc_id % 20 = 0")).collect())
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    sc = spark.sparkContext
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        many = df.repartition(40).localCheckpoint()
+        sc.setJobGroup("many partitions", "search")
+        assert sorted(tuple(r) for r in search.top_k(many, many.where("doc_id % 20 = 0")).collect()) == want
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    status = sc.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup("many partitions") for s in status.getJobInfo(j).stageIds}
+    assert 0 < max(i.numTasks for i in map(status.getStageInfo, stages) if i) <= 40
+
+
+def test_rows_of_rounds_follow_the_queries():
+    """A round of g times the blocks before it brings back about g k rows a query: few in all, however many blocks."""
+    for blocks in (0, 1, 2, 12, 64, 4000):
+        rounds = search._rounds(blocks)
+        assert rounds[0][0] == 0 and rounds[-1][1] == 1 and all(a[1] == b[0] for a, b in zip(rounds, rounds[1:]))
+        rows = blocks * rounds[0][1] + sum((high - low) / low for low, high in rounds[1:])
+        assert rows <= 3 + 2.5 * math.log2(blocks + 1)
+
+
+def test_block_scores_equal_double_sums():
+    """Scores through the single-precision product are those of double sums; copies tie and come by document."""
+    rng = np.random.default_rng(5)
+    size, n, terms = 900, 30, 400
+    share = 0.9 / (1 + np.arange(terms)) ** 0.6
+    impact = np.where(rng.random((size, terms)) < share, rng.uniform(0.2, 2.2, (size, terms)), 0.0)
+    impact[size // 2:] = impact[:size // 2]
+    asked = rng.random((n, terms)) < share
+    weight = rng.uniform(0.1, 9.0, terms)
+    doc, term = np.nonzero(impact)
+    shard = search.Shard(term.astype(np.int64), doc, impact[doc, term])
+    shard.weigh(weight[shard.terms])
+    query, at = np.nonzero(asked[:, shard.terms])
+    want = np.round((asked * weight) @ impact.T, 6)
+    for floor in (np.full(n, -1.0), np.sort(want, axis=1)[:, -4]):
+        got = list(zip(*(x.tolist() for x in shard.best(query, at, floor, 10))))
+        first = [(q, d, want[q, d]) for q in range(n) for d in np.lexsort((np.arange(size), -want[q]))[:10] if want[q, d] >= floor[q]]
+        assert [x[:2] for x in got] == [x[:2] for x in first] and np.allclose([x[2] for x in got], [x[2] for x in first], atol=2e-6)
+
+
+def test_words_are_those_of_the_pattern():
+    for text in ["".join(chr(c) + " x"[c % 2] for c in range(256)), "ÀÉ naïve_x 3½ a\u00a0b\x1cc", "İstanbul ſ K 日本語 x", "a\u2028b c", "", None]:
+        assert search.tokens(text) == search.WORDS.findall((text or "").lower())
