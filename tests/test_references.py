@@ -18,7 +18,7 @@ def pages(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["dom_nodes", "lateral_nodes", "snapshot_texts"])
+@pytest.mark.parametrize("name", ["dom_nodes", "lateral_nodes", "snapshot_texts", "tree_texts"])
 def test_equals_sql(spark, pages, name):
     queries, oracle = load()
     con = duckdb.connect()
